@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm import cutoff
+from stridelake.llm import cutoff, sequences
 from stridelake.sources.tables import load
 
 MAX_TARGETS = 100_000
@@ -39,7 +39,53 @@ def p2_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cutoff_report(load(spark, d, "energy"), _path_source(list(t)), F.col("energy"), t)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_cutoffs": p2_cutoffs}
+def _segment_count(spark: SparkSession, d: str) -> int:
+    return load(spark, d, "seg_codes").where("seg_id is not null").select(F.count_distinct("seg_id")).first()[0]
+
+
+def _patterns(spark: SparkSession, d: str) -> DataFrame:
+    seqs = sequences.code_sequences(load(spark, d, "seg_codes")).select("seq").persist()
+    need = max(5, -(-3 * _segment_count(spark, d) // 100))
+    out = sequences.frequent_subsequences(seqs, "seq", min_support=need)
+    seqs.unpersist()
+    return out.select(F.concat_ws(" ", F.col("pattern").cast("array<string>")).alias("code_pattern"), F.col("support").alias("n_segments"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _patterns(spark, d).select("code_pattern")
+
+
+def p3_support(spark: SparkSession, d: str) -> DataFrame:
+    return _patterns(spark, d)
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d, "seg_codes")
+    segs = sequences.one_per_key(t.select("seg_id", "codes_windows", "exported_at"), "seg_id", ["codes_windows"], "exported_at")
+    counts = sequences.term_counts(segs.select(F.flatten(F.filter("codes_windows", lambda w: w.isNotNull())).alias("codes")), "codes")
+    n = t.where("seg_id is not null").select(F.count_distinct("seg_id").alias("n_all"))
+    marked = sequences.mark_terms(counts.join(F.broadcast(n)), F.col("n_all"), rare=2, common=0.4)  # n is one row
+    return marked.select(F.col("term").alias("code"), "occurrences", F.col("records").alias("n_segments"), "mark")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_counts(spark, d).where("mark is not null").select("code", "mark")
+
+
+def p6_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs with the time between the first and the last event's window."""
+    runs = sequences.collapse_array_runs(sequences.code_sequences(load(spark, d, "seg_codes")), "seq", tol=1, min_len=3)
+    at = lambda c, i: F.get(F.col(c), i.cast("int"))
+    end = F.col("start_pos") + F.col("run_len") - 1
+    windows = at("wins", end) - at("wins", F.col("start_pos"))
+    return runs.select("seg_id", "start_pos", "run_len", at("seq", F.col("start_pos")).cast("long").alias("first_code"), F.try_divide(windows * F.col("stride"), F.col("fps")).cast("double").alias("duration_sec"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_runs(spark, d).select("seg_id", "start_pos", "run_len")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p3_found": p3_found, "p3_support": p3_support, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_runs": p6_runs}
 
 _P2 = """
 WITH c AS (
@@ -55,7 +101,53 @@ t AS (
   FROM g WHERE at_or_above * 100 >= target_pct * n GROUP BY source)
 """
 
+_SEQ = """
+WITH one AS (SELECT seg_id, codes_windows, selected_win_idxs, win_geom FROM seg_codes
+             QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY exported_at) = 1),
+win AS (SELECT seg_id, win_geom, unnest(codes_windows) AS codes, unnest(selected_win_idxs) AS win, generate_subscripts(codes_windows, 1) AS i FROM one),
+tok AS (SELECT seg_id, win_geom, win, i, unnest(codes) AS code, generate_subscripts(codes, 1) AS j FROM win),
+seq AS (SELECT seg_id, win_geom, win, code, row_number() OVER (PARTITION BY seg_id ORDER BY win, i, j) - 1 AS pos FROM tok)
+"""
+
+_P3 = (
+    _SEQ
+    + """, k AS (SELECT greatest(5, ceil(count(DISTINCT seg_id) * 3 / 100.0)) AS need FROM seg_codes),
+it AS (SELECT code FROM seq, k GROUP BY code, need HAVING count(DISTINCT seg_id) >= need),
+s AS (SELECT seg_id, pos, code FROM seq WHERE code IN (SELECT code FROM it)),
+two AS (SELECT a.seg_id, a.code AS c1, b.code AS c2, b.pos AS e FROM s a JOIN s b ON a.seg_id = b.seg_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 WHERE a.code <> b.code),
+three AS (SELECT DISTINCT t.seg_id, c1, c2, b.code AS c3, b.pos AS e FROM two t JOIN s b ON t.seg_id = b.seg_id AND b.pos BETWEEN t.e + 1 AND t.e + 4 WHERE b.code NOT IN (c1, c2)),
+four AS (SELECT DISTINCT t.seg_id, c1, c2, c3, b.code AS c4, b.pos AS e FROM three t JOIN s b ON t.seg_id = b.seg_id AND b.pos BETWEEN t.e + 1 AND t.e + 4 WHERE b.code NOT IN (c1, c2, c3)),
+five AS (SELECT DISTINCT t.seg_id, c1, c2, c3, c4, b.code AS c5 FROM four t JOIN s b ON t.seg_id = b.seg_id AND b.pos BETWEEN t.e + 1 AND t.e + 4 WHERE b.code NOT IN (c1, c2, c3, c4)),
+every AS (SELECT seg_id, concat_ws(' ', c1, c2, c3) AS code_pattern FROM three UNION ALL SELECT seg_id, concat_ws(' ', c1, c2, c3, c4) FROM four
+          UNION ALL SELECT seg_id, concat_ws(' ', c1, c2, c3, c4, c5) FROM five)
+"""
+)
+
+_P5 = """
+WITH one AS (SELECT seg_id, codes_windows FROM seg_codes QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY exported_at) = 1),
+tok AS (SELECT seg_id, unnest(flatten(codes_windows)) AS code FROM one),
+c AS (SELECT code, count(*) AS occurrences, count(DISTINCT seg_id) AS n_segments FROM tok WHERE code IS NOT NULL GROUP BY code),
+m AS (SELECT CAST(code AS BIGINT) AS code, occurrences, n_segments,
+             CASE WHEN n_segments <= 2 THEN 'rare' WHEN n_segments > 0.4 * (SELECT count(*) FROM one) THEN 'common' END AS mark FROM c)
+"""
+
+_P6 = (
+    _SEQ
+    + """, p AS (SELECT *, lag(code) OVER (PARTITION BY seg_id ORDER BY pos) AS prev FROM seq),
+g AS (SELECT *, sum(CASE WHEN abs(code - prev) <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY seg_id ORDER BY pos) AS run FROM p),
+r AS (SELECT seg_id, min(pos) AS start_pos, count(*) AS run_len, arg_min(code, pos) AS first_code,
+             (arg_max(win, pos) - arg_min(win, pos)) * any_value(win_geom.stride) / any_value(win_geom.target_fps) AS duration_sec
+      FROM g GROUP BY seg_id, run HAVING count(*) >= 3)
+"""
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "p3_found": _P3 + "SELECT code_pattern FROM every, k GROUP BY code_pattern, need HAVING count(DISTINCT seg_id) >= need",
+    "p3_support": _P3 + "SELECT code_pattern, count(DISTINCT seg_id) AS n_segments FROM every, k GROUP BY code_pattern, need HAVING count(DISTINCT seg_id) >= need",
+    "p5_found": _P5 + "SELECT code, mark FROM m WHERE mark IS NOT NULL",
+    "p5_counts": _P5 + "SELECT code, occurrences, n_segments, mark FROM m",
+    "p6_found": _P6 + "SELECT seg_id, start_pos, run_len FROM r",
+    "p6_runs": _P6 + "SELECT seg_id, start_pos, run_len, CAST(first_code AS BIGINT) AS first_code, duration_sec FROM r",
     "p2_found": _P2 + "SELECT g.line_id FROM g JOIN t ON g.source = t.source WHERE g.energy >= t.cutoff",
     "p2_cutoffs": _P2
     + """SELECT t.source, CAST(t.target_pct AS DOUBLE) AS target_pct, t.cutoff, CAST(count(*) AS BIGINT) AS n_kept,
