@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm import cutoff, sequences
+from stridelake.llm import cutoff, neighbours, sequences
 from stridelake.sources.tables import load
 
 MAX_TARGETS = 100_000
@@ -85,7 +85,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_runs(spark, d).select("seg_id", "start_pos", "run_len")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p3_found": p3_found, "p3_support": p3_support, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_runs": p6_runs}
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_windows(load(spark, d, "seg_codes"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_neighbours(spark, d).drop("cosine")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p3_found": p3_found, "p3_support": p3_support, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found, "p7_neighbours": p7_neighbours}
 
 _P2 = """
 WITH c AS (
