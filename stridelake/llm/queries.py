@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm import cutoff, neighbours, sequences
-from stridelake.sources.tables import load
+from stridelake.llm import clusters, cutoff, neighbours, sequences
+from stridelake.sources.tables import load, materialise
 
 MAX_TARGETS = 100_000
 
@@ -59,6 +59,17 @@ def p3_support(spark: SparkSession, d: str) -> DataFrame:
     return _patterns(spark, d)
 
 
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every clustered segment with its cluster's size and its rank by closeness to the cluster's mean."""
+    return clusters.segment_clusters(load(spark, d, "seg_codes"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    m = materialise(p4_clusters(spark, d).select("seg_id", "cluster"), "pairs")
+    a, b = m.withColumnRenamed("seg_id", "seg_a"), m.withColumnRenamed("seg_id", "seg_b")
+    return a.join(b, "cluster").where("seg_a < seg_b").select("seg_a", "seg_b")
+
+
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     t = load(spark, d, "seg_codes")
     segs = sequences.one_per_key(t.select("seg_id", "codes_windows", "exported_at"), "seg_id", ["codes_windows"], "exported_at")
@@ -93,7 +104,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_neighbours(spark, d).drop("cosine")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p3_found": p3_found, "p3_support": p3_support, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found, "p7_neighbours": p7_neighbours}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p3_found": p3_found, "p3_support": p3_support, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found, "p7_neighbours": p7_neighbours}
 
 _P2 = """
 WITH c AS (
