@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm import clusters, cutoff, neighbours, sequences
+from stridelake.llm import clusters, cutoff, leaks, neighbours, packing, sequences, topics
 from stridelake.sources.tables import load, materialise
 
 MAX_TARGETS = 100_000
@@ -104,7 +104,42 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_neighbours(spark, d).drop("cosine")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p3_found": p3_found, "p3_support": p3_support, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found, "p7_neighbours": p7_neighbours}
+MAX_KINDS = 1000
+
+
+def _containers(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    rows = load(spark, d, "containers").select("container_kind", "capacity_tokens").distinct().limit(MAX_KINDS + 1).collect()
+    if len(rows) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
+    return [(r[0], r[1]) for r in rows]
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(load(spark, d, "documents")), _containers(spark, d))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, d), _containers(spark, d))
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return topics.document_subjects(load(spark, d, "documents"), load(spark, d, "subject_labels"), load(spark, d, "subjects"))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by subject."""
+    return p10_found(spark, d).groupBy("subject").agg(F.count("*").alias("n_documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p3_found": p3_found, "p3_support": p3_support, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_composition": p10_composition}
 
 _P2 = """
 WITH c AS (
