@@ -70,3 +70,8 @@ def predictions(docs: DataFrame) -> DataFrame:
 def r6(c):
     """Rounded to 6 places without a negative zero."""
     return F.round(c, 6) + F.lit(0.0)
+
+
+def r8(c):
+    """Rounded to 8 places: quantiles of values with 6 places fall on halves of the seventh."""
+    return F.round(c, 8) + F.lit(0.0)

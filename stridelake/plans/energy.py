@@ -8,7 +8,7 @@ from stridelake.functions import scalars as fn
 from stridelake.operators import evaluate as E
 from stridelake.operators import segmenter as G
 from stridelake.operators import series as S
-from stridelake.plans.common import DT, FPS, LINES_SQL, SERIES_SQL, STRIDE, lines, r6, series
+from stridelake.plans.common import DT, FPS, LINES_SQL, SERIES_SQL, STRIDE, lines, r6, r8, series
 from stridelake.sources.tables import load
 
 QUERIES: dict = {}
@@ -141,12 +141,12 @@ def w08(spark, d):
     return S.differences(series(spark, d)).select("path", "win", r6(F.col("diff")).alias("diff"))
 
 
-@query("w09_rebuilt", SERIES_SQL + "SELECT path, win, round(energy, 4) AS value FROM s")
+@query("w09_rebuilt", SERIES_SQL + "SELECT path, win, round(energy, 6) AS value FROM s")
 def w09(spark, d):
     from pyspark.sql import Window
 
     x = S.differences(series(spark, d)).withColumn("start", F.first("energy").over(Window.partitionBy("path").orderBy("win")))
-    return S.cumulative(x).select("path", "win", F.round("value", 4).alias("value"))
+    return S.cumulative(x).select("path", "win", r6(F.col("value")).alias("value"))
 
 
 @query(
@@ -248,26 +248,26 @@ def j03(spark, d):
 # --- statistics ---------------------------------------------------------------------------------------------------------
 
 _STATS = "count(*) AS n, round(avg(energy), 6) AS mean, round(stddev_pop(energy), 6) AS std, min(energy) AS min, max(energy) AS max"
-_Q = ", ".join(f"round(quantile_cont(energy, {q}), 6) AS {c}" for q, c in zip(S.QUANTILES, ("q10", "q25", "q50", "q75", "q90")))
+_Q = ", ".join(f"round(quantile_cont(energy, {q}), 8) AS {c}" for q, c in zip(S.QUANTILES, ("q10", "q25", "q50", "q75", "q90")))
 
 
 @query("a01_describe", SERIES_SQL + f"SELECT path, {_STATS}, {_Q} FROM s WHERE energy < 100 GROUP BY path")
 def a01(spark, d):
     x = S.describe(series(spark, d).where("energy < 100"), ["path"])
-    return x.select("path", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "std")], "min", "max", *[r6(F.col(c)).alias(c) for c in ("q10", "q25", "q50", "q75", "q90")])
+    return x.select("path", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "std")], "min", "max", *[r8(F.col(c)).alias(c) for c in ("q10", "q25", "q50", "q75", "q90")])
 
 
-@query("a02_describe_source", SERIES_SQL + "SELECT source, min(energy) AS min, max(energy) AS max, round(quantile_cont(energy, 0.25), 6) AS q25, round(quantile_cont(energy, 0.5), 6) AS q50, round(quantile_cont(energy, 0.75), 6) AS q75, round(quantile_cont(energy, 0.9), 6) AS q90 FROM s GROUP BY source")
+@query("a02_describe_source", SERIES_SQL + "SELECT source, min(energy) AS min, max(energy) AS max, round(quantile_cont(energy, 0.25), 8) AS q25, round(quantile_cont(energy, 0.5), 8) AS q50, round(quantile_cont(energy, 0.75), 8) AS q75, round(quantile_cont(energy, 0.9), 8) AS q90 FROM s GROUP BY source")
 def a02(spark, d):
     x = S.describe(series(spark, d), ["source"])
-    return x.select("source", "min", "max", *[r6(F.col(c)).alias(c) for c in ("q25", "q50", "q75", "q90")])
+    return x.select("source", "min", "max", *[r8(F.col(c)).alias(c) for c in ("q25", "q50", "q75", "q90")])
 
 
 @query(
     "a10_latency",
     """WITH w AS (SELECT path, epoch_us(written_at) - epoch_us(lag(written_at) OVER (PARTITION BY path ORDER BY line_id)) AS us FROM energy WHERE path IS NOT NULL AND written_at IS NOT NULL),
     l AS (SELECT path, us / 1e6 AS sec FROM w WHERE us IS NOT NULL)
-    SELECT path, round(avg(sec), 6) AS mean, round(quantile_cont(sec, 0.5), 6) AS p50, round(quantile_cont(sec, 0.95), 6) AS p95, round(max(sec), 6) AS max, round(avg(CASE WHEN sec <= 0.4 THEN 1.0 ELSE 0.0 END), 6) AS ok_ratio FROM l GROUP BY path""",
+    SELECT path, round(avg(sec), 6) AS mean, round(quantile_cont(sec, 0.5), 8) AS p50, round(quantile_cont(sec, 0.95), 8) AS p95, round(max(sec), 6) AS max, round(avg(CASE WHEN sec <= 0.4 THEN 1.0 ELSE 0.0 END), 6) AS ok_ratio FROM l GROUP BY path""",
 )
 def a10(spark, d):
     """Delay between lines of a file, and the share within the budget of a window."""
@@ -278,7 +278,7 @@ def a10(spark, d):
     e = load(spark, d, "energy").where("path is not null and written_at is not null").select("path", ((us - F.lag(us).over(w)) / 1e6).alias("sec")).where("sec is not null")
     q = F.percentile("sec", [0.5, 0.95])
     g = e.groupBy("path").agg(F.avg("sec").alias("mean"), q.alias("q"), F.max("sec").alias("max"), F.avg(F.when(F.col("sec") <= DT, 1.0).otherwise(0.0)).alias("ok_ratio"))
-    return g.select("path", r6(F.col("mean")).alias("mean"), r6(F.col("q")[0]).alias("p50"), r6(F.col("q")[1]).alias("p95"), r6(F.col("max")).alias("max"), r6(F.col("ok_ratio")).alias("ok_ratio"))
+    return g.select("path", r6(F.col("mean")).alias("mean"), r8(F.col("q")[0]).alias("p50"), r8(F.col("q")[1]).alias("p95"), r6(F.col("max")).alias("max"), r6(F.col("ok_ratio")).alias("ok_ratio"))
 
 
 @query(
@@ -366,22 +366,22 @@ def o02(spark, d):
 @query(
     "v06_view_threshold",
     _SWEEP + """, best AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY stem ORDER BY f DESC, thr) = 1)
-    SELECT split_part(stem, '_', 2) AS view_name, round(quantile_cont(thr, 0.5), 6) AS median_thr, round(avg(thr), 6) AS mean_thr, count(*) AS n FROM best GROUP BY 1""",
+    SELECT split_part(stem, '_', 2) AS view_name, round(quantile_cont(thr, 0.5), 8) AS median_thr, round(avg(thr), 6) AS mean_thr, count(*) AS n FROM best GROUP BY 1""",
 )
 def v06(spark, d):
     """One threshold per view from those of its videos."""
     b = E.best_threshold(E.threshold_sweep(labelled(spark, d), "stem", "x", "y"), "stem")
-    return b.groupBy(F.split_part("stem", F.lit("_"), F.lit(2)).alias("view_name")).agg(r6(F.percentile("thr_f1", 0.5)).alias("median_thr"), r6(F.avg("thr_f1")).alias("mean_thr"), F.count("*").alias("n"))
+    return b.groupBy(F.split_part("stem", F.lit("_"), F.lit(2)).alias("view_name")).agg(r8(F.percentile("thr_f1", 0.5)).alias("median_thr"), r6(F.avg("thr_f1")).alias("mean_thr"), F.count("*").alias("n"))
 
 
 @query(
     "u02_candidates",
     SERIES_SQL + """, q AS (SELECT path, unnest(quantile_cont(energy, [0.5, 0.6, 0.7, 0.8, 0.9])) AS v FROM s GROUP BY path), u AS (SELECT DISTINCT path, v FROM q),
     m AS (SELECT path, (v + lead(v) OVER (PARTITION BY path ORDER BY v)) / 2 AS v FROM u)
-    SELECT DISTINCT path, round(v, 6) AS thr FROM (SELECT path, v FROM u UNION ALL SELECT path, v FROM m WHERE v IS NOT NULL UNION ALL SELECT path, min(energy) FROM s GROUP BY path UNION ALL SELECT path, max(energy) FROM s GROUP BY path)""",
+    SELECT DISTINCT path, round(v, 8) AS thr FROM (SELECT path, v FROM u UNION ALL SELECT path, v FROM m WHERE v IS NOT NULL UNION ALL SELECT path, min(energy) FROM s GROUP BY path UNION ALL SELECT path, max(energy) FROM s GROUP BY path)""",
 )
 def u02(spark, d):
-    return E.candidates(series(spark, d)).select("path", r6(F.col("thr")).alias("thr")).distinct()
+    return E.candidates(series(spark, d)).select("path", r8(F.col("thr")).alias("thr")).distinct()
 
 
 @query(
@@ -415,11 +415,11 @@ def e07_ks(spark, d):
 
 @query(
     "e07_quantile_gaps",
-    _LAB + "SELECT stem, " + ", ".join(f"round(quantile_cont(x, {q}) FILTER (y) - quantile_cont(x, {q}) FILTER (NOT y), 5) + 0.0 AS gap{int(q * 100)}" for q in (0.25, 0.5, 0.75)) + " FROM lab GROUP BY stem",
+    _LAB + "SELECT stem, " + ", ".join(f"round(quantile_cont(x, {q}) FILTER (y) - quantile_cont(x, {q}) FILTER (NOT y), 8) + 0.0 AS gap{int(q * 100)}" for q in (0.25, 0.5, 0.75)) + " FROM lab GROUP BY stem",
 )
 def e07_gaps(spark, d):
     g = E.quantile_gaps(labelled(spark, d), "stem", "x", "y")
-    return g.select("stem", *[(F.round(c, 5) + 0.0).alias(c) for c in ("gap25", "gap50", "gap75")])
+    return g.select("stem", *[r8(F.col(c)).alias(c) for c in ("gap25", "gap50", "gap75")])
 
 
 @query(
