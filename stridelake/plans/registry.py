@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.plans import energy, evaluation, implausible
+from stridelake.plans import energy, evaluation, implausible, vectors
 
-_MODULES = [implausible, energy, evaluation]
+_MODULES = [implausible, energy, evaluation, vectors]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
 
