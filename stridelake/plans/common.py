@@ -67,11 +67,30 @@ def predictions(docs: DataFrame) -> DataFrame:
     return docs.where("doc_kind = 'pred'").groupBy("unit").agg(F.min_by(body, F.col("doc_path")).alias("b")).select("unit", "b.*")
 
 
-def r6(c):
-    """Rounded to 6 places without a negative zero."""
-    return F.round(c, 6) + F.lit(0.0)
+NUDGE = 3.3e-11
 
 
 def r8(c):
-    """Rounded to 8 places: quantiles of values with 6 places fall on halves of the seventh."""
-    return F.round(c, 8) + F.lit(0.0)
+    """Rounded to 8 places without a negative zero.
+
+    Means of values with 6 places can fall on an exact half of the ninth place; the nudge keeps such halves from being
+    rounded by the last bit of a sum, whose order differs between engines.
+    """
+    return F.round(c + F.lit(NUDGE), 8) + F.lit(0.0)
+
+
+def nudged(sql: str) -> str:
+    """The same nudge in every ``round(..., 8)`` of an SQL text."""
+    out, at = [], 0
+    while (i := sql.find("round(", at)) >= 0:
+        depth, j = 0, i + 5
+        while True:
+            depth += (sql[j] == "(") - (sql[j] == ")")
+            if depth == 0:
+                break
+            j += 1
+        out.append(sql[at : i + 6])
+        body = nudged(sql[i + 6 : j])
+        out.append(f"{body[:-3]} + {NUDGE}, 8" if body.endswith(", 8") else body)
+        at = j
+    return "".join(out) + sql[at:]

@@ -8,7 +8,7 @@ from stridelake.functions import scalars as fn
 from stridelake.operators import evaluate as E
 from stridelake.operators import segmenter as G
 from stridelake.operators import series as S
-from stridelake.plans.common import DT, FPS, LINES_SQL, SERIES_SQL, STRIDE, lines, r6, r8, series
+from stridelake.plans.common import DT, FPS, LINES_SQL, SERIES_SQL, STRIDE, lines, r8, series
 from stridelake.sources.tables import load
 
 QUERIES: dict = {}
@@ -108,19 +108,19 @@ STREAM = G.Rule(on=1.0, ratio=0.9, up=2, down=2, cooldown=1, max_windows=40, mod
 ALPHA = 0.7
 
 
-@query("w04_ema", "WITH RECURSIVE " + LINES_SQL + "," + recursion(ALPHA, RULE) + "SELECT st.path, s.win, round(st.y, 6) AS ema FROM st JOIN s ON st.path = s.path AND st.i = s.i")
+@query("w04_ema", "WITH RECURSIVE " + LINES_SQL + "," + recursion(ALPHA, RULE) + "SELECT st.path, s.win, round(st.y, 8) AS ema FROM st JOIN s ON st.path = s.path AND st.i = s.i")
 def w04(spark, d):
-    return S.ema(series(spark, d), ALPHA).select("path", "win", r6(F.col("ema")).alias("ema"))
+    return S.ema(series(spark, d), ALPHA).select("path", "win", r8(F.col("ema")).alias("ema"))
 
 
-@query("w05_moving_average", SERIES_SQL + "SELECT path, win, round(avg(energy) OVER (PARTITION BY path ORDER BY win ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS ma FROM s")
+@query("w05_moving_average", SERIES_SQL + "SELECT path, win, round(avg(energy) OVER (PARTITION BY path ORDER BY win ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 8) AS ma FROM s")
 def w05(spark, d):
-    return S.moving_average(series(spark, d), 5).select("path", "win", r6(F.col("ma")).alias("ma"))
+    return S.moving_average(series(spark, d), 5).select("path", "win", r8(F.col("ma")).alias("ma"))
 
 
-@query("w06_stride_mean", SERIES_SQL + "SELECT path, i // 4 AS g, round(avg(energy), 6) AS energy FROM s GROUP BY path, i // 4")
+@query("w06_stride_mean", SERIES_SQL + "SELECT path, i // 4 AS g, round(avg(energy), 8) AS energy FROM s GROUP BY path, i // 4")
 def w06(spark, d):
-    return S.stride_mean(series(spark, d), 4).withColumn("energy", r6(F.col("energy")))
+    return S.stride_mean(series(spark, d), 4).withColumn("energy", r8(F.col("energy")))
 
 
 @query("w07_every_nth", SERIES_SQL + "SELECT path, win, energy FROM s WHERE i % 3 = 0")
@@ -136,17 +136,17 @@ def w07_ticks(spark, d):
     return S.resample_ticks(series(spark, d), 10.0, 4.0).select("path", "win", "energy")
 
 
-@query("w08_differences", SERIES_SQL + "SELECT path, win, round(energy - lag(energy) OVER (PARTITION BY path ORDER BY win), 6) + 0.0 AS diff FROM s")
+@query("w08_differences", SERIES_SQL + "SELECT path, win, round(energy - lag(energy) OVER (PARTITION BY path ORDER BY win), 8) + 0.0 AS diff FROM s")
 def w08(spark, d):
-    return S.differences(series(spark, d)).select("path", "win", r6(F.col("diff")).alias("diff"))
+    return S.differences(series(spark, d)).select("path", "win", r8(F.col("diff")).alias("diff"))
 
 
-@query("w09_rebuilt", SERIES_SQL + "SELECT path, win, round(energy, 6) AS value FROM s")
+@query("w09_rebuilt", SERIES_SQL + "SELECT path, win, round(energy, 8) AS value FROM s")
 def w09(spark, d):
     from pyspark.sql import Window
 
     x = S.differences(series(spark, d)).withColumn("start", F.first("energy").over(Window.partitionBy("path").orderBy("win")))
-    return S.cumulative(x).select("path", "win", r6(F.col("value")).alias("value"))
+    return S.cumulative(x).select("path", "win", r8(F.col("value")).alias("value"))
 
 
 @query(
@@ -180,10 +180,10 @@ def w14(spark, d):
     "w16_interpolate",
     SERIES_SQL + """, n AS (SELECT path, count(*) AS n FROM s GROUP BY path), t AS (SELECT path, n, unnest(range(0, 16)) AS j FROM n),
     x AS (SELECT path, n, j, j * (n - 1) / 15.0::DOUBLE AS x FROM t), y AS (SELECT *, CAST(floor(x) AS BIGINT) AS lo, least(CAST(ceil(x) AS BIGINT), n - 1) AS hi FROM x)
-    SELECT y.path, y.j, round(a.energy + (b.energy - a.energy) * (y.x - y.lo), 6) AS value FROM y JOIN s a ON a.path = y.path AND a.i = y.lo JOIN s b ON b.path = y.path AND b.i = y.hi""",
+    SELECT y.path, y.j, round(a.energy + (b.energy - a.energy) * (y.x - y.lo), 8) AS value FROM y JOIN s a ON a.path = y.path AND a.i = y.lo JOIN s b ON b.path = y.path AND b.i = y.hi""",
 )
 def w16(spark, d):
-    return S.interpolate(series(spark, d), 16).withColumn("value", r6(F.col("value")))
+    return S.interpolate(series(spark, d), 16).withColumn("value", r8(F.col("value")))
 
 
 @query("w17_spline")
@@ -194,22 +194,22 @@ def w17(spark, d):
 @query(
     "w18_paa",
     SERIES_SQL + """, z AS (SELECT *, count(*) OVER (PARTITION BY path) AS size FROM s)
-    SELECT path, CASE WHEN size <= 32 THEN i ELSE i * 32 // size END AS bucket, round(avg(energy), 6) AS energy FROM z GROUP BY path, CASE WHEN size <= 32 THEN i ELSE i * 32 // size END""",
+    SELECT path, CASE WHEN size <= 32 THEN i ELSE i * 32 // size END AS bucket, round(avg(energy), 8) AS energy FROM z GROUP BY path, CASE WHEN size <= 32 THEN i ELSE i * 32 // size END""",
 )
 def w18(spark, d):
-    return S.paa(series(spark, d), 32).withColumn("energy", r6(F.col("energy")))
+    return S.paa(series(spark, d), 32).withColumn("energy", r8(F.col("energy")))
 
 
 @query(
     "w20_axis_fps",
     SERIES_SQL + """, d AS (SELECT regexp_replace(video, '\\.mp4$', '') AS stem, max(video_duration_sec) AS dur FROM seg_docs WHERE video_duration_sec IS NOT NULL AND video IS NOT NULL GROUP BY 1)
-    SELECT path, round(CASE WHEN abs(m * 4.0 / 10.0 - dur) > 5 AND dur > 0 THEN m / dur * 4.0 ELSE 10.0 END, 6) AS fps FROM (SELECT path, min(stem) AS stem, max(win) AS m FROM s GROUP BY path) JOIN d USING (stem)""",
+    SELECT path, round(CASE WHEN abs(m * 4.0 / 10.0 - dur) > 5 AND dur > 0 THEN m / dur * 4.0 ELSE 10.0 END, 8) AS fps FROM (SELECT path, min(stem) AS stem, max(win) AS m FROM s GROUP BY path) JOIN d USING (stem)""",
 )
 def w20(spark, d):
     dur = load(spark, d, "seg_docs").where("video is not null").groupBy(F.regexp_replace("video", r"\.mp4$", "").alias("stem")).agg(F.max("video_duration_sec").alias("duration_sec")).where("duration_sec is not null")
     s = series(spark, d)
     stems = s.groupBy("path").agg(F.min("stem").alias("stem")).join(dur, "stem").select("path", "duration_sec")
-    return S.axis_fps(s, stems, STRIDE, FPS).withColumn("fps", r6(F.col("fps")))
+    return S.axis_fps(s, stems, STRIDE, FPS).withColumn("fps", r8(F.col("fps")))
 
 
 # --- alignment -----------------------------------------------------------------------------------------------------------
@@ -247,14 +247,14 @@ def j03(spark, d):
 
 # --- statistics ---------------------------------------------------------------------------------------------------------
 
-_STATS = "count(*) AS n, round(avg(energy), 6) AS mean, round(stddev_pop(energy), 6) AS std, min(energy) AS min, max(energy) AS max"
+_STATS = "count(*) AS n, round(avg(energy), 8) AS mean, round(stddev_pop(energy), 8) AS std, min(energy) AS min, max(energy) AS max"
 _Q = ", ".join(f"round(quantile_cont(energy, {q}), 8) AS {c}" for q, c in zip(S.QUANTILES, ("q10", "q25", "q50", "q75", "q90")))
 
 
 @query("a01_describe", SERIES_SQL + f"SELECT path, {_STATS}, {_Q} FROM s WHERE energy < 100 GROUP BY path")
 def a01(spark, d):
     x = S.describe(series(spark, d).where("energy < 100"), ["path"])
-    return x.select("path", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "std")], "min", "max", *[r8(F.col(c)).alias(c) for c in ("q10", "q25", "q50", "q75", "q90")])
+    return x.select("path", "n", *[r8(F.col(c)).alias(c) for c in ("mean", "std")], "min", "max", *[r8(F.col(c)).alias(c) for c in ("q10", "q25", "q50", "q75", "q90")])
 
 
 @query("a02_describe_source", SERIES_SQL + "SELECT source, min(energy) AS min, max(energy) AS max, round(quantile_cont(energy, 0.25), 8) AS q25, round(quantile_cont(energy, 0.5), 8) AS q50, round(quantile_cont(energy, 0.75), 8) AS q75, round(quantile_cont(energy, 0.9), 8) AS q90 FROM s GROUP BY source")
@@ -267,7 +267,7 @@ def a02(spark, d):
     "a10_latency",
     """WITH w AS (SELECT path, epoch_us(written_at) - epoch_us(lag(written_at) OVER (PARTITION BY path ORDER BY line_id)) AS us FROM energy WHERE path IS NOT NULL AND written_at IS NOT NULL),
     l AS (SELECT path, us / 1e6 AS sec FROM w WHERE us IS NOT NULL)
-    SELECT path, round(avg(sec), 6) AS mean, round(quantile_cont(sec, 0.5), 8) AS p50, round(quantile_cont(sec, 0.95), 8) AS p95, round(max(sec), 6) AS max, round(avg(CASE WHEN sec <= 0.4 THEN 1.0 ELSE 0.0 END), 6) AS ok_ratio FROM l GROUP BY path""",
+    SELECT path, round(avg(sec), 8) AS mean, round(quantile_cont(sec, 0.5), 8) AS p50, round(quantile_cont(sec, 0.95), 8) AS p95, round(max(sec), 8) AS max, round(avg(CASE WHEN sec <= 0.4 THEN 1.0 ELSE 0.0 END), 8) AS ok_ratio FROM l GROUP BY path""",
 )
 def a10(spark, d):
     """Delay between lines of a file, and the share within the budget of a window."""
@@ -278,7 +278,7 @@ def a10(spark, d):
     e = load(spark, d, "energy").where("path is not null and written_at is not null").select("path", ((us - F.lag(us).over(w)) / 1e6).alias("sec")).where("sec is not null")
     q = F.percentile("sec", [0.5, 0.95])
     g = e.groupBy("path").agg(F.avg("sec").alias("mean"), q.alias("q"), F.max("sec").alias("max"), F.avg(F.when(F.col("sec") <= DT, 1.0).otherwise(0.0)).alias("ok_ratio"))
-    return g.select("path", r6(F.col("mean")).alias("mean"), r8(F.col("q")[0]).alias("p50"), r8(F.col("q")[1]).alias("p95"), r6(F.col("max")).alias("max"), r6(F.col("ok_ratio")).alias("ok_ratio"))
+    return g.select("path", r8(F.col("mean")).alias("mean"), r8(F.col("q")[0]).alias("p50"), r8(F.col("q")[1]).alias("p95"), r8(F.col("max")).alias("max"), r8(F.col("ok_ratio")).alias("ok_ratio"))
 
 
 @query(
@@ -289,10 +289,10 @@ def a10(spark, d):
     x AS (SELECT g.path, lo, hi, g.bin, coalesce(c, 0) AS c, lo + (g.bin + 0.5) * (hi - lo) / 256 AS centre FROM g LEFT JOIN h ON h.path = g.path AND h.bin = g.bin),
     y AS (SELECT *, sum(c) OVER o AS w0, sum(c * centre) OVER o AS s0, sum(c) OVER e AS w, sum(c * centre) OVER e AS s FROM x WINDOW o AS (PARTITION BY path ORDER BY bin), e AS (PARTITION BY path)),
     v AS (SELECT *, coalesce(CASE WHEN w0 > 0 AND w > w0 THEN w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2) END, 0) AS var FROM y)
-    SELECT path, round(CASE WHEN hi = lo THEN lo ELSE centre END, 6) AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(var, 6) DESC, bin) = 1""",
+    SELECT path, round(CASE WHEN hi = lo THEN lo ELSE centre END, 8) AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(var, 8) DESC, bin) = 1""",
 )
 def a19(spark, d):
-    return S.otsu(series(spark, d).where("energy < 100"), ["path"]).withColumn("threshold", r6(F.col("threshold")))
+    return S.otsu(series(spark, d).where("energy < 100"), ["path"]).withColumn("threshold", r8(F.col("threshold")))
 
 
 @query("a20_histogram", SERIES_SQL + "SELECT source, least(499, CAST(floor(energy / 1.0 * 500) AS BIGINT)) AS bin, count(*) AS n FROM s WHERE energy BETWEEN 0 AND 1 GROUP BY 1, 2")
@@ -300,20 +300,20 @@ def a20(spark, d):
     return S.histogram(series(spark, d), ["source"], F.col("energy"), 0.0, 1.0, 500)
 
 
-@query("a23_interval_means", SERIES_SQL + "SELECT path, win // 50 AS step, round(avg(energy), 6) AS mean FROM s GROUP BY path, win // 50")
+@query("a23_interval_means", SERIES_SQL + "SELECT path, win // 50 AS step, round(avg(energy), 8) AS mean FROM s GROUP BY path, win // 50")
 def a23(spark, d):
-    return series(spark, d).groupBy("path", F.floor(F.col("win") / 50).cast("long").alias("step")).agg(r6(F.avg("energy")).alias("mean"))
+    return series(spark, d).groupBy("path", F.floor(F.col("win") / 50).cast("long").alias("step")).agg(r8(F.avg("energy")).alias("mean"))
 
 
 @query(
     "a24_mean_of_means",
     SERIES_SQL + """, f AS (SELECT source, path, avg(CASE WHEN energy > 1 THEN 1.0 ELSE 0.0 END) AS m FROM s GROUP BY source, path), g AS (SELECT source, avg(m) AS m FROM f GROUP BY source)
-    SELECT source, round(m, 6) AS rate FROM g UNION ALL SELECT 'overall', round(avg(m), 6) FROM g""",
+    SELECT source, round(m, 8) AS rate FROM g UNION ALL SELECT 'overall', round(avg(m), 8) FROM g""",
 )
 def a24(spark, d):
     f = series(spark, d).groupBy("source", "path").agg(F.avg(F.when(F.col("energy") > 1, 1.0).otherwise(0.0)).alias("m"))
     g = f.groupBy("source").agg(F.avg("m").alias("m"))
-    return g.select("source", r6(F.col("m")).alias("rate")).unionByName(g.agg(r6(F.avg("m")).alias("rate")).select(F.lit("overall").alias("source"), "rate"))
+    return g.select("source", r8(F.col("m")).alias("rate")).unionByName(g.agg(r8(F.avg("m")).alias("rate")).select(F.lit("overall").alias("source"), "rate"))
 
 
 # --- labels, thresholds, separability ---------------------------------------------------------------------------------------
@@ -340,11 +340,11 @@ _CONF = "sum(CASE WHEN {p} AND y THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN NOT {p}
 
 @query(
     "a03_confusion",
-    _LAB + f", c AS (SELECT stem, {_CONF.format(p='(x > 1.0)')} FROM lab GROUP BY stem), r AS ({_RATES} c) SELECT stem, CAST(tp AS BIGINT) AS tp, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(precision, 6) AS precision, round(acc, 6) AS acc, round(2 * precision * tpr / (precision + tpr + 1e-12), 6) AS f1 FROM r",
+    _LAB + f", c AS (SELECT stem, {_CONF.format(p='(x > 1.0)')} FROM lab GROUP BY stem), r AS ({_RATES} c) SELECT stem, CAST(tp AS BIGINT) AS tp, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(tpr, 8) AS tpr, round(fpr, 8) AS fpr, round(precision, 8) AS precision, round(acc, 8) AS acc, round(2 * precision * tpr / (precision + tpr + 1e-12), 8) AS f1 FROM r",
 )
 def a03(spark, d):
     c = E.confusion(labelled(spark, d), ["stem"], "x", "y", F.lit(1.0))
-    return c.select("stem", "tp", "tn", "fp", "fn", *[r6(F.col(x)).alias(x) for x in ("tpr", "fpr", "precision", "acc", "f1")])
+    return c.select("stem", "tp", "tn", "fp", "fn", *[r8(F.col(x)).alias(x) for x in ("tpr", "fpr", "precision", "acc", "f1")])
 
 
 _SWEEP = _LAB + f""", v AS (SELECT DISTINCT stem, x AS thr FROM lab), c AS (SELECT v.stem, v.thr, {_CONF.format(p='(l.x > v.thr)')} FROM v JOIN lab l ON l.stem = v.stem GROUP BY v.stem, v.thr),
@@ -354,24 +354,24 @@ r AS ({_RATES} c), w AS (SELECT *, round(tpr - fpr, 9) AS j, round(2 * precision
 
 @query(
     "o02_best_threshold",
-    _SWEEP + """SELECT a.stem, a.thr AS thr_j, round(a.j, 6) AS best_j, b.thr AS thr_f1, round(b.f, 6) AS best_f1 FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY stem ORDER BY j DESC, thr) = 1) a
+    _SWEEP + """SELECT a.stem, a.thr AS thr_j, round(a.j, 8) AS best_j, b.thr AS thr_f1, round(b.f, 8) AS best_f1 FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY stem ORDER BY j DESC, thr) = 1) a
     JOIN (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY stem ORDER BY f DESC, thr) = 1) b ON a.stem = b.stem""",
 )
 def o02(spark, d):
     """Threshold search against a proxy."""
     b = E.best_threshold(E.threshold_sweep(labelled(spark, d), "stem", "x", "y"), "stem")
-    return b.select("stem", "thr_j", r6(F.col("best_j")).alias("best_j"), "thr_f1", r6(F.col("best_f1")).alias("best_f1"))
+    return b.select("stem", "thr_j", r8(F.col("best_j")).alias("best_j"), "thr_f1", r8(F.col("best_f1")).alias("best_f1"))
 
 
 @query(
     "v06_view_threshold",
     _SWEEP + """, best AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY stem ORDER BY f DESC, thr) = 1)
-    SELECT split_part(stem, '_', 2) AS view_name, round(quantile_cont(thr, 0.5), 8) AS median_thr, round(avg(thr), 6) AS mean_thr, count(*) AS n FROM best GROUP BY 1""",
+    SELECT split_part(stem, '_', 2) AS view_name, round(quantile_cont(thr, 0.5), 8) AS median_thr, round(avg(thr), 8) AS mean_thr, count(*) AS n FROM best GROUP BY 1""",
 )
 def v06(spark, d):
     """One threshold per view from those of its videos."""
     b = E.best_threshold(E.threshold_sweep(labelled(spark, d), "stem", "x", "y"), "stem")
-    return b.groupBy(F.split_part("stem", F.lit("_"), F.lit(2)).alias("view_name")).agg(r8(F.percentile("thr_f1", 0.5)).alias("median_thr"), r6(F.avg("thr_f1")).alias("mean_thr"), F.count("*").alias("n"))
+    return b.groupBy(F.split_part("stem", F.lit("_"), F.lit(2)).alias("view_name")).agg(r8(F.percentile("thr_f1", 0.5)).alias("median_thr"), r8(F.avg("thr_f1")).alias("mean_thr"), F.count("*").alias("n"))
 
 
 @query(
@@ -388,10 +388,10 @@ def u02(spark, d):
     "e07_auc",
     _LAB + """, r AS (SELECT *, rank() OVER (PARTITION BY stem ORDER BY x) + (count(*) OVER (PARTITION BY stem, x) - 1) / 2.0 AS rk FROM lab),
     au AS (SELECT stem, sum(CASE WHEN y THEN rk END) AS sm, sum(CASE WHEN y THEN 1 ELSE 0 END) AS p, sum(CASE WHEN y THEN 0 ELSE 1 END) AS q FROM r GROUP BY stem)
-    SELECT stem, CASE WHEN p * q > 0 THEN round((sm - p * (p + 1) / 2.0) / (p * q), 6) END AS auc FROM au""",
+    SELECT stem, CASE WHEN p * q > 0 THEN round((sm - p * (p + 1) / 2.0) / (p * q), 8) END AS auc FROM au""",
 )
 def e07_auc(spark, d):
-    return E.roc_auc(labelled(spark, d), "stem", "x", "y").withColumn("auc", r6(F.col("auc")))
+    return E.roc_auc(labelled(spark, d), "stem", "x", "y").withColumn("auc", r8(F.col("auc")))
 
 
 @query(
@@ -407,10 +407,10 @@ def e07_d(spark, d):
     "e07_ks",
     _LAB + """, v AS (SELECT stem, x, sum(CASE WHEN y THEN 1 ELSE 0 END) AS p, sum(CASE WHEN y THEN 0 ELSE 1 END) AS q FROM lab GROUP BY stem, x),
     c AS (SELECT stem, sum(p) OVER o AS cp, sum(q) OVER o AS cq, sum(p) OVER e AS tp, sum(q) OVER e AS tq FROM v WINDOW o AS (PARTITION BY stem ORDER BY x), e AS (PARTITION BY stem))
-    SELECT stem, round(max(abs(cp / nullif(tp, 0) - cq / nullif(tq, 0))), 6) AS ks FROM c GROUP BY stem""",
+    SELECT stem, round(max(abs(cp / nullif(tp, 0) - cq / nullif(tq, 0))), 8) AS ks FROM c GROUP BY stem""",
 )
 def e07_ks(spark, d):
-    return E.ks_distance(labelled(spark, d), "stem", "x", "y").withColumn("ks", r6(F.col("ks")))
+    return E.ks_distance(labelled(spark, d), "stem", "x", "y").withColumn("ks", r8(F.col("ks")))
 
 
 @query(
@@ -434,9 +434,9 @@ def e07_corr(spark, d):
     return g.select("stem", (F.round("pearson", 5) + 0.0).alias("pearson"), (F.round("spearman", 5) + 0.0).alias("spearman"))
 
 
-@query("e08_roc_points", _SWEEP + "SELECT stem, thr, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM w")
+@query("e08_roc_points", _SWEEP + "SELECT stem, thr, round(fpr, 8) AS fpr, round(tpr, 8) AS tpr FROM w")
 def e08(spark, d):
-    return E.roc_points(labelled(spark, d), "stem", "x", "y").select("stem", "thr", r6(F.col("fpr")).alias("fpr"), r6(F.col("tpr")).alias("tpr"))
+    return E.roc_points(labelled(spark, d), "stem", "x", "y").select("stem", "thr", r8(F.col("fpr")).alias("fpr"), r8(F.col("tpr")).alias("tpr"))
 
 
 @query(
@@ -453,11 +453,11 @@ def e09(spark, d):
 # --- segments ---------------------------------------------------------------------------------------------------------------
 
 
-@query("segments_batch", "WITH RECURSIVE " + LINES_SQL + "," + recursion(ALPHA, RULE) + "SELECT path, i0, i1, round(i0 * 0.4::DOUBLE, 6) AS start_sec, round((i1 + 1) * 0.4::DOUBLE, 6) AS end_sec FROM seg WHERE i1 - i0 + 1 >= 3")
+@query("segments_batch", "WITH RECURSIVE " + LINES_SQL + "," + recursion(ALPHA, RULE) + "SELECT path, i0, i1, round(i0 * 0.4::DOUBLE, 8) AS start_sec, round((i1 + 1) * 0.4::DOUBLE, 8) AS end_sec FROM seg WHERE i1 - i0 + 1 >= 3")
 def segments_batch(spark, d):
     """Smoothed, segmented and turned into seconds in one pass over sorted rows."""
     g = G.ema_segments(S.positions(series(spark, d)), ALPHA, RULE).where(F.col("i1") - F.col("i0") + 1 >= 3)
-    return G.to_seconds(g, DT).select("path", "i0", "i1", r6(F.col("start_sec")).alias("start_sec"), r6(F.col("end_sec")).alias("end_sec"))
+    return G.to_seconds(g, DT).select("path", "i0", "i1", r8(F.col("start_sec")).alias("start_sec"), r8(F.col("end_sec")).alias("end_sec"))
 
 
 @query("t02_segments_raw", "WITH RECURSIVE " + LINES_SQL + "," + recursion(None, RULE) + "SELECT path, i0, i1 FROM seg")
@@ -480,7 +480,7 @@ def t13(spark, d):
     return load(spark, d, "seg_docs").select("doc_path", F.coalesce(fn.dotted(j, "threshold"), F.lit(1.9327)).alias("threshold"))
 
 
-@query("pred10_time_slice", SERIES_SQL + "SELECT path, win, round(win * 4.0 / 10.0, 6) AS sec, energy FROM s WHERE win BETWEEN 25 AND 75")
+@query("pred10_time_slice", SERIES_SQL + "SELECT path, win, round(win * 4.0 / 10.0, 8) AS sec, energy FROM s WHERE win BETWEEN 25 AND 75")
 def pred10(spark, d):
     """Energies between 10 s and 30 s (P10, F01, the data of the energy comparison figure)."""
-    return S.time_slice(series(spark, d), 10.0, 30.0, STRIDE, FPS).select("path", "win", r6(F.col("sec")).alias("sec"), "energy")
+    return S.time_slice(series(spark, d), 10.0, 30.0, STRIDE, FPS).select("path", "win", r8(F.col("sec")).alias("sec"), "energy")

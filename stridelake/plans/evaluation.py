@@ -8,7 +8,7 @@ from stridelake.functions import scalars as fn
 from stridelake.operators import evaluate as E
 from stridelake.operators import segmenter as G
 from stridelake.operators import series as S
-from stridelake.plans.common import DOCS_SQL, DT, FPS, LINES_SQL, SERIES_SQL, STRIDE, T, documents, ground_truth, predictions, r6, series
+from stridelake.plans.common import DOCS_SQL, DT, FPS, LINES_SQL, SERIES_SQL, STRIDE, T, documents, ground_truth, predictions, r8, series
 from stridelake.plans.energy import recursion
 from stridelake.sources.tables import load
 
@@ -80,18 +80,18 @@ _F1 = (
 )
 
 
-@query("v01_boundary_f1", _F1 + "SELECT unit, tol, tp, n_gt, n_pred, round(precision::DOUBLE, 6) AS precision, round(recall::DOUBLE, 6) AS recall, round(f1::DOUBLE, 6) AS f1 FROM sc")
+@query("v01_boundary_f1", _F1 + "SELECT unit, tol, tp, n_gt, n_pred, round(precision::DOUBLE, 8) AS precision, round(recall::DOUBLE, 8) AS recall, round(f1::DOUBLE, 8) AS f1 FROM sc")
 def v01(spark, d):
     """Greedy one-to-one matching within 2 s and 5 s."""
     f = E.f1_at_tolerance(boundary_pairs(spark, d), [2.0, 5.0])
-    return f.select("unit", "tol", "tp", "n_gt", "n_pred", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+    return f.select("unit", "tol", "tp", "n_gt", "n_pred", *[r8(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("v03_macro_scores", _F1 + "SELECT tol, round(avg(precision::DOUBLE), 6) AS precision, round(avg(recall::DOUBLE), 6) AS recall, round(avg(f1::DOUBLE), 6) AS f1, count(*) AS n_units FROM sc GROUP BY tol")
+@query("v03_macro_scores", _F1 + "SELECT tol, round(avg(precision::DOUBLE), 8) AS precision, round(avg(recall::DOUBLE), 8) AS recall, round(avg(f1::DOUBLE), 8) AS f1, count(*) AS n_units FROM sc GROUP BY tol")
 def v03(spark, d):
     """Means over all units; those without a prediction score 0."""
     m = E.macro_average(E.f1_at_tolerance(boundary_pairs(spark, d), [2.0, 5.0]), ["tol"], ["precision", "recall", "f1"])
-    return m.select("tol", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "n_units")
+    return m.select("tol", *[r8(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "n_units")
 
 
 @query("j04_missing_predictions", DOCS + "SELECT unit FROM gt WHERE unit NOT IN (SELECT unit FROM pred)")
@@ -107,14 +107,14 @@ def numbered(docs):
 
 _PS = """, ps AS (SELECT unit, stem, n - 1 AS seg_no, x.start_sec AS start_sec, x.end_sec AS end_sec FROM (SELECT unit, stem, unnest(segments) AS x, generate_subscripts(segments, 1) AS n FROM pred)),
 gs AS (SELECT unit, stem, n - 1 AS seg_no, x.start_sec AS start_sec, x.end_sec AS end_sec FROM (SELECT unit, stem, unnest(segments) AS x, generate_subscripts(segments, 1) AS n FROM gt)),
-conf AS (SELECT ps.unit, ps.seg_no, any_value(ps.start_sec) AS start_sec, any_value(ps.end_sec) AS end_sec, round(coalesce(avg(s.energy), any_value(ps.end_sec - ps.start_sec)), 6) AS conf
+conf AS (SELECT ps.unit, ps.seg_no, any_value(ps.start_sec) AS start_sec, any_value(ps.end_sec) AS end_sec, round(coalesce(avg(s.energy), any_value(ps.end_sec - ps.start_sec)), 8) AS conf
   FROM ps LEFT JOIN s ON s.stem = ps.stem AND s.win * 4.0::DOUBLE / 10.0::DOUBLE BETWEEN ps.start_sec AND ps.end_sec GROUP BY ps.unit, ps.seg_no)
 """
 
 
 def confidences(spark, d):
     p = numbered(predictions(documents(spark, d)))
-    return E.segment_confidence(p, series(spark, d), STRIDE, FPS).withColumn("conf", r6(F.col("conf")))
+    return E.segment_confidence(p, series(spark, d), STRIDE, FPS).withColumn("conf", r8(F.col("conf")))
 
 
 @query("j05_segment_confidence", SERIES_SQL + "," + DOCS_SQL + _PS + "SELECT unit, seg_no, conf FROM conf")
@@ -126,12 +126,12 @@ def j05(spark, d):
 @query(
     "f02_iou_pairs",
     DOCS + _PS.split("conf AS (")[0].rstrip().rstrip(",") + """
-    SELECT p.unit, p.seg_no AS a_no, g.seg_no AS b_no, round((least(p.end_sec, g.end_sec) - greatest(p.start_sec, g.start_sec)) / greatest(1e-8, (p.end_sec - p.start_sec) + (g.end_sec - g.start_sec) - (least(p.end_sec, g.end_sec) - greatest(p.start_sec, g.start_sec))), 6) AS iou
+    SELECT p.unit, p.seg_no AS a_no, g.seg_no AS b_no, round((least(p.end_sec, g.end_sec) - greatest(p.start_sec, g.start_sec)) / greatest(1e-8, (p.end_sec - p.start_sec) + (g.end_sec - g.start_sec) - (least(p.end_sec, g.end_sec) - greatest(p.start_sec, g.start_sec))), 8) AS iou
     FROM ps p JOIN gs g ON p.unit = g.unit AND p.start_sec < g.end_sec AND g.start_sec < p.end_sec""",
 )
 def f02(spark, d):
     docs = documents(spark, d)
-    return E.iou_pairs(numbered(predictions(docs)), numbered(ground_truth(docs))).withColumn("iou", r6(F.col("iou")))
+    return E.iou_pairs(numbered(predictions(docs)), numbered(ground_truth(docs))).withColumn("iou", r8(F.col("iou")))
 
 
 _DET = (
@@ -170,13 +170,13 @@ def j09(spark, d):
     _DET
     + """, n AS (SELECT sum(len(segments)) AS npos FROM gt), c AS (SELECT iou, tp, sum(tp) OVER w AS t, row_number() OVER w AS k, unit, seg_no, conf FROM det WINDOW w AS (PARTITION BY iou ORDER BY conf DESC, unit, seg_no)),
     e AS (SELECT iou, tp, max(t / k) OVER (PARTITION BY iou ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM c)
-    SELECT iou, round(sum(tp * env / (SELECT npos FROM n)), 6) AS ap FROM e GROUP BY iou""",
+    SELECT iou, round(sum(tp * env / (SELECT npos FROM n)), 8) AS ap FROM e GROUP BY iou""",
 )
 def v02(spark, d):
     """Mean average precision at IoU 0.5 and 0.75."""
     dets, g = detections(spark, d)
     npos = g.agg(F.sum(F.size("segments")).alias("npos"))
-    return E.average_precision(dets, npos).select("iou", r6(F.col("ap")).alias("ap"))
+    return E.average_precision(dets, npos).select("iou", r8(F.col("ap")).alias("ap"))
 
 
 @query("u05_tolerances", "SELECT list_sort(list_distinct([5.0::DOUBLE, 2.0::DOUBLE, 2.0::DOUBLE])) AS tols")
@@ -300,8 +300,8 @@ def w10(spark, d):
 
 @query(
     "t09_segment_frames",
-    """SELECT seg_id, min(segment.start_win * 4 + 1 + 7) AS center, min(segment.start_win * 4 + 15 - 4 + 1) AS at_end, min(segment.start_win * 4 + 1) AS at_start, round(min(segment.start_frame / 10.0::DOUBLE), 6) AS start_sec,
-    round(min(segment.start_frame / 10.0::DOUBLE + (segment.end_frame - segment.start_frame + 1) / 10.0::DOUBLE), 6) AS end_sec FROM seg_codes WHERE segment.start_win IS NOT NULL AND segment.start_frame IS NOT NULL AND segment.end_frame IS NOT NULL GROUP BY seg_id""",
+    """SELECT seg_id, min(segment.start_win * 4 + 1 + 7) AS center, min(segment.start_win * 4 + 15 - 4 + 1) AS at_end, min(segment.start_win * 4 + 1) AS at_start, round(min(segment.start_frame / 10.0::DOUBLE), 8) AS start_sec,
+    round(min(segment.start_frame / 10.0::DOUBLE + (segment.end_frame - segment.start_frame + 1) / 10.0::DOUBLE), 8) AS end_sec FROM seg_codes WHERE segment.start_win IS NOT NULL AND segment.start_frame IS NOT NULL AND segment.end_frame IS NOT NULL GROUP BY seg_id""",
 )
 def t09(spark, d):
     """First frames by alignment, and seconds."""
@@ -309,7 +309,7 @@ def t09(spark, d):
     ws = F.col("segment.start_win").cast("long") * 4 + 1
     times = G.segment_times(F.col("segment.start_frame"), F.col("segment.end_frame"), FPS)
     starts = [F.min(G.start_frame(ws, ws + 14, how, T, 4)).alias(n) for how, n in (("center", "center"), ("end", "at_end"), ("start", "at_start"))]
-    return t.groupBy("seg_id").agg(*starts, r6(F.min(times["start_sec"])).alias("start_sec"), r6(F.min(times["end_sec"])).alias("end_sec"))
+    return t.groupBy("seg_id").agg(*starts, r8(F.min(times["start_sec"])).alias("start_sec"), r8(F.min(times["end_sec"])).alias("end_sec"))
 
 
 @query("pred07_min_length", "WITH RECURSIVE " + LINES_SQL + "," + recursion(None, G.Rule(on=2.0, cooldown=2)) + "SELECT path, i0, i1 FROM seg WHERE i1 - i0 + 1 >= 5")
@@ -330,8 +330,8 @@ def pred09(spark, d):
     """WITH f AS (SELECT doc_path, segments, video_duration_sec AS dur, coalesce(CASE WHEN fps > 0 AND NOT isnan(fps) THEN fps END, CASE WHEN segmentation_params.orig_fps > 0 AND NOT isnan(segmentation_params.orig_fps) THEN segmentation_params.orig_fps END) AS orig,
     CASE WHEN segmentation_params.target_fps > 0 THEN segmentation_params.target_fps ELSE 10.0 END AS target FROM seg_docs),
     g AS (SELECT *, CASE WHEN segments IS NULL THEN 'error_no_segments' WHEN orig IS NULL THEN 'skip_no_fps' WHEN abs(orig - target) < 1e-6 THEN 'skip_same_fps' ELSE 'ok' END AS status FROM f)
-    SELECT doc_path, status, round(CASE WHEN status = 'ok' THEN target / orig END, 6) AS scale,
-    round(CASE WHEN status = 'ok' THEN list_max(list_transform(segments, lambda x: x.end_sec * target / orig)) END, 6) AS max_end,
+    SELECT doc_path, status, round(CASE WHEN status = 'ok' THEN target / orig END, 8) AS scale,
+    round(CASE WHEN status = 'ok' THEN list_max(list_transform(segments, lambda x: x.end_sec * target / orig)) END, 8) AS max_end,
     CASE WHEN status = 'ok' THEN coalesce(list_max(list_transform(segments, lambda x: x.end_sec * target / orig)) > dur + 1e-6, false) END AS too_long FROM g""",
 )
 def q14(spark, d):
@@ -339,7 +339,7 @@ def q14(spark, d):
     from stridelake.operators.quality import timebase_repair
 
     t = timebase_repair(load(spark, d, "seg_docs"), FPS)
-    return t.select("doc_path", "status", r6(F.col("scale")).alias("scale"), r6(F.array_max(F.transform("fixed", lambda x: x["end_sec"]))).alias("max_end"), "too_long")
+    return t.select("doc_path", "status", r8(F.col("scale")).alias("scale"), r8(F.array_max(F.transform("fixed", lambda x: x["end_sec"]))).alias("max_end"), "too_long")
 
 
 @query(
@@ -356,9 +356,9 @@ def f14(spark, d):
     return load(spark, d, "seg_docs").where("video_duration_sec is not null").select("doc_path", fn.clock(F.col("video_duration_sec")).alias("clock"))
 
 
-@query("f01_times", SERIES_SQL + "SELECT path, win, round(win * 4.0::DOUBLE / 10.0, 6) AS sec, CAST(round_even((win * 0.37::DOUBLE) * 10.0 / 4.0, 0) AS BIGINT) AS win_of FROM s")
+@query("f01_times", SERIES_SQL + "SELECT path, win, round(win * 4.0::DOUBLE / 10.0, 8) AS sec, CAST(round_even((win * 0.37::DOUBLE) * 10.0 / 4.0, 0) AS BIGINT) AS win_of FROM s")
 def f01(spark, d):
-    return series(spark, d).select("path", "win", r6(fn.window_to_sec(F.col("win"), F.lit(STRIDE), F.lit(FPS))).alias("sec"), fn.sec_to_window(F.col("win") * 0.37, F.lit(STRIDE), F.lit(FPS)).alias("win_of"))
+    return series(spark, d).select("path", "win", r8(fn.window_to_sec(F.col("win"), F.lit(STRIDE), F.lit(FPS))).alias("sec"), fn.sec_to_window(F.col("win") * 0.37, F.lit(STRIDE), F.lit(FPS)).alias("win_of"))
 
 
 @query("f09_names", "SELECT doc_path, regexp_replace(regexp_extract(doc_path, '([^/]+)$', 1), '\\.[^.]*$', '') AS stem, printf('segment_%04d_startwin_%06d', len(segments), 7) AS name FROM seg_docs WHERE doc_path IS NOT NULL AND segments IS NOT NULL")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stridelake.plans import energy, evaluation, implausible, vectors
+from stridelake.plans.common import nudged
 
 _MODULES = [implausible, energy, evaluation, vectors]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
-ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
+ORACLE_SQL = {k: nudged(v) for m in _MODULES for k, v in m.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

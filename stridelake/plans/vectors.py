@@ -13,7 +13,7 @@ from stridelake.operators import sampling as O
 from stridelake.operators import segmenter as G
 from stridelake.operators import series as S
 from stridelake.operators import vectors as V
-from stridelake.plans.common import DT, LINES_SQL, SERIES_SQL, lines, r6, r8, series
+from stridelake.plans.common import DT, LINES_SQL, SERIES_SQL, lines, r8, series
 from stridelake.plans.energy import RULE, recursion
 from stridelake.sources.tables import load
 
@@ -47,43 +47,43 @@ def tokens(spark, d):
     return v.groupBy("seg").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "x"))), lambda s: s["x"]).alias("tokens"))
 
 
-@query("e01_l2_mean", _SEG + "SELECT seg, round(avg(nrm), 6) AS energy FROM nm GROUP BY seg")
+@query("e01_l2_mean", _SEG + "SELECT seg, round(avg(nrm), 8) AS energy FROM nm GROUP BY seg")
 def e01(spark, d):
-    return tokens(spark, d).select("seg", r6(V.l2_mean(F.col("tokens"))).alias("energy"))
+    return tokens(spark, d).select("seg", r8(V.l2_mean(F.col("tokens"))).alias("energy"))
 
 
 @query(
     "e02_token_diff",
     _SEG + """, s AS (SELECT seg, pos, nrm, sqrt(list_sum(list_transform(list_zip(x, lag(x) OVER (PARTITION BY seg ORDER BY pos)), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS st, lag(pos) OVER (PARTITION BY seg ORDER BY pos) AS pp FROM nm)
-    SELECT seg, round(CASE WHEN count(*) < 2 THEN avg(nrm) ELSE avg(CASE WHEN pp IS NOT NULL THEN st END) END, 6) AS energy FROM s GROUP BY seg""",
+    SELECT seg, round(CASE WHEN count(*) < 2 THEN avg(nrm) ELSE avg(CASE WHEN pp IS NOT NULL THEN st END) END, 8) AS energy FROM s GROUP BY seg""",
 )
 def e02(spark, d):
-    return tokens(spark, d).select("seg", r6(V.token_diff_l2_mean(F.col("tokens"))).alias("energy"))
+    return tokens(spark, d).select("seg", r8(V.token_diff_l2_mean(F.col("tokens"))).alias("energy"))
 
 
 @query(
     "e04_dispatch",
-    "WITH " + LINES_SQL.strip() + """ SELECT path, source, round(CASE WHEN source = 'velocity' THEN 2.0 WHEN mode = 'token_diff_l2_mean' THEN 5.0 ELSE (5.0 + 10.0) / 2 END::DOUBLE, 6) AS energy, round(CASE WHEN win % 3 = 0 OR (win % 5 = 0 AND source <> 'velocity') THEN 0.0 ELSE energy END::DOUBLE, 6) AS gated_energy FROM s""",
+    "WITH " + LINES_SQL.strip() + """ SELECT path, source, round(CASE WHEN source = 'velocity' THEN 2.0 WHEN mode = 'token_diff_l2_mean' THEN 5.0 ELSE (5.0 + 10.0) / 2 END::DOUBLE, 8) AS energy, round(CASE WHEN win % 3 = 0 OR (win % 5 = 0 AND source <> 'velocity') THEN 0.0 ELSE energy END::DOUBLE, 8) AS gated_energy FROM s""",
 )
 def e04(spark, d):
     """E03 to E05 on a fixed pair of tokens and speeds, and the gating rule."""
     t = F.array(F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(6.0), F.lit(8.0)))
     e = V.window_energy(F.col("source"), F.col("mode"), t, F.array(F.lit(1.0), F.lit(3.0)))
     g = V.gated(F.col("energy"), F.col("win") % 3 == 0, F.col("win") % 5 == 0, F.col("source"))
-    return series(spark, d).select("path", "source", r6(e).alias("e"), r6(g).alias("gated_energy")).withColumnRenamed("e", "energy")
+    return series(spark, d).select("path", "source", r8(e).alias("e"), r8(g).alias("gated_energy")).withColumnRenamed("e", "energy")
 
 
 def _pool(name: str, sql: str):
     @query(f"c01_pool_{name}", sql)
     def run(spark, d):
-        return tokens(spark, d).select("seg", F.posexplode(V.POOLS[name](F.col("tokens"))).alias("dim", "v")).select("seg", F.col("dim").cast("long").alias("dim"), r6(F.col("v")).alias("v"))
+        return tokens(spark, d).select("seg", F.posexplode(V.POOLS[name](F.col("tokens"))).alias("dim", "v")).select("seg", F.col("dim").cast("long").alias("dim"), r8(F.col("v")).alias("v"))
 
 
-_pool("mean", _SEG + "SELECT seg, dim, round(avg(a), 6) + 0.0 AS v FROM e GROUP BY seg, dim")
-_pool("max", _SEG + "SELECT seg, dim, round(max(a), 6) + 0.0 AS v FROM e GROUP BY seg, dim")
-_pool("mean_std", _SEG + "SELECT seg, dim, round(avg(a), 6) + 0.0 AS v FROM e GROUP BY seg, dim UNION ALL SELECT seg, dim + 64, round(stddev_pop(a), 6) FROM e GROUP BY seg, dim")
-_pool("first_last", _SEG + "SELECT seg, dim, round(arg_min(a, pos), 6) + 0.0 AS v FROM e GROUP BY seg, dim UNION ALL SELECT seg, dim + 64, round(arg_max(a, pos), 6) + 0.0 FROM e GROUP BY seg, dim")
-_pool("attn_norm", _SEG + ", t AS (SELECT seg, sum(nrm) AS t FROM nm GROUP BY seg) SELECT e.seg, dim, round(sum(a * nrm / (t + 1e-8)), 6) + 0.0 AS v FROM e JOIN t USING (seg) GROUP BY e.seg, dim")
+_pool("mean", _SEG + "SELECT seg, dim, round(avg(a), 8) + 0.0 AS v FROM e GROUP BY seg, dim")
+_pool("max", _SEG + "SELECT seg, dim, round(max(a), 8) + 0.0 AS v FROM e GROUP BY seg, dim")
+_pool("mean_std", _SEG + "SELECT seg, dim, round(avg(a), 8) + 0.0 AS v FROM e GROUP BY seg, dim UNION ALL SELECT seg, dim + 64, round(stddev_pop(a), 8) FROM e GROUP BY seg, dim")
+_pool("first_last", _SEG + "SELECT seg, dim, round(arg_min(a, pos), 8) + 0.0 AS v FROM e GROUP BY seg, dim UNION ALL SELECT seg, dim + 64, round(arg_max(a, pos), 8) + 0.0 FROM e GROUP BY seg, dim")
+_pool("attn_norm", _SEG + ", t AS (SELECT seg, sum(nrm) AS t FROM nm GROUP BY seg) SELECT e.seg, dim, round(sum(a * nrm / (t + 1e-8)), 8) + 0.0 AS v FROM e JOIN t USING (seg) GROUP BY e.seg, dim")
 
 
 @query("c03_standardised", _V + "e AS (SELECT id, unnest(x) AS a, generate_subscripts(x, 1) - 1 AS dim FROM v), m AS (SELECT dim, avg(a) AS mu, stddev_pop(a) AS sd FROM e GROUP BY dim) SELECT id, e.dim, round((a - mu) / CASE WHEN sd < 1e-9 THEN 1.0 ELSE sd END, 5) + 0.0 AS z FROM e JOIN m ON e.dim = m.dim")
@@ -92,9 +92,9 @@ def c03(spark, d):
     return z.select("id", F.col("dim").cast("long").alias("dim"), (F.round("z", 5) + 0.0).alias("z"))
 
 
-@query("c04_unit_rows", _V + "u AS (SELECT id, x, sqrt(list_sum(list_transform(x, lambda a: a * a))) AS n FROM v) SELECT id, round(list_sum(list_transform(x, lambda a: abs(a) / greatest(n, 1e-12))), 6) AS l1 FROM u")
+@query("c04_unit_rows", _V + "u AS (SELECT id, x, sqrt(list_sum(list_transform(x, lambda a: a * a))) AS n FROM v) SELECT id, round(list_sum(list_transform(x, lambda a: abs(a) / greatest(n, 1e-12))), 8) AS l1 FROM u")
 def c04(spark, d):
-    return V.unit_vectors(vectors(spark, d)).select("id", r6(F.aggregate("x", F.lit(0.0), lambda a, b: a + F.abs(b))).alias("l1"))
+    return V.unit_vectors(vectors(spark, d)).select("id", r8(F.aggregate("x", F.lit(0.0), lambda a, b: a + F.abs(b))).alias("l1"))
 
 
 @query("c05_pair_distances", _V + "z AS (SELECT 1) SELECT a.id AS i, b.id AS j, round(list_distance(a.x, b.x), 5) AS dist FROM v a JOIN v b ON a.id < b.id WHERE list_distance(a.x, b.x) < 8")
@@ -108,9 +108,9 @@ def c20(spark, d):
     return V.pair_distances(vectors(spark, d), "cosine").where("dist < 0.7").withColumn("dist", F.round("dist", 5))
 
 
-@query("o04_top_pairs", _V + "z AS (SELECT 1) SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.x, b.x), 6) AS sim FROM v a JOIN v b ON a.id < b.id ORDER BY sim DESC, i DESC, j DESC LIMIT 10")
+@query("o04_top_pairs", _V + "z AS (SELECT 1) SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.x, b.x), 8) AS sim FROM v a JOIN v b ON a.id < b.id ORDER BY sim DESC, i DESC, j DESC LIMIT 10")
 def o04(spark, d):
-    p = V.pair_distances(vectors(spark, d), "cosine").select("i", "j", r6(1 - F.col("dist")).alias("sim"))
+    p = V.pair_distances(vectors(spark, d), "cosine").select("i", "j", r8(1 - F.col("dist")).alias("sim"))
     return V.top_pairs(p, 10)
 
 
@@ -122,10 +122,10 @@ def c26(spark, d):
     return V.knn_of(V.pair_distances(vectors(spark, d)).withColumn("dist", F.round("dist", 9)), 3).select("i", "j", F.round("dist", 5).alias("dist"))
 
 
-@query("c21_mean_cosine", _V + "z AS (SELECT 1) SELECT a.label, round(avg(list_cosine_similarity(a.x, b.x)), 6) + 0.0 AS mean_cosine FROM v a JOIN v b ON a.label = b.label AND a.id < b.id GROUP BY a.label")
+@query("c21_mean_cosine", _V + "z AS (SELECT 1) SELECT a.label, round(avg(list_cosine_similarity(a.x, b.x)), 8) + 0.0 AS mean_cosine FROM v a JOIN v b ON a.label = b.label AND a.id < b.id GROUP BY a.label")
 def c21(spark, d):
     """ICSS over all pairs of a cluster, in closed form."""
-    return V.mean_cosine(vectors(spark, d)).where("n > 1").select("label", r6(F.col("mean_cosine")).alias("mean_cosine"))
+    return V.mean_cosine(vectors(spark, d)).where("n > 1").select("label", r8(F.col("mean_cosine")).alias("mean_cosine"))
 
 
 @query(
@@ -134,22 +134,22 @@ def c21(spark, d):
     u AS (SELECT label, x, sqrt(list_sum(list_transform(x, lambda t: t * t))) AS n FROM v), e AS (SELECT label, unnest(x) / n AS a, generate_subscripts(x, 1) AS dim FROM u),
     c AS (SELECT label, list(s ORDER BY dim) AS x FROM (SELECT label, dim, sum(a) AS s FROM e GROUP BY label, dim) GROUP BY label),
     i AS (SELECT avg(1 - list_cosine_similarity(a.x, b.x)) AS inter FROM c a JOIN c b ON a.label < b.label)
-    SELECT round(avg(m), 6) AS intra, round(any_value(inter), 6) AS inter, round(avg(m) / (any_value(inter) + 1e-8), 6) AS ratio FROM p, i""",
+    SELECT round(avg(m), 8) AS intra, round(any_value(inter), 8) AS inter, round(avg(m) / (any_value(inter) + 1e-8), 8) AS ratio FROM p, i""",
 )
 def c06(spark, d):
     x = V.intra_inter_cosine(vectors(spark, d))
-    return x.select(*[r6(F.col(c)).alias(c) for c in ("intra", "inter", "ratio")])
+    return x.select(*[r8(F.col(c)).alias(c) for c in ("intra", "inter", "ratio")])
 
 
 @query(
     "c16_matrix_intra_inter",
     _V + """z AS (SELECT 1), p AS (SELECT least(a.label, b.label) AS p, greatest(a.label, b.label) AS q, avg(list_distance(a.x, b.x)) AS m FROM v a JOIN v b ON a.id < b.id GROUP BY 1, 2)
-    SELECT round(avg(CASE WHEN p = q THEN m END), 6) AS intra, round(avg(CASE WHEN p <> q THEN m END), 6) AS inter FROM p""",
+    SELECT round(avg(CASE WHEN p = q THEN m END), 8) AS intra, round(avg(CASE WHEN p <> q THEN m END), 8) AS inter FROM p""",
 )
 def c16(spark, d):
     v = vectors(spark, d)
     x = V.matrix_intra_inter(V.pair_distances(v), v.select("id", "label"))
-    return x.select(r6(F.col("intra")).alias("intra"), r6(F.col("inter")).alias("inter"))
+    return x.select(r8(F.col("intra")).alias("intra"), r8(F.col("inter")).alias("inter"))
 
 
 @query(
@@ -168,10 +168,10 @@ _CEN = _V + "e AS (SELECT id, label, unnest(x) AS a, generate_subscripts(x, 1) A
 @query(
     "c09_davies_bouldin",
     _CEN + """, s AS (SELECT v.label, avg(list_distance(x, c)) AS s, any_value(c) AS c FROM v JOIN cv ON v.label = cv.label GROUP BY v.label),
-    r AS (SELECT a.label, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM s a JOIN s b ON a.label <> b.label GROUP BY a.label) SELECT round(avg(r), 6) AS davies_bouldin FROM r""",
+    r AS (SELECT a.label, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM s a JOIN s b ON a.label <> b.label GROUP BY a.label) SELECT round(avg(r), 8) AS davies_bouldin FROM r""",
 )
 def c09_db(spark, d):
-    return V.davies_bouldin(vectors(spark, d)).select(r6(F.col("davies_bouldin")).alias("davies_bouldin"))
+    return V.davies_bouldin(vectors(spark, d)).select(r8(F.col("davies_bouldin")).alias("davies_bouldin"))
 
 
 @query(
@@ -194,9 +194,9 @@ def c11(spark, d):
     return V.pca(vectors(spark, d), 2)
 
 
-@query("c12_step_norms", _SEG + "SELECT seg, pos, round(nrm, 6) AS v FROM nm")
+@query("c12_step_norms", _SEG + "SELECT seg, pos, round(nrm, 8) AS v FROM nm")
 def c12(spark, d):
-    return tokens(spark, d).select("seg", F.posexplode(V.to_series(F.col("tokens"))).alias("pos", "v")).select("seg", F.col("pos").cast("long").alias("pos"), r6(F.col("v")).alias("v"))
+    return tokens(spark, d).select("seg", F.posexplode(V.to_series(F.col("tokens"))).alias("pos", "v")).select("seg", F.col("pos").cast("long").alias("pos"), r8(F.col("v")).alias("v"))
 
 
 @query("c13_zscores", _SEG + "SELECT seg, pos, round((nrm - avg(nrm) OVER (PARTITION BY seg)) / (stddev_pop(nrm) OVER (PARTITION BY seg) + 1e-8), 4) + 0.0 AS z FROM nm")
@@ -211,7 +211,7 @@ def c14(spark, d):
     """Exact warping distance between neighbouring segments' step norms."""
     t = tokens(spark, d).select("seg", V.to_series(F.col("tokens")).alias("v"))
     n = t.select((F.col("seg") - 1).alias("seg"), F.col("v").alias("b"), F.col("seg").alias("j"))
-    return V.dtw_pairs(t.join(n, "seg").select(F.col("seg").alias("i"), "j", F.col("v").alias("a"), "b")).withColumn("dist", r6(F.col("dist")))
+    return V.dtw_pairs(t.join(n, "seg").select(F.col("seg").alias("i"), "j", F.col("v").alias("a"), "b")).withColumn("dist", r8(F.col("dist")))
 
 
 @query("c15_linkage")
@@ -226,10 +226,10 @@ def c24(spark, d):
     return V.pick_model(s.select(F.col("k").cast("string").alias("model"), "silhouette", F.lit(1.0).alias("ratio"), F.col("k").alias("size")))
 
 
-@query("a14_dimension_stats", _V + "e AS (SELECT unnest(x) AS a, generate_subscripts(x, 1) - 1 AS dim FROM v) SELECT dim, round(avg(a), 6) + 0.0 AS mean, round(stddev_pop(a), 6) AS sd FROM e GROUP BY dim")
+@query("a14_dimension_stats", _V + "e AS (SELECT unnest(x) AS a, generate_subscripts(x, 1) - 1 AS dim FROM v) SELECT dim, round(avg(a), 8) + 0.0 AS mean, round(stddev_pop(a), 8) AS sd FROM e GROUP BY dim")
 def a14(spark, d):
     st = V.column_stats(vectors(spark, d)).select(F.posexplode(F.arrays_zip("mean", "sd")).alias("dim", "z"))
-    return st.select(F.col("dim").cast("long").alias("dim"), r6(F.col("z.mean")).alias("mean"), r6(F.col("z.sd")).alias("sd"))
+    return st.select(F.col("dim").cast("long").alias("dim"), r8(F.col("z.mean")).alias("mean"), r8(F.col("z.sd")).alias("sd"))
 
 
 # --- codes ------------------------------------------------------------------------------------------------------------------
@@ -256,27 +256,27 @@ def u06(spark, d):
 @query(
     "a13_code_report",
     _ONE + """, f AS (SELECT CAST(code AS BIGINT) AS code, count(*) AS n FROM tok WHERE code IS NOT NULL GROUP BY code)
-    SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS "distinct", min(code) AS min_code, max(code) AS max_code, round(avg(n), 6) AS mean_n, round(stddev_pop(n), 6) AS std_n,
+    SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS "distinct", min(code) AS min_code, max(code) AS max_code, round(avg(n), 8) AS mean_n, round(stddev_pop(n), 8) AS std_n,
     (SELECT string_agg(code, ' ' ORDER BY n DESC, code) FROM (SELECT * FROM f ORDER BY n DESC, code LIMIT 10)) AS most, (SELECT string_agg(code, ' ' ORDER BY n, code) FROM (SELECT * FROM f ORDER BY n, code LIMIT 10)) AS least FROM f""",
 )
 def a13(spark, d):
     r = C.frequency_report(codes(spark, d))
     text = lambda c: F.concat_ws(" ", F.col(c).cast("array<string>"))
-    return r.select("total", "distinct", "min_code", "max_code", r6(F.col("mean_n")).alias("mean_n"), r6(F.col("std_n")).alias("std_n"), text("most").alias("most"), text("least").alias("least"))
+    return r.select("total", "distinct", "min_code", "max_code", r8(F.col("mean_n")).alias("mean_n"), r8(F.col("std_n")).alias("std_n"), text("most").alias("most"), text("least").alias("least"))
 
 
 _P = _ONE + ", f AS (SELECT code, count(*) AS n FROM tok WHERE code IS NOT NULL GROUP BY code), t AS (SELECT sum(n) AS t FROM f)\n"
 
 
-@query("a16_perplexity", _P + "SELECT round(pow(2, -sum(n / t * log2(n / t + 1e-10))), 6) AS perplexity, round(pow(2, -sum(n / t * log2(n / t + 1e-10))) / least(2048, any_value(t)), 6) AS normalised FROM f, t")
+@query("a16_perplexity", _P + "SELECT round(pow(2, -sum(n / t * log2(n / t + 1e-10))), 8) AS perplexity, round(pow(2, -sum(n / t * log2(n / t + 1e-10))) / least(2048, any_value(t)), 8) AS normalised FROM f, t")
 def a16(spark, d):
-    return C.perplexity(codes(spark, d), 2048).select(r6(F.col("perplexity")).alias("perplexity"), r6(F.col("normalised")).alias("normalised"))
+    return C.perplexity(codes(spark, d), 2048).select(r8(F.col("perplexity")).alias("perplexity"), r8(F.col("normalised")).alias("normalised"))
 
 
-@query("a17_entropy", _P + "SELECT round(-sum(n / t * ln(n / t)), 6) AS entropy, round(-sum(n / t * ln(n / t)) / ln(greatest(max(code) + 1, 2048)), 6) AS normalised, count(*) AS \"unique\", round(exp(-sum(n / t * ln(n / t))), 5) AS perplexity FROM f, t")
+@query("a17_entropy", _P + "SELECT round(-sum(n / t * ln(n / t)), 8) AS entropy, round(-sum(n / t * ln(n / t)) / ln(greatest(max(code) + 1, 2048)), 8) AS normalised, count(*) AS \"unique\", round(exp(-sum(n / t * ln(n / t))), 5) AS perplexity FROM f, t")
 def a17(spark, d):
     e = C.entropy(codes(spark, d), 2048)
-    return e.select(r6(F.col("entropy")).alias("entropy"), r6(F.col("normalised")).alias("normalised"), "unique", F.round("perplexity", 5).alias("perplexity"))
+    return e.select(r8(F.col("entropy")).alias("entropy"), r8(F.col("normalised")).alias("normalised"), "unique", F.round("perplexity", 5).alias("perplexity"))
 
 
 @query("a18_dead_codes", _ONE + "SELECT c AS code FROM range(0, 2048) r(c) WHERE c NOT IN (SELECT code FROM tok WHERE code IS NOT NULL)")
@@ -287,27 +287,27 @@ def a18(spark, d):
 _BOW = _ONE + ", b AS (SELECT seg, CAST(greatest(0, least(2047, code)) AS BIGINT) AS code, count(*) AS n FROM tok WHERE code IS NOT NULL GROUP BY 1, 2)\n"
 
 
-@query("c17_bag", _BOW + "SELECT seg, code, n, round(n / (sum(n) OVER (PARTITION BY seg) + 1e-8), 6) AS share FROM b")
+@query("c17_bag", _BOW + "SELECT seg, code, n, round(n / (sum(n) OVER (PARTITION BY seg) + 1e-8), 8) AS share FROM b")
 def c17(spark, d):
-    return C.bag(codes(spark, d)).withColumn("share", r6(F.col("share")))
+    return C.bag(codes(spark, d)).withColumn("share", r8(F.col("share")))
 
 
 @query(
     "c18_tfidf",
     _BOW + """, k AS (SELECT count(DISTINCT seg) AS k FROM b), df AS (SELECT code, count(*) AS df FROM b GROUP BY code), w AS (SELECT seg, code, n * (ln((1 + k) / (1 + df)) + 1) AS w FROM b JOIN df USING (code), k)
-    SELECT seg, code, round(w / sqrt(sum(w * w) OVER (PARTITION BY seg)), 6) AS w FROM w""",
+    SELECT seg, code, round(w / sqrt(sum(w * w) OVER (PARTITION BY seg)), 8) AS w FROM w""",
 )
 def c18(spark, d):
-    return C.tfidf(codes(spark, d)).withColumn("w", r6(F.col("w")))
+    return C.tfidf(codes(spark, d)).withColumn("w", r8(F.col("w")))
 
 
 @query(
     "c19_bigrams",
     _ONE + """, p AS (SELECT seg, code, lead(code) OVER (PARTITION BY seg ORDER BY pos) AS nx FROM tok), b AS (SELECT seg, ((1315423911 * code::BIGINT + 2654435761 * nx::BIGINT) % 16384 + 16384) % 16384 AS bucket, count(*) AS n FROM p WHERE code IS NOT NULL AND nx IS NOT NULL GROUP BY 1, 2)
-    SELECT seg, bucket, n, round(n / (sum(n) OVER (PARTITION BY seg) + 1e-8), 6) AS share FROM b""",
+    SELECT seg, bucket, n, round(n / (sum(n) OVER (PARTITION BY seg) + 1e-8), 8) AS share FROM b""",
 )
 def c19(spark, d):
-    return C.bigram_hash(codes(spark, d)).withColumn("share", r6(F.col("share")))
+    return C.bigram_hash(codes(spark, d)).withColumn("share", r8(F.col("share")))
 
 
 @query("j10_positional_zip", "WITH z AS (SELECT seg_id, unnest(codes_windows) AS c, unnest(quantized_windows) AS v, generate_subscripts(codes_windows, 1) - 1 AS win FROM seg_codes WHERE quantized_windows IS NOT NULL AND codes_windows IS NOT NULL AND len(codes_windows) = len(quantized_windows)) SELECT seg_id, win, count(*) AS n, CAST(sum(c1) AS BIGINT) AS codes FROM (SELECT seg_id, win, unnest(c) AS c1 FROM z WHERE len(c) = len(v)) GROUP BY 1, 2")
@@ -367,28 +367,28 @@ def steps(spark, d):
     return p.withColumn("speed", F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")))
 
 
-@query("w08_track_velocity", _TR + "SELECT point_id, round(dr, 6) + 0.0 AS dr, round(dc, 6) + 0.0 AS dc FROM sp")
+@query("w08_track_velocity", _TR + "SELECT point_id, round(dr, 8) + 0.0 AS dr, round(dc, 8) + 0.0 AS dc FROM sp")
 def w08_tracks(spark, d):
-    return steps(spark, d).select("point_id", r6(F.col("dr")).alias("dr"), r6(F.col("dc")).alias("dc"))
+    return steps(spark, d).select("point_id", r8(F.col("dr")).alias("dr"), r8(F.col("dc")).alias("dc"))
 
 
-@query("pred02_motion_gate", _TR + "SELECT file, view_name, t, round(avg(speed), 6) AS mean_speed, round(avg(CASE WHEN speed > 2 THEN 1.0 ELSE 0.0 END), 6) AS active, avg(speed) < 2 AND avg(CASE WHEN speed > 2 THEN 1.0 ELSE 0.0 END) < 0.1 AS dropped FROM sp GROUP BY 1, 2, 3")
+@query("pred02_motion_gate", _TR + "SELECT file, view_name, t, round(avg(speed), 8) AS mean_speed, round(avg(CASE WHEN speed > 2 THEN 1.0 ELSE 0.0 END), 8) AS active, avg(speed) < 2 AND avg(CASE WHEN speed > 2 THEN 1.0 ELSE 0.0 END) < 0.1 AS dropped FROM sp GROUP BY 1, 2, 3")
 def pred02(spark, d):
     """Dropped if both the mean and the share of active points are small."""
     a = F.avg(F.when(F.col("speed") > 2, 1.0).otherwise(0.0))
-    return steps(spark, d).groupBy("file", "view_name", "t").agg(r6(F.avg("speed")).alias("mean_speed"), r6(a).alias("active"), ((F.avg("speed") < 2) & (a < 0.1)).alias("dropped"))
+    return steps(spark, d).groupBy("file", "view_name", "t").agg(r8(F.avg("speed")).alias("mean_speed"), r8(a).alias("active"), ((F.avg("speed") < 2) & (a < 0.1)).alias("dropped"))
 
 
 @query(
     "pred03_static_points",
     _TR + """, f AS (SELECT *, arg_min(pt_row, t * 1000 + h) OVER w AS r0, arg_min(pt_col, t * 1000 + h) OVER w AS c0 FROM p WINDOW w AS (PARTITION BY file, view_name, n))
-    SELECT file, view_name, n, round(max(sqrt(pow(pt_row - r0, 2) + pow(pt_col - c0, 2))), 6) AS reach FROM f GROUP BY 1, 2, 3 HAVING max(sqrt(pow(pt_row - r0, 2) + pow(pt_col - c0, 2))) > 5""",
+    SELECT file, view_name, n, round(max(sqrt(pow(pt_row - r0, 2) + pow(pt_col - c0, 2))), 8) AS reach FROM f GROUP BY 1, 2, 3 HAVING max(sqrt(pow(pt_row - r0, 2) + pow(pt_col - c0, 2))) > 5""",
 )
 def pred03(spark, d):
     p = points(spark, d)
     first = p.groupBy("file", "view_name", "n").agg(F.min_by(F.struct("pt_row", "pt_col"), F.col("t") * 1000 + F.col("h")).alias("o"))
     dist = F.sqrt(F.pow(F.col("pt_row") - F.col("o.pt_row"), 2) + F.pow(F.col("pt_col") - F.col("o.pt_col"), 2))
-    return p.join(first, ["file", "view_name", "n"]).groupBy("file", "view_name", "n").agg(r6(F.max(dist)).alias("reach")).where("reach > 5")
+    return p.join(first, ["file", "view_name", "n"]).groupBy("file", "view_name", "n").agg(r8(F.max(dist)).alias("reach")).where("reach > 5")
 
 
 @query("pred04_moving_tracks", _TR + "SELECT file, view_name, t, n, sum(speed) > 3 AS moving FROM sp GROUP BY 1, 2, 3, 4")
@@ -404,12 +404,12 @@ def pred17(spark, d):
     return g.where("seen and inside").select("file", "view_name", "t", "n")
 
 
-@query("f17_normalised", _TR + ", z AS (SELECT file, view_name, max(height) AS hh, max(width) AS ww FROM track_files GROUP BY 1, 2) SELECT point_id, round(greatest(-1.0, least(1.0, (pt_row - hh / 2.0) / (hh / 2.0)))::DOUBLE, 6) + 0.0 AS u, round(pt_row * 480.0::DOUBLE / hh, 6) + 0.0 AS scaled FROM p JOIN z USING (file, view_name) WHERE hh IS NOT NULL")
+@query("f17_normalised", _TR + ", z AS (SELECT file, view_name, max(height) AS hh, max(width) AS ww FROM track_files GROUP BY 1, 2) SELECT point_id, round(greatest(-1.0, least(1.0, (pt_row - hh / 2.0) / (hh / 2.0)))::DOUBLE, 8) + 0.0 AS u, round(pt_row * 480.0::DOUBLE / hh, 8) + 0.0 AS scaled FROM p JOIN z USING (file, view_name) WHERE hh IS NOT NULL")
 def f17(spark, d):
     """F17, F18."""
     z = load(spark, d, "track_files").groupBy("file", "view_name").agg(F.max("height").alias("hh")).where("hh is not null")
     p = points(spark, d).join(z, ["file", "view_name"])
-    return p.select("point_id", r6(fn.normalise_coord(F.col("pt_row"), F.col("hh"))).alias("u"), r6(fn.rescale(F.col("pt_row"), F.col("hh"), F.lit(480.0))).alias("scaled"))
+    return p.select("point_id", r8(fn.normalise_coord(F.col("pt_row"), F.col("hh"))).alias("u"), r8(fn.rescale(F.col("pt_row"), F.col("hh"), F.lit(480.0))).alias("scaled"))
 
 
 _TRAJ = """, z AS (SELECT file, view_name, max(height) AS hh, max(width) AS ww FROM track_files GROUP BY 1, 2),
@@ -434,26 +434,26 @@ _W = "(sum(CASE WHEN abs(pr - gr) < {t} THEN 1 ELSE 0 END) + sum(CASE WHEN abs(p
 
 @query(
     "v07_trajectory_errors",
-    _TR + _TRAJ + f"SELECT view_name, round(sum(pow(pr - gr, 2) + pow(pc - gc, 2)) / (2.0 * count(*)), 6) AS mse, round(sum(abs(pr - gr) + abs(pc - gc)) / (2.0 * count(*)), 6) AS l1, round({_W.format(t='0.5 * 2.0 / 480')}, 6) AS accuracy, round(({' + '.join(_W.format(t=f'{k} * 2.0 / 480') for k in range(1, 11))}) / 10.0, 6) AS delta_auc FROM pr GROUP BY view_name",
+    _TR + _TRAJ + f"SELECT view_name, round(sum(pow(pr - gr, 2) + pow(pc - gc, 2)) / (2.0 * count(*)), 8) AS mse, round(sum(abs(pr - gr) + abs(pc - gc)) / (2.0 * count(*)), 8) AS l1, round({_W.format(t='0.5 * 2.0 / 480')}, 8) AS accuracy, round(({' + '.join(_W.format(t=f'{k} * 2.0 / 480') for k in range(1, 11))}) / 10.0, 8) AS delta_auc FROM pr GROUP BY view_name",
 )
 def v07(spark, d):
     e = E.trajectory_errors(trajectories(spark, d), ["view_name"], 0.5, 480.0)
-    return e.select("view_name", *[r6(F.col(c)).alias(c) for c in ("mse", "l1", "accuracy", "delta_auc")])
+    return e.select("view_name", *[r8(F.col(c)).alias(c) for c in ("mse", "l1", "accuracy", "delta_auc")])
 
 
 @query(
     "v07_nonzero",
     _TR + """, x AS (SELECT view_name, dr <> 0 AS p, dc <> 0 AS g FROM sp), s AS (SELECT view_name, avg(CASE WHEN p THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN g THEN 1.0 ELSE 0.0 END) AS b, avg(CASE WHEN p = g THEN 1.0 ELSE 0.0 END) AS c, sum(CASE WHEN p AND g THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p AND NOT g THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN g AND NOT p THEN 1 ELSE 0 END) AS fn FROM x GROUP BY view_name)
-    SELECT view_name, round(a::DOUBLE, 6) AS nonzero_pred, round(b::DOUBLE, 6) AS nonzero_gt, round(c::DOUBLE, 6) AS nonzero_accuracy, round((2.0 * tp / (2.0 * tp + fp + fn))::DOUBLE, 6) AS nonzero_f1 FROM s""",
+    SELECT view_name, round(a::DOUBLE, 8) AS nonzero_pred, round(b::DOUBLE, 8) AS nonzero_gt, round(c::DOUBLE, 8) AS nonzero_accuracy, round((2.0 * tp / (2.0 * tp + fp + fn))::DOUBLE, 8) AS nonzero_f1 FROM s""",
 )
 def v07_nonzero(spark, d):
     s = steps(spark, d).select("view_name", F.col("dr").alias("pv"), F.col("dc").alias("gv"))
-    return E.nonzero_scores(s, ["view_name"]).select("view_name", *[r6(F.col(c)).alias(c) for c in ("nonzero_pred", "nonzero_gt", "nonzero_accuracy", "nonzero_f1")])
+    return E.nonzero_scores(s, ["view_name"]).select("view_name", *[r8(F.col(c)).alias(c) for c in ("nonzero_pred", "nonzero_gt", "nonzero_accuracy", "nonzero_f1")])
 
 
 @query(
     "v07_cross_track",
-    _TR + _TRAJ + ", m AS (SELECT a.file, a.view_name, a.n, a.fr, min(sqrt(pow(a.pr - b.gr, 2) + pow(a.pc - b.gc, 2))) AS d FROM pr a JOIN pr b ON a.file = b.file AND a.view_name = b.view_name AND a.n = b.n AND b.fr BETWEEN a.fr - 4 AND a.fr + 4 GROUP BY 1, 2, 3, 4) SELECT round(avg(d), 6) AS cross_track FROM m",
+    _TR + _TRAJ + ", m AS (SELECT a.file, a.view_name, a.n, a.fr, min(sqrt(pow(a.pr - b.gr, 2) + pow(a.pc - b.gc, 2))) AS d FROM pr a JOIN pr b ON a.file = b.file AND a.view_name = b.view_name AND a.n = b.n AND b.fr BETWEEN a.fr - 4 AND a.fr + 4 GROUP BY 1, 2, 3, 4) SELECT round(avg(d), 8) AS cross_track FROM m",
 )
 def v07_cross(spark, d):
     """Nearest point of the true path within four frames."""
@@ -461,25 +461,25 @@ def v07_cross(spark, d):
     p = t.select("file", "view_name", "n", F.col("fr").alias("pt"), "pr", "pc")
     g = t.select("file", "view_name", "n", F.explode(F.sequence(F.col("fr") - 4, F.col("fr") + 4)).alias("pt"), "gr", "gc")
     j = p.join(g, ["file", "view_name", "n", "pt"]).groupBy("file", "view_name", "n", "pt").agg(F.min(F.sqrt(F.pow(F.col("pr") - F.col("gr"), 2) + F.pow(F.col("pc") - F.col("gc"), 2))).alias("d"))
-    return j.agg(r6(F.avg("d")).alias("cross_track"))
+    return j.agg(r8(F.avg("d")).alias("cross_track"))
 
 
-@query("v08_code_accuracy", _ONE + ", x AS (SELECT code, lead(code) OVER (PARTITION BY seg ORDER BY pos) AS nx FROM tok) SELECT round(avg(CASE WHEN code = nx THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy FROM x WHERE code IS NOT NULL AND nx IS NOT NULL")
+@query("v08_code_accuracy", _ONE + ", x AS (SELECT code, lead(code) OVER (PARTITION BY seg ORDER BY pos) AS nx FROM tok) SELECT round(avg(CASE WHEN code = nx THEN 1.0 ELSE 0.0 END)::DOUBLE, 8) AS accuracy FROM x WHERE code IS NOT NULL AND nx IS NOT NULL")
 def v08(spark, d):
     """Share of equal ids, here of a sequence against itself one step on."""
     w = Window.partitionBy("seg").orderBy("pos")
-    return codes(spark, d).withColumn("nx", F.lead("code").over(w)).where("code is not null and nx is not null").agg(r6(F.avg((F.col("code") == F.col("nx")).cast("double"))).alias("accuracy"))
+    return codes(spark, d).withColumn("nx", F.lead("code").over(w)).where("code is not null and nx is not null").agg(r8(F.avg((F.col("code") == F.col("nx")).cast("double"))).alias("accuracy"))
 
 
-@query("a25_action_profile", _TR + "SELECT h, round(avg(abs(dr)), 6) AS mean_abs FROM sp GROUP BY h")
+@query("a25_action_profile", _TR + "SELECT h, round(avg(abs(dr)), 8) AS mean_abs FROM sp GROUP BY h")
 def a25(spark, d):
-    return steps(spark, d).groupBy("h").agg(r6(F.avg(F.abs("dr"))).alias("mean_abs"))
+    return steps(spark, d).groupBy("h").agg(r8(F.avg(F.abs("dr"))).alias("mean_abs"))
 
 
-@query("a12_action_stats", _TR + "SELECT h, round(avg(dr), 6) + 0.0 AS mean, round(stddev_pop(dr), 6) AS sd, round(quantile_cont(dr, 0.01), 8) + 0.0 AS p1, round(quantile_cont(dr, 0.99), 8) + 0.0 AS p99 FROM sp GROUP BY h")
+@query("a12_action_stats", _TR + "SELECT h, round(avg(dr), 8) + 0.0 AS mean, round(stddev_pop(dr), 8) AS sd, round(quantile_cont(dr, 0.01), 8) + 0.0 AS p1, round(quantile_cont(dr, 0.99), 8) + 0.0 AS p99 FROM sp GROUP BY h")
 def a12(spark, d):
     g = steps(spark, d).groupBy("h").agg(F.avg("dr").alias("mean"), F.stddev_pop("dr").alias("sd"), F.percentile("dr", [0.01, 0.99]).alias("q"))
-    return g.select("h", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"), r8(F.col("q")[0]).alias("p1"), r8(F.col("q")[1]).alias("p99"))
+    return g.select("h", r8(F.col("mean")).alias("mean"), r8(F.col("sd")).alias("sd"), r8(F.col("q")[0]).alias("p1"), r8(F.col("q")[1]).alias("p99"))
 
 
 # --- quality ------------------------------------------------------------------------------------------------------------------
@@ -494,24 +494,24 @@ def a06(spark, d):
     return f.select(F.explode(fields).alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
 
 
-@query("a07_presence", "SELECT round(avg(CASE WHEN height IS NOT NULL AND width IS NOT NULL THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS has_size, round(avg(CASE WHEN len(shape) = 4 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS has_rank FROM track_files")
+@query("a07_presence", "SELECT round(avg(CASE WHEN height IS NOT NULL AND width IS NOT NULL THEN 1.0 ELSE 0.0 END)::DOUBLE, 8) AS has_size, round(avg(CASE WHEN len(shape) = 4 THEN 1.0 ELSE 0.0 END)::DOUBLE, 8) AS has_rank FROM track_files")
 def a07(spark, d):
-    share = lambda c: r6(F.avg(F.when(c, 1.0).otherwise(0.0)))
+    share = lambda c: r8(F.avg(F.when(c, 1.0).otherwise(0.0)))
     return load(spark, d, "track_files").agg(share(F.col("height").isNotNull() & F.col("width").isNotNull()).alias("has_size"), share(F.size("shape") == 4).alias("has_rank"))
 
 
-@query("a08_rollup", "SELECT count(*) AS n, round(coalesce(avg(k), 0), 6) AS mean, round(coalesce(quantile_cont(k, 0.5), 0), 6) AS p50, round(coalesce(quantile_cont(k, 0.9), 0), 6) AS p90 FROM (SELECT count(*) AS k FROM tracks GROUP BY file, view_name)")
+@query("a08_rollup", "SELECT count(*) AS n, round(coalesce(avg(k), 0), 8) AS mean, round(coalesce(quantile_cont(k, 0.5), 0), 8) AS p50, round(coalesce(quantile_cont(k, 0.9), 0), 8) AS p90 FROM (SELECT count(*) AS k FROM tracks GROUP BY file, view_name)")
 def a08(spark, d):
     k = load(spark, d, "tracks").groupBy("file", "view_name").agg(F.count("*").alias("k"))
     q = F.percentile("k", [0.5, 0.9])
-    return k.agg(F.count("*").alias("n"), r6(F.coalesce(F.avg("k"), F.lit(0.0))).alias("mean"), r6(F.coalesce(q[0], F.lit(0.0))).alias("p50"), r6(F.coalesce(q[1], F.lit(0.0))).alias("p90"))
+    return k.agg(F.count("*").alias("n"), r8(F.coalesce(F.avg("k"), F.lit(0.0))).alias("mean"), r8(F.coalesce(q[0], F.lit(0.0))).alias("p50"), r8(F.coalesce(q[1], F.lit(0.0))).alias("p90"))
 
 
-@query("a09_resolution", "SELECT view_name, min(h) AS min_h, max(h) AS max_h, round(avg(h), 6) AS mean_h FROM (SELECT file, view_name, CAST(ceil(max(pt_row) + 1) AS BIGINT) AS h FROM tracks WHERE pt_row BETWEEN 0 AND 2000 GROUP BY 1, 2) GROUP BY view_name")
+@query("a09_resolution", "SELECT view_name, min(h) AS min_h, max(h) AS max_h, round(avg(h), 8) AS mean_h FROM (SELECT file, view_name, CAST(ceil(max(pt_row) + 1) AS BIGINT) AS h FROM tracks WHERE pt_row BETWEEN 0 AND 2000 GROUP BY 1, 2) GROUP BY view_name")
 def a09(spark, d):
     """A09, Q13."""
     r = Q.inferred_resolution(load(spark, d, "tracks").where("pt_row between 0 and 2000"))
-    return r.groupBy("view_name").agg(F.min("height").alias("min_h"), F.max("height").alias("max_h"), r6(F.avg("height")).alias("mean_h"))
+    return r.groupBy("view_name").agg(F.min("height").alias("min_h"), F.max("height").alias("max_h"), r8(F.avg("height")).alias("mean_h"))
 
 
 _CHECK = """WITH i AS (SELECT t.file, t.view_name, count(*) AS nrows, sum(CASE WHEN pt_row IS NULL OR pt_col IS NULL OR isnan(pt_row) OR isnan(pt_col) THEN 1 ELSE 0 END) AS missing,
@@ -569,11 +569,11 @@ def q03_rest(spark, d):
     "q09_motion_report",
     """WITH p AS (SELECT t.*, hh, ww, lag(pt_row) OVER w AS lr, lag(pt_col) OVER w AS lc, h - lag(h) OVER w AS dh FROM tracks t LEFT JOIN (SELECT file, view_name, max(height) AS hh, max(width) AS ww FROM track_files GROUP BY 1, 2) z ON t.file = z.file AND t.view_name = z.view_name WINDOW w AS (PARTITION BY t.file, t.view_name, t.t, t.n ORDER BY h, point_id)),
     s AS (SELECT *, CASE WHEN dh = 1 THEN sqrt(pow(pt_row - lr, 2) + pow(pt_col - lc, 2)) END AS speed, pt_row IS NULL OR pt_col IS NULL AS bad FROM p)
-    SELECT file, view_name, round(quantile_cont(speed, 0.5), 6) AS median_speed, round(avg(CASE WHEN speed > 0.5 THEN 1.0 WHEN speed IS NOT NULL THEN 0.0 END)::DOUBLE, 6) AS moving_share, round(avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS missing_share FROM s GROUP BY 1, 2""",
+    SELECT file, view_name, round(quantile_cont(speed, 0.5), 8) AS median_speed, round(avg(CASE WHEN speed > 0.5 THEN 1.0 WHEN speed IS NOT NULL THEN 0.0 END)::DOUBLE, 8) AS moving_share, round(avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END)::DOUBLE, 8) AS missing_share FROM s GROUP BY 1, 2""",
 )
 def q09(spark, d):
     m = Q.motion_report(load(spark, d, "tracks"), load(spark, d, "track_files"))
-    return m.select("file", "view_name", *[r6(F.col(c)).alias(c) for c in ("median_speed", "moving_share", "missing_share")])
+    return m.select("file", "view_name", *[r8(F.col(c)).alias(c) for c in ("median_speed", "moving_share", "missing_share")])
 
 
 @query("q10_recommendations")
@@ -604,12 +604,12 @@ def s13(spark, d):
     return load(spark, d, "track_files").groupBy("file").agg(F.coalesce(F.max(F.when(F.size("shape") == 4, F.get("shape", F.lit(0)))), F.max(F.get("shape", F.lit(0))), F.lit(0)).alias("n"))
 
 
-@query("a21_dataset_ratios", "SELECT round(a.n / b.n::DOUBLE, 6) AS files_ratio, round(a.m / b.m::DOUBLE, 6) AS samples_ratio FROM (SELECT count(*) AS n, sum(shape[1]) AS m FROM track_files WHERE view_name = 'agentview') a, (SELECT count(*) AS n, sum(shape[1]) AS m FROM track_files WHERE view_name = 'wristview') b")
+@query("a21_dataset_ratios", "SELECT round(a.n / b.n::DOUBLE, 8) AS files_ratio, round(a.m / b.m::DOUBLE, 8) AS samples_ratio FROM (SELECT count(*) AS n, sum(shape[1]) AS m FROM track_files WHERE view_name = 'agentview') a, (SELECT count(*) AS n, sum(shape[1]) AS m FROM track_files WHERE view_name = 'wristview') b")
 def a21(spark, d):
     f = load(spark, d, "track_files")
     of = lambda v, c: F.sum(F.when(F.col("view_name") == v, c))
     one, m = F.lit(1), F.get("shape", F.lit(0))
-    return f.agg(r6(of("agentview", one) / of("wristview", one)).alias("files_ratio"), r6(of("agentview", m) / of("wristview", m)).alias("samples_ratio"))
+    return f.agg(r8(of("agentview", one) / of("wristview", one)).alias("files_ratio"), r8(of("agentview", m) / of("wristview", m)).alias("samples_ratio"))
 
 
 # --- predicates, sets, samples, scalars -------------------------------------------------------------------------------------------
@@ -762,10 +762,10 @@ def f21(spark, d):
     return load(spark, d, "energy").where("win_idx < 50").select("line_id", fn.finite_or_zero(F.col("energy")).alias("energy"))
 
 
-@query("f23_grid", "SELECT round((2 * r + 1) / 4.0::DOUBLE - 1, 6) AS \"row\", round((2 * c + 1) / 4.0::DOUBLE - 1, 6) AS col FROM range(0, 4) a(r), range(0, 4) b(c)")
+@query("f23_grid", "SELECT round((2 * r + 1) / 4.0::DOUBLE - 1, 8) AS \"row\", round((2 * c + 1) / 4.0::DOUBLE - 1, 8) AS col FROM range(0, 4) a(r), range(0, 4) b(c)")
 def f23(spark, d):
     """F22, F23."""
-    return spark.range(1).select(F.explode(fn.grid(4)).alias("p")).select(r6(F.col("p.row")).alias("row"), r6(F.col("p.col")).alias("col"))
+    return spark.range(1).select(F.explode(fn.grid(4)).alias("p")).select(r8(F.col("p.row")).alias("row"), r8(F.col("p.col")).alias("col"))
 
 
 @query("f24_mixed_radix", "SELECT i, i % 8 + 8 * ((i // 8) % 8) + 64 * ((i // 64) % 6) AS code FROM range(0, 384) t(i)")
@@ -775,36 +775,36 @@ def f24(spark, d):
     return spark.range(384).select(i.alias("i"), fn.mixed_radix(F.array(i % 8, F.floor(i / 8) % 8, F.floor(i / 64) % 6), [8, 8, 6]).alias("code"))
 
 
-@query("f26_positional", "SELECT p, d, round(CASE WHEN d % 2 = 0 THEN sin(p / pow(10000.0, d / 8.0::DOUBLE)) ELSE cos(p / pow(10000.0, (d - 1) / 8.0::DOUBLE)) END, 6) + 0.0 AS v FROM range(0, 10) a(p), range(0, 8) b(d)")
+@query("f26_positional", "SELECT p, d, round(CASE WHEN d % 2 = 0 THEN sin(p / pow(10000.0, d / 8.0::DOUBLE)) ELSE cos(p / pow(10000.0, (d - 1) / 8.0::DOUBLE)) END, 8) + 0.0 AS v FROM range(0, 10) a(p), range(0, 8) b(d)")
 def f26(spark, d):
     t = spark.range(10).select(F.col("id").alias("p"), F.posexplode(fn.positional(F.col("id"), 8)).alias("d", "v"))
-    return t.select("p", F.col("d").cast("long").alias("d"), r6(F.col("v")).alias("v"))
+    return t.select("p", F.col("d").cast("long").alias("d"), r8(F.col("v")).alias("v"))
 
 
-@query("f27_argmax", _V + "z AS (SELECT 1) SELECT id, list_position(x, list_max(x)) - 1 AS k, round(exp(0.0) / list_sum(list_transform(x, lambda a: exp(a - list_max(x)))), 6) AS p FROM v")
+@query("f27_argmax", _V + "z AS (SELECT 1) SELECT id, list_position(x, list_max(x)) - 1 AS k, round(exp(0.0) / list_sum(list_transform(x, lambda a: exp(a - list_max(x)))), 8) AS p FROM v")
 def f27(spark, d):
     """Class and probability of a vector read as logits."""
-    return vectors(spark, d).select("id", fn.argmax(F.col("x")).alias("k"), r6(F.array_max(fn.softmax(F.col("x")))).alias("p"))
+    return vectors(spark, d).select("id", fn.argmax(F.col("x")).alias("k"), r8(F.array_max(fn.softmax(F.col("x")))).alias("p"))
 
 
-@query("f28_weights", "SELECT r, round(1 + 2.0 * pow(r / 8.0, 2), 6) AS w, round(-0.25 * pow(1 - (r + 1) / 10.0, 2) * ln((r + 1) / 10.0::DOUBLE), 6) + 0.0 AS f FROM (SELECT i::DOUBLE AS r FROM range(0, 9) t(i))")
+@query("f28_weights", "SELECT r, round(1 + 2.0 * pow(r / 8.0, 2), 8) AS w, round(-0.25 * pow(1 - (r + 1) / 10.0, 2) * ln((r + 1) / 10.0::DOUBLE), 8) + 0.0 AS f FROM (SELECT i::DOUBLE AS r FROM range(0, 9) t(i))")
 def f28(spark, d):
     r = F.col("id").cast("double")
-    return spark.range(9).select(r.alias("r"), r6(fn.radial_weight(r, 8.0, 2.0, 2.0)).alias("w"), r6(fn.focal((r + 1) / 10.0, 0.25, 2.0)).alias("f"))
+    return spark.range(9).select(r.alias("r"), r8(fn.radial_weight(r, 8.0, 2.0, 2.0)).alias("w"), r8(fn.focal((r + 1) / 10.0, 0.25, 2.0)).alias("f"))
 
 
 @query("f29_truncated_normal")
 def f29(spark, d):
     x = F.col("id") / 10.0 - 1
-    return spark.range(21).select("id", r6(fn.truncated_normal_logpdf(x, F.lit(0.2), F.lit(0.5))).alias("logp"))
+    return spark.range(21).select("id", r8(fn.truncated_normal_logpdf(x, F.lit(0.2), F.lit(0.5))).alias("logp"))
 
 
-@query("f31_vector_primitives", _V + "z AS (SELECT 1) SELECT a.id, round(list_dot_product(a.x, b.x), 5) + 0.0 AS dot, round(list_cosine_similarity(a.x, b.x), 6) + 0.0 AS cosine, round(list_distance(a.x, b.x), 6) AS euclidean, round(list_sum(list_transform(a.x, lambda t: abs(t))) / len(a.x), 6) AS mean_abs FROM v a JOIN v b ON b.id = a.id + 1")
+@query("f31_vector_primitives", _V + "z AS (SELECT 1) SELECT a.id, round(list_dot_product(a.x, b.x), 5) + 0.0 AS dot, round(list_cosine_similarity(a.x, b.x), 8) + 0.0 AS cosine, round(list_distance(a.x, b.x), 8) AS euclidean, round(list_sum(list_transform(a.x, lambda t: abs(t))) / len(a.x), 8) AS mean_abs FROM v a JOIN v b ON b.id = a.id + 1")
 def f31(spark, d):
     v = vectors(spark, d)
     n = v.select((F.col("id") - 1).alias("id"), F.col("x").alias("y"))
     x, y = F.col("x"), F.col("y")
-    return v.join(n, "id").select("id", (F.round(fn.dot(x, y), 5) + 0.0).alias("dot"), r6(fn.cosine(x, y)).alias("cosine"), r6(fn.euclidean(x, y)).alias("euclidean"), r6(fn.mean_abs(x)).alias("mean_abs"))
+    return v.join(n, "id").select("id", (F.round(fn.dot(x, y), 5) + 0.0).alias("dot"), r8(fn.cosine(x, y)).alias("cosine"), r8(fn.euclidean(x, y)).alias("euclidean"), r8(fn.mean_abs(x)).alias("mean_abs"))
 
 
 @query("j12_nearest_reference", "WITH r AS (SELECT (a - 0.5::DOUBLE) * 64 AS rrow, (b - 0.5::DOUBLE) * 64 AS rcol, (a - 1) * 8 + b AS ref FROM range(1, 9) x(a), range(1, 9) y(b)), p AS (SELECT point_id AS id, pt_row AS \"row\", pt_col AS col FROM tracks WHERE pt_row IS NOT NULL AND pt_col IS NOT NULL) SELECT ref, arg_min(id, pow(\"row\" - rrow, 2) + pow(col - rcol, 2) + id * 1e-15) AS id FROM r, p GROUP BY ref")
@@ -814,13 +814,13 @@ def j12(spark, d):
     return V.nearest_reference(p, refs)
 
 
-@query("w15_chunk_ensemble", "WITH a AS (SELECT s, h, s + h AS step, 1.0::DOUBLE + s + 0.1 * h AS v FROM range(0, 20) x(s), range(0, 4) y(h)), r AS (SELECT step, v, row_number() OVER (PARTITION BY step ORDER BY s) - 1 AS age FROM a WHERE v <> 0) SELECT step, round(sum(v * exp(-0.01 * age)) / sum(exp(-0.01 * age)), 6) AS action FROM r GROUP BY step")
+@query("w15_chunk_ensemble", "WITH a AS (SELECT s, h, s + h AS step, 1.0::DOUBLE + s + 0.1 * h AS v FROM range(0, 20) x(s), range(0, 4) y(h)), r AS (SELECT step, v, row_number() OVER (PARTITION BY step ORDER BY s) - 1 AS age FROM a WHERE v <> 0) SELECT step, round(sum(v * exp(-0.01 * age)) / sum(exp(-0.01 * age)), 8) AS action FROM r GROUP BY step")
 def w15(spark, d):
     """Average of the overlapping predictions of a step; the oldest weighs most."""
     a = spark.range(20).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("h"))
     a = a.select("s", (F.col("s") + F.col("h")).alias("step"), (1.0 + F.col("s") + 0.1 * F.col("h")).alias("v")).where("v <> 0")
     w = F.exp(-0.01 * (F.row_number().over(Window.partitionBy("step").orderBy("s")) - 1))
-    return a.withColumn("w", w).groupBy("step").agg(r6(F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("action"))
+    return a.withColumn("w", w).groupBy("step").agg(r8(F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("action"))
 
 
 @query("w19_pad", _ONE + ", k AS (SELECT seg, pos, code FROM tok) SELECT s.seg, p AS pos, CAST(coalesce(k.code, 0) AS BIGINT) AS code FROM (SELECT DISTINCT seg FROM one) s CROSS JOIN range(0, 48) r(p) LEFT JOIN k ON k.seg = s.seg AND k.pos = p")
@@ -837,9 +837,9 @@ def t12(spark, d):
     return G.segment(S.positions(series(spark, d)), G.Rule(on=1.0, max_windows=G.max_windows(2.0, 4, 10))).select("path", "i0", "i1")
 
 
-@query("k13_with_confidence", "WITH RECURSIVE " + LINES_SQL + "," + recursion(None, RULE) + "SELECT seg.path, i0, i1, round(avg(s.energy), 6) AS conf FROM seg JOIN s ON s.path = seg.path AND s.i BETWEEN i0 AND i1 GROUP BY 1, 2, 3")
+@query("k13_with_confidence", "WITH RECURSIVE " + LINES_SQL + "," + recursion(None, RULE) + "SELECT seg.path, i0, i1, round(avg(s.energy), 8) AS conf FROM seg JOIN s ON s.path = seg.path AND s.i BETWEEN i0 AND i1 GROUP BY 1, 2, 3")
 def k13(spark, d):
     """Segments beside the energies they were cut from."""
     p = S.positions(series(spark, d))
     g = G.segment(p, RULE).withColumn("i", F.explode(F.sequence("i0", "i1")))
-    return g.join(p.select("path", "i", "energy"), ["path", "i"]).groupBy("path", "i0", "i1").agg(r6(F.avg("energy")).alias("conf"))
+    return g.join(p.select("path", "i", "energy"), ["path", "i"]).groupBy("path", "i0", "i1").agg(r8(F.avg("energy")).alias("conf"))
