@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions.scalars import temporal_iou
+from stridelake.operators.quantiles import group_quantiles
 from stridelake.operators.series import finite
 
 
@@ -196,7 +197,8 @@ def best_threshold(sweep: DataFrame, key: str) -> DataFrame:
 
 def candidates(series: DataFrame, quantiles: tuple = (0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
     """Threshold candidates of each series: quantiles, midpoints between distinct ones, smallest and largest value."""
-    q = series.where(finite(F.col("energy"))).groupBy("path").agg(F.percentile("energy", list(quantiles)).alias("q"), F.min("energy").alias("lo"), F.max("energy").alias("hi"))
+    s = series.where(finite(F.col("energy")))
+    q = s.groupBy("path").agg(F.min("energy").alias("lo"), F.max("energy").alias("hi")).join(group_quantiles(s, ["path"], "energy", list(quantiles)), "path")
     d = q.withColumn("d", F.array_sort(F.array_distinct("q")))
     mids = F.zip_with(F.slice("d", 1, F.size("d") - 1), F.slice("d", 2, F.size("d")), lambda a, b: (a + b) / 2)
     return d.select("path", F.explode(F.array_distinct(F.concat("d", mids, F.array("lo", "hi")))).alias("thr"))

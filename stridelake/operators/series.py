@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.functions.scalars import path_source_mode
+from stridelake.operators.quantiles import group_quantiles
 
 
 def finite(c: Column) -> Column:
@@ -22,19 +23,27 @@ def finite(c: Column) -> Column:
 
 
 def clean_lines(energy: DataFrame, max_window: int = 49_000_000, max_energy: float = float("inf")) -> DataFrame:
-    """Lines with a usable energy and window, with the source and mode that the path names.
+    """Lines with a usable energy and window: path, win, energy, line_id.
 
     ``max_energy`` leaves out readings that are physically impossible.
     """
-    at = path_source_mode(F.col("path"))
     e = energy.where(F.col("path").isNotNull() & finite(F.col("energy")) & (F.col("energy") >= 0) & (F.col("energy") <= max_energy) & F.col("win_idx").between(0, max_window))
-    return e.select("path", "stem", at["source"].alias("source"), at["mode"].alias("mode"), F.col("win_idx").cast("long").alias("win"), "energy", "line_id")
+    return e.select("path", F.col("win_idx").cast("long").alias("win"), "energy", "line_id")
+
+
+def named(series: DataFrame) -> DataFrame:
+    """With ``stem``, ``source`` and ``mode``, which the path names."""
+    at = path_source_mode(F.col("path"))
+    return series.select("*", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("stem"), at["source"].alias("source"), at["mode"].alias("mode"))
 
 
 def keep_per_window(lines: DataFrame, which: str = "last") -> DataFrame:
-    """One row per window: the last or the first line. Aggregated before the shuffle, so a repeated window is no hot spot."""
+    """One row per window: the last or the first line, named.
+
+    Only fixed-width values are aggregated, by hash and before the shuffle, so a repeated window is no hot spot.
+    """
     pick = F.max_by if which == "last" else F.min_by
-    return lines.groupBy("path", "win").agg(pick("energy", "line_id").alias("energy"), F.min("stem").alias("stem"), F.min("source").alias("source"), F.min("mode").alias("mode"))
+    return named(lines.groupBy("path", "win").agg(pick("energy", "line_id").alias("energy")))
 
 
 def by_window(*keys: str):
@@ -236,9 +245,9 @@ QUANTILES = [0.1, 0.25, 0.5, 0.75, 0.9]
 def describe(series: DataFrame, keys: list[str], value: str = "energy") -> DataFrame:
     """n, mean, population deviation, extremes and exact quantiles of the finite values."""
     s = series.where(finite(F.col(value)))
-    q = F.percentile(value, QUANTILES)
     names = ["q10", "q25", "q50", "q75", "q90"]
-    a = s.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), q.alias("q"))
+    a = s.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    a = a.join(group_quantiles(s, keys, value, QUANTILES), keys)
     return a.select(*keys, "n", "mean", "std", "min", "max", *[F.col("q")[i].alias(c) for i, c in enumerate(names)])
 
 
