@@ -109,3 +109,39 @@ class _TracksReader(DataSourceReader):
                 for h in range(tracks.shape[1]):
                     for n in range(tracks.shape[2]):
                         yield (partition.path, v, t, h, n, float(tracks[t, h, n, 0]), float(tracks[t, h, n, 1]), float(vis[t, h, n]))
+
+
+class DemosSource(DataSource):
+    """Template of a reader for demonstration files: one partition per file, one row per step of a demonstration.
+
+    Reads ``.npz`` files with ``demo_k/actions``, ``demo_k/joint_states`` and ``demo_k/gripper_states``; other formats
+    subclass the reader. Images stay where they are; ``proprio`` is joints followed by grippers.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "demo_steps"
+
+    def schema(self) -> str:
+        return "file string, demo string, t int, action array<double>, proprio array<double>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _DemosReader(self.options)
+
+
+class _DemosReader(DataSourceReader):
+    def __init__(self, options):
+        self.files = [f for f in options.get("files", "").split(",") if f]
+
+    def partitions(self):
+        return [_File(f) for f in self.files] or [_File("")]
+
+    def read(self, partition: _File):
+        if not partition.path:
+            return
+        z = np.load(partition.path)
+        for demo in sorted({k.split("/")[0] for k in z.files}):
+            actions = z[f"{demo}/actions"]
+            parts = [z[f"{demo}/{k}"] for k in ("joint_states", "gripper_states") if f"{demo}/{k}" in z.files]
+            for t in range(len(actions)):
+                yield (partition.path, demo, t, [float(x) for x in actions[t]], [float(x) for p in parts for x in np.atleast_1d(p[t])])

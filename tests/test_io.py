@@ -80,3 +80,18 @@ def test_track_source(spark, tmp_path):
 def test_materialise(spark):
     df = tables.materialise(spark.range(5))
     assert df.count() == 5 and "stridelake-" in df.inputFiles()[0]
+
+
+def test_demo_source(spark, tmp_path):
+    np.savez(tmp_path / "d.npz", **{"demo_0/actions": np.ones((3, 2)), "demo_0/joint_states": np.zeros((3, 2)), "demo_0/gripper_states": np.full((3, 1), 9.0)})
+    spark.dataSource.register(slots.DemosSource)
+    df = spark.read.format("demo_steps").option("files", str(tmp_path / "d.npz")).load()
+    assert df.count() == 3 and df.first()["proprio"] == [0.0, 0.0, 9.0]
+
+
+def test_entry(spark, data):
+    import __spark_entry__
+
+    df = __spark_entry__.entry(spark)
+    assert df.columns == ["path", "i0", "i1", "start_sec", "end_sec"] and df.count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
