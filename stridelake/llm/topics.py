@@ -32,7 +32,7 @@ from stridelake.llm.text import _CJK, _IN_NUMBER, normalise
 _UNIT = re.compile(rf"[{_CJK}]|[^\W\d_{_CJK}]+|[.!?](?=\s|$)|[。！？\n]")
 _END = dict.fromkeys(".!?。！？\n", -1)
 PAIR = 1 << 32
-BACKGROUND = 2.0  # log odds of a sentence without evidence being about no subject
+BACKGROUND = 3.0  # log odds of a sentence without evidence being about no subject
 
 
 def _units(text: str) -> list[str]:
