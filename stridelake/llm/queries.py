@@ -195,7 +195,24 @@ r AS (SELECT seg_id, min(pos) AS start_pos, count(*) AS run_len, arg_min(code, p
 """
 )
 
+_P7 = """
+WITH one AS (SELECT seg_id, selected_win_idxs, quantized_windows FROM seg_codes WHERE quantized_windows IS NOT NULL
+             QUALIFY row_number() OVER (PARTITION BY seg_id ORDER BY exported_at) = 1),
+w AS (SELECT seg_id, unnest(selected_win_idxs) AS win, unnest(quantized_windows) AS q FROM one),
+x AS (SELECT seg_id, win, unnest(q) AS v FROM w WHERE win IS NOT NULL),
+g AS (SELECT seg_id, win, v FROM x WHERE len(v) = 64 AND len(list_filter(v, lambda a: a IS NULL OR isnan(a))) = 0),
+c AS (SELECT seg_id, win, unnest(v) AS a, generate_subscripts(v, 1) AS dim FROM g),
+m AS (SELECT seg_id, win, dim, avg(a::DOUBLE) AS a FROM c GROUP BY seg_id, win, dim),
+u AS (SELECT seg_id, win, list(a ORDER BY dim) AS v FROM m GROUP BY seg_id, win),
+p AS (SELECT a.seg_id AS sa, a.win AS wa, b.seg_id AS sb, b.win AS wb, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.seg_id <> b.seg_id),
+r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY sa, wa ORDER BY c DESC) <= 5)
+SELECT DISTINCT CAST(least(sa, sb) AS BIGINT) AS seg_a, CAST(CASE WHEN sa < sb THEN wa ELSE wb END AS BIGINT) AS win_a, CAST(greatest(sa, sb) AS BIGINT) AS seg_b,
+       CAST(CASE WHEN sa < sb THEN wb ELSE wa END AS BIGINT) AS win_b
+FROM r WHERE c >= 0.9
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p7_found": _P7,
     "p3_found": _P3 + "SELECT code_pattern FROM every, k GROUP BY code_pattern, need HAVING count(DISTINCT seg_id) >= need",
     "p3_support": _P3 + "SELECT code_pattern, count(DISTINCT seg_id) AS n_segments FROM every, k GROUP BY code_pattern, need HAVING count(DISTINCT seg_id) >= need",
     "p5_found": _P5 + "SELECT code, mark FROM m WHERE mark IS NOT NULL",
