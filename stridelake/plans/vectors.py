@@ -704,7 +704,7 @@ def o11(spark, d):
 
 @query("o12_bootstrap")
 def o12(spark, d):
-    return O.bootstrap_mean(series(spark, d).where("energy < 100").withColumn("key", F.concat_ws("|", "path", "win")), "source", "energy", "key", repeats=50)
+    return O.bootstrap_mean(series(spark, d).withColumn("key", F.concat_ws("|", "path", "win")), "source", "energy", "key", repeats=50)
 
 
 @query("o13_epoch_sample")
@@ -732,9 +732,9 @@ def f06(spark, d):
     return load(spark, d, "documents").where("text is not null").select("doc_id", n.alias("n"), fn.safe_double(F.col("lang")).alias("x"))
 
 
-@query("f11_dataset_spec", "SELECT * FROM (VALUES ('libero', 'traj', 0.8::DOUBLE), ('libero', 'action', 0.04::DOUBLE), ('custom', 'traj', 0.5::DOUBLE)) t(name, modality, share)")
+@query("f11_dataset_spec", "SELECT * FROM (VALUES ('demo', 'traj', 0.8::DOUBLE), ('demo', 'action', 0.04::DOUBLE), ('custom', 'traj', 0.5::DOUBLE)) t(name, modality, share)")
 def f11(spark, d):
-    s = spark.createDataFrame([("libero:traj0.8:action0.04",), ("custom:traj0.5",), ("plain",)], "spec string")
+    s = spark.createDataFrame([("demo:traj0.8:action0.04",), ("custom:traj0.5",), ("plain",)], "spec string")
     return s.select(F.explode(fn.dataset_spec(F.col("spec"))).alias("x")).select("x.*")
 
 
