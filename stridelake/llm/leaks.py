@@ -2,9 +2,9 @@
 
 Rare n-grams of words of the test items are the seeds: a document holding one is compared with the items it occurs in.
 Of these pairs only those go on whose n-gram hits could cover enough of the item; they are aligned by Smith-Waterman
-(match +1, replaced, missing or surplus word -3) around the hits. The best local alignment is a stretch; the words
-around it are aligned again for a second stretch before or after it, in the item's order. A pair is a leak when stretches
-with at most one altered word in eight span at least half of the item's words.
+(match +1, replaced, missing or surplus word -3) around the hits. Where the best local alignment is no stretch that is
+long enough, all pairs of stretches in the item's order are compared. A pair is a leak when one or two stretches with at
+most one altered word in eight span at least half of the item's words; a stretch starts and ends with three same words.
 
 Scale. The items are a stated, small query set: they are sent to all tasks in blocks of ``block_items`` (a block's n-gram
 table is bounded by its words), every document is read once per block, where it lies; nothing is shuffled.
@@ -28,6 +28,8 @@ from stridelake.llm.text import words
 
 SEED, COVER = 4, 3  # words of a seed and of the n-grams by which the coverage is estimated
 ERROR = 3.0
+ALTERED = 7  # matches that an altered word of a stretch needs: one word in eight
+EDGE = 3  # same words in a row with which a stretch starts and ends, so that unrelated words beside it do not count
 
 
 def _align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int, int]:
@@ -55,24 +57,83 @@ def _align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int, int]:
     return i, i1, j, j1, hit, err
 
 
-def _stretches(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple]:
-    """One or two stretches in order, each of at least ``least`` matches and at most one altered word in eight."""
-    first = _align(a, b)
-    good = lambda s: s[4] >= least and s[5] * 8 <= s[4] + s[5]
-    if not good(first):
-        return []
-    out = [first]
-    options = []
-    for lo, hi, x, y in ((0, first[0], 0, first[2]), (first[1], len(a), first[3], len(b))):
-        if hi - lo >= least and y - x >= least:
-            s = _align(a[lo:hi], b[x:y])
-            if good(s):
-                options.append((s[0] + lo, s[1] + lo, s[2] + x, s[3] + x, s[4], s[5]))
-    if options:
-        out.append(max(options, key=lambda s: s[1] - s[0]))
+def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) from which EDGE words of a and b are the same, and whether the words before them are the same too."""
+    same = np.zeros((len(a) + 2, len(b) + 2), bool)
+    same[1:-1, 1:-1] = a[:, None] == b[None, :]
+    n, m = len(a) - EDGE + 1, len(b) - EDGE + 1
+    run = same[1 : n + 1, 1 : m + 1].copy()
+    for k in range(1, EDGE):
+        run &= same[1 + k : n + 1 + k, 1 + k : m + 1 + k]
+    return run, same[:n, :m]
+
+
+def _ends(a: np.ndarray, b: np.ndarray, least: int) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """The longest good stretch that ends at (i, j), for every place it can end: where it starts in a, matches, altered words.
+
+    A stretch starts and ends with EDGE same words. For every start in a, the best alignment to every place is kept by
+    matches less ALTERED for every altered word, which is not negative as long as the stretch keeps the rule.
+    """
+    if len(a) < EDGE or len(b) < EDGE:
+        return {}
+    run, before = _runs(a, b)
+    first = run & ~before  # a longer start is as good
+    rows = np.flatnonzero(first.any(1))
+    unit, none = 1 << 24, -(1 << 60)  # matches in the lower bits, the balance in the upper ones
+    err = ALTERED * unit
+    at = np.full((len(rows), len(b) + 1), none, np.int64)
+    ramp = err * np.arange(len(b) + 1, dtype=np.int64)
+    out = {}
+    for i in range(1, len(a) + 1):
+        n = int(np.searchsorted(rows, i - EDGE))  # starts under way
+        if n:
+            now, row = at[:n], at[:n] - err
+            np.maximum(row[:, 1:], now[:, :-1] + np.where(b == a[i - 1], unit + 1, -err), out=row[:, 1:])
+            at[:n] = np.maximum.accumulate(row + ramp, axis=1) - ramp
+        if i < EDGE:
+            continue
+        if n < len(rows) and rows[n] == i - EDGE:
+            at[n, EDGE:][first[i - EDGE]] = EDGE * (unit + 1)
+            n += 1
+        js = np.flatnonzero(run[i - EDGE]) + EDGE
+        if n and len(js):
+            got = at[:n, js]
+            good = (got >= 0) & (got % unit >= least)
+            for c in np.flatnonzero(good.any(0)).tolist():
+                r = int(good[:, c].argmax())
+                hit = int(got[r, c]) % unit
+                out[i, int(js[c])] = (int(rows[r]), hit, (hit - int(got[r, c]) // unit) // ALTERED)
     return out
 
 
+def _stretches(a: np.ndarray, b: np.ndarray, least: int, enough: float = np.inf) -> list[tuple]:
+    """One or two stretches in order, each of at least ``least`` matches and at most one altered word in eight, that span
+    most of a, as (start and end in a, matches, altered words).
+
+    A best local alignment that keeps the rule and spans ``enough`` words is taken as it is. Else, as it may bridge two
+    good stretches or hide one, all pairs of stretches are compared: for every cut of a and b the longest that ends
+    before it and the longest that starts after it.
+    """
+    i0, i1, _, _, hit, err = _align(a, b)
+    if hit >= least and err * (ALTERED + 1) <= hit + err and i1 - i0 >= enough:
+        return [(i0, i1, hit, err)]
+    n, m = len(a), len(b)
+    left = {(i, j): (s, i, h, e) for (i, j), (s, h, e) in _ends(a, b, least).items()}
+    right = {(n - i, m - j): (n - i, n - s, h, e) for (i, j), (s, h, e) in _ends(a[::-1], b[::-1], least).items()}
+    if not left:
+        return []
+    span = [np.zeros((n + 1, m + 1), np.int64) for _ in range(2)]
+    for k, stretches in enumerate((left, right)):
+        for (i, j), s in stretches.items():
+            span[k][i, j] = s[1] - s[0]
+    upto = np.maximum.accumulate(np.maximum.accumulate(span[0], axis=0), axis=1)
+    since = np.maximum.accumulate(np.maximum.accumulate(span[1][::-1, ::-1], axis=0), axis=1)[::-1, ::-1]
+    i, j = (int(x) for x in np.unravel_index(int((upto + since).argmax()), upto.shape))
+    one = [s for (x, y), s in left.items() if x <= i and y <= j]
+    two = [s for (x, y), s in right.items() if x >= i and y >= j]
+    return [max(x, key=lambda s: s[1] - s[0]) for x in (one, two) if x]
+
+
 class _Items:
     """A block of test items: word ids, the hashes of their rare seeds and covering n-grams."""
 
@@ -143,14 +204,14 @@ def _leaks_of(doc: np.ndarray, items: _Items, share: float, min_stretch: int) ->
         if covered.sum() < 0.8 * share * len(a):
             continue
         spans = np.zeros(len(doc) + 1, np.int64)
-        pad = 12
+        pad = max(12, (EDGE * (len(a) // ALTERED)) + EDGE)  # a stretch's altered words may be close together
         np.add.at(spans, np.maximum(pairs[:, 1] - pad, 0), 1)
         np.add.at(spans, np.minimum(pairs[:, 1] + COVER + pad, len(doc)), -1)
         near = np.flatnonzero(np.cumsum(spans)[:-1] > 0)  # the words around hits, in order
-        found = _stretches(a, doc[near], min_stretch)
+        found = _stretches(a, doc[near], min_stretch, share * len(a))
         span = sum(s[1] - s[0] for s in found)
         if span >= share * len(a) and any(_has_seed(a[s[0] : s[1]], items) for s in found):
-            hit_n, err = sum(s[4] for s in found), sum(s[5] for s in found)
+            hit_n, err = sum(s[2] for s in found), sum(s[3] for s in found)
             out.append((items.ids[k], span / len(a), err / (hit_n + err)))
     return out
 

@@ -192,3 +192,29 @@ def test_beam_finds_the_best_combination():
                 p += -np.log1p(np.exp(-z)) if y[s] else -np.log1p(np.exp(z))
             scores[tuple(y)] = p
         assert tuple(best[i]) == max(scores, key=scores.get)
+
+
+def test_leak_in_two_stretches_close_together():
+    """Two halves with words put in between, with and without altered words: found whatever the distance."""
+    rng = random.Random(6)
+    for between in (1, 2, 3, 5, 8, 10, 12, 15, 20):
+        for altered in (0, 6, 10, 12):
+            item = np.arange(1, 101)
+            held = item.copy()
+            for half in (range(3, 47), range(53, 97)):
+                held[rng.sample(half, altered // 2)] = 0
+            doc = np.concatenate([np.zeros(40, np.int64), held[:50], np.zeros(between, np.int64), held[50:], np.zeros(40, np.int64)])
+            block = leaks._Items([(7, [str(k) for k in item])], 5)
+            got = leaks._leaks_of(doc, block, 0.5, 8)
+            assert [g[0] for g in got] == [7] and got[0][2] <= 0.125, (between, altered)
+
+
+def test_stretches_keep_the_rule():
+    a = np.arange(1, 101)
+    evenly = a.copy()
+    evenly[3::6] = 0
+    # a copy with too many altered words does not hide a clean half elsewhere
+    assert leaks._stretches(a, np.concatenate([evenly, np.zeros(200, np.int64), a[:50]]), 8)[0][:2] == (0, 50)
+    assert sum(s[1] - s[0] for s in leaks._stretches(a, evenly, 8)) < 50
+    assert sum(s[1] - s[0] for s in leaks._stretches(a, np.concatenate([a[60:], np.zeros(9, np.int64), a[:40]]), 8)) == 40
+    assert leaks._stretches(a, np.zeros(50, np.int64), 8) == [] and leaks._stretches(a, a[:7], 8) == []
