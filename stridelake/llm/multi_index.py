@@ -13,8 +13,9 @@ cells, the only thing sent to all tasks beside the centroids, has at most ``max_
 cells get larger instead.
 
 Hot cells. A cell with more than ``bin_rows`` entries is cut by signs of random projections of the residual; a query
-goes to its own part and to those across its nearest planes. What no plane can divide (copies) is dealt out by hash, a
-query meets its own part, and a task handles parts in blocks, so neither memory nor one task's work follows a hot cell.
+goes to its own part and to those across its nearest planes. What no plane can divide is compared in full by the one
+task that has the part, in blocks, with the vectors in a file, so memory does not follow a hot cell but time does, with
+the square of the number of different vectors. Of exact copies only as many are compared as fill every list.
 
 Fitting uses at most about ``sample`` vectors (chosen by a hash of their ids); every vector is indexed.
 """
@@ -22,6 +23,7 @@ Fitting uses at most about ``sample`` vectors (chosen by a hash of their ids); e
 from __future__ import annotations
 
 import heapq
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 from stridelake.llm.vectors import pack, unpack
 
-BLOCK_ROWS = 32768  # rows of one part scored together at most
+BLOCK_ROWS = 32768  # rows of one part scored together at most; larger parts are scored block against block
+ROWS, COLS = 2048, 8192  # of a product of two blocks
 
 
 @dataclass
@@ -123,13 +126,12 @@ def _cells(q: Quantiser, dim: int):
 
 @dataclass
 class _Layout:
-    """Sizes of the occupied cells and the bin of each; hot cells have bits > 0 and parts > 1."""
+    """Sizes of the occupied cells and the bin of each; hot cells have bits > 0."""
 
     cell: np.ndarray
     n: np.ndarray
     bin: np.ndarray
     bits: np.ndarray
-    parts: np.ndarray
 
 
 def _layout(cells: pa.Table, k: int, bin_rows: int) -> _Layout:
@@ -141,11 +143,10 @@ def _layout(cells: pa.Table, k: int, bin_rows: int) -> _Layout:
     start = before[np.searchsorted(row, row)]  # entries before the cell's first-half group
     _, bins = np.unique(np.stack([row, (before - start) // bin_rows], 1), axis=0, return_inverse=True)
     bits = np.where(n > bin_rows, np.ceil(np.log2(np.maximum(1, n / bin_rows))), 0).astype(np.int64).clip(0, 16)
-    parts = np.maximum(1, n // (64 * bin_rows))
     # a hot cell has a bin to itself
     bins = bins.reshape(-1)
     bins = np.where(bits > 0, bins.max(initial=0) + 1 + np.arange(len(bins)), bins)
-    return _Layout(cell, n, bins.astype(np.int64), bits, parts)
+    return _Layout(cell, n, bins.astype(np.int64), bits)
 
 
 def _route(q: Quantiser, lay: _Layout, dim: int, reach: int, depth: int):
@@ -183,9 +184,8 @@ def _route(q: Quantiser, lay: _Layout, dim: int, reach: int, depth: int):
                             y = q.residual_signs(part[r : r + 1], np.array([c1]), np.array([c2]))[0, :bits]
                             code = int(((y > 0) << np.arange(bits)).sum())
                             targets = [code] + [code ^ (1 << int(i)) for i in np.argsort(np.abs(y))[:3]]
-                        deal = int(segs[lo + r]) * 2654435761 % int(lay.parts[p]) if lay.parts[p] > 1 else 0
                         for n_target, t in enumerate(targets):
-                            key = (bins[p] << 24) + (t << 8) + deal % 256
+                            key = (bins[p] << 24) + (t << 8)
                             if key not in seen:
                                 seen.add(key)
                                 who.append(lo + r)
@@ -227,33 +227,165 @@ def _rerank(dim: int, top: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        pile: _Pile | None = None
 
         def flush(rows):
             key = rows[0]
             cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             for s, e in zip(cut, np.append(cut[1:], len(key))):
-                for lo in range(s, e, BLOCK_ROWS):
-                    z = slice(lo, min(lo + BLOCK_ROWS, e))
+                z = slice(s, e)
+                if e - s <= BLOCK_ROWS:
                     if (out := score(rows[2][z], rows[3][z], rows[4][z], rows[1][z])) is not None:
                         yield out
+                else:
+                    large = _Pile(key[s], dim)
+                    large.add([r[z] for r in rows])
+                    yield from large.scores(top, least)
 
         for b in batches:
             if not b.num_rows:
                 continue
             rows = [b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(), b.column(3).to_numpy(), unpack(b.column(4), dim)]
+            if pile:
+                n = int(np.searchsorted(rows[0], pile.key, side="right"))
+                pile.add([z[:n] for z in rows])
+                if n == len(rows[0]):
+                    continue
+                yield from pile.scores(top, least)
+                pile, rows = None, [z[n:] for z in rows]
             held.append(rows)
-            if rows[0][0] == rows[0][-1] == held[0][0][0] and sum(len(h[0]) for h in held) < 2 * BLOCK_ROWS:
+            alone = rows[0][0] == rows[0][-1] == held[0][0][0]
+            if alone and sum(len(h[0]) for h in held) < 2 * BLOCK_ROWS:
                 continue
             all_ = [np.concatenate(z) for z in zip(*held)]
-            last = np.searchsorted(all_[0], all_[0][-1]) if all_[0][0] != all_[0][-1] else len(all_[0])
+            if alone:
+                pile, held = _Pile(all_[0][0], dim), []
+                pile.add(all_)
+                continue
+            last = np.searchsorted(all_[0], all_[0][-1])
             yield from flush([z[:last] for z in all_])
-            held = [[z[last:] for z in all_]] if last < len(all_[0]) else []
+            held = [[z[last:] for z in all_]]
+        if pile:
+            yield from pile.scores(top, least)
         if held:
             yield from flush([np.concatenate(z) for z in zip(*held)])
 
     return run
 
 
+class _Best:
+    """The best ``top`` partners so far of each of n vectors."""
+
+    def __init__(self, n: int, top: int):
+        self.score, self.of = np.full((n, top), -2, np.float32), np.zeros((n, top), np.int64)
+
+    def see(self, at: np.ndarray, m: np.ndarray, cols: np.ndarray, least: float) -> None:
+        """Scores ``m`` of the vectors ``at`` with the vectors ``cols``."""
+        top = self.score.shape[1]
+        hot = np.flatnonzero(m.max(1) > np.maximum(self.score[at, -1], np.nextafter(np.float32(least), np.float32(-2))))
+        if not len(hot):
+            return
+        m, at = m[hot], at[hot]
+        c = np.argpartition(-m, top - 1, axis=1)[:, :top] if m.shape[1] > top else np.broadcast_to(np.arange(m.shape[1]), m.shape)
+        s, o = np.hstack([self.score[at], np.take_along_axis(m, c, 1)]), np.hstack([self.of[at], cols[c]])
+        order = np.argsort(-s, axis=1, kind="stable")[:, :top]
+        self.score[at], self.of[at] = np.take_along_axis(s, order, 1), np.take_along_axis(o, order, 1)
+
+
+class _Pile:
+    """A part of any size: its vectors lie in a file, all are compared with all that are at home."""
+
+    def __init__(self, key: int, dim: int):
+        self.key, self.dim, self.file, self.rows = key, dim, tempfile.TemporaryFile(), []
+
+    def add(self, rows: list[np.ndarray]) -> None:
+        if len(rows[0]):
+            self.rows.append([np.array(z) for z in rows[1:4]])
+            self.file.write(np.ascontiguousarray(rows[4], np.float32).tobytes())
+
+    def scores(self, top: int, least: float) -> Iterator[pa.RecordBatch]:
+        home, ids, segs = (np.concatenate(z) for z in zip(*self.rows))
+        if home.any():
+            self.file.flush()
+            x = np.memmap(self.file, np.float32, "r", shape=(len(ids), self.dim))
+            rows, twin, of_copies = _needed(_like(x, home), ids, segs, top)
+            entries = rows[home[rows]]
+            mine, theirs = _Best(len(rows), top), _Best(len(entries), top)
+            for lo in range(0, len(entries), COLS):
+                e = entries[lo : lo + COLS]
+                y = np.array(x[e]).T
+                for low in range(0, len(rows), ROWS):
+                    r = rows[low : low + ROWS]
+                    g = x[r] @ y
+                    g[segs[r][:, None] == segs[e][None, :]] = -2
+                    mine.see(np.arange(low, low + len(r)), g, e, least)
+                    theirs.see(np.arange(lo, lo + len(e)), np.ascontiguousarray(g.T), r, least)
+            for best, of, who in ((mine, rows, np.flatnonzero(twin >= 0)), (theirs, entries, np.flatnonzero((twin >= 0) & home))):
+                for lo in range(0, len(who), BLOCK_ROWS):
+                    w = who[lo : lo + BLOCK_ROWS]
+                    at = np.searchsorted(of, twin[w])
+                    ok = best.score[at] >= least
+                    yield _pairs(ids[w].repeat(ok.sum(1)), ids[best.of[at][ok]], best.score[at][ok])
+            who = np.flatnonzero((twin < 0) & home)
+            for lo in range(0, len(who), BLOCK_ROWS):
+                w = who[lo : lo + BLOCK_ROWS]
+                y = np.array(x[w])
+                norm = (y * y).sum(1).repeat(top)
+                yield _pairs(*(z[norm >= least] for z in (ids[w].repeat(top), ids[of_copies[w].reshape(-1)], norm)))
+        self.file.close()
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score.astype(np.float64))], ["a", "b", "score"])
+
+
+def _like(x: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for copies of a vector."""
+    h = np.empty((len(x), 2), np.int64)
+    odd = np.random.default_rng(1).integers(1, 1 << 62, (2, x.shape[1] + 1)) * 2 + 1
+    for lo in range(0, len(x), BLOCK_ROWS):
+        z = slice(lo, lo + BLOCK_ROWS)
+        bits = np.hstack([(np.array(x[z]) + np.float32(0)).view(np.uint32).astype(np.int64), home[z, None]]) + 1
+        for k in range(2):
+            y = bits * odd[k]
+            h[z, k] = ((y ^ (y >> 29)) * odd[k][::-1]).sum(1)
+    return np.unique(h, axis=0, return_inverse=True)[1].reshape(-1)
+
+
+def _needed(like: np.ndarray, ids: np.ndarray, segs: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows to compare, of copies those with the smallest ids until there are ``top`` for every segment.
+
+    With them, for each row, the compared copy of its own segment, whose neighbours are its own, or -1; and, where there
+    is none, ``top`` compared copies, all of other segments, which nothing can surpass.
+    """
+    order = np.lexsort((ids, segs, like))
+    l, g = like[order], segs[order]
+    start = np.append(True, (l[1:] != l[:-1]) | (g[1:] != g[:-1])) if len(l) else np.zeros(0, bool)
+    group = np.cumsum(start) - 1
+    first = np.flatnonzero(start)
+    rank = np.empty(len(l), np.int64)
+    rank[order] = np.arange(len(l)) - first[group]  # among the copies of its segment
+    some = np.flatnonzero(rank < top)
+    o = some[np.lexsort((ids[some], like[some]))]
+    l = like[o]
+    begin = np.flatnonzero(np.append(True, l[1:] != l[:-1]))
+    place = np.arange(len(o)) - np.repeat(begin, np.diff(np.append(begin, len(o))))
+    most = np.maximum.accumulate(l * (top + 1) + rank[o] + 1) - l * (top + 1)  # copies of any one segment so far
+    enough = place + 1 - most >= top
+    keep = np.append(True, ~enough[:-1] | (l[1:] != l[:-1]))
+    rows = o[keep]
+    kept = np.zeros(len(like), bool)
+    kept[rows] = True
+    twin = np.empty(len(like), np.int64)
+    leader = order[first]  # the smallest id of each segment's copies: kept if any is
+    twin[order] = np.where(kept[leader], leader, -1)[group]
+    of_copies = np.zeros((len(like), top), np.int64)
+    alone = np.flatnonzero(twin < 0)
+    at = np.searchsorted(like[rows], like[alone])
+    of_copies[alone] = rows[at[:, None] + np.arange(top)]
+    return np.sort(rows), np.where(kept, np.arange(len(like)), twin), of_copies
+
+
 def nearest(vectors: DataFrame, q: Quantiser, *, dim: int, top: int, least: float, reach: int = 64, depth: int = 48, bin_rows: int = 1024) -> DataFrame:
     """``a, b, score``: up to ``top`` best partners of every vector with a dot product of at least ``least``.
 

@@ -76,6 +76,63 @@ def test_hot_cell_and_copies(spark):
     assert len(mine & want) >= 0.95 * len(want)
 
 
+def one_ball(rng, n, dim=64):
+    """Vectors so close together, beside the only centroid, that no plane divides them."""
+    c = rng.standard_normal(dim)
+    x = c / np.linalg.norm(c) + 1e-2 * rng.standard_normal((n, dim))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def best_scores(x, segs, top):
+    g = (x.astype(np.float64) @ x.astype(np.float64).T).astype(np.float32)
+    g[segs[:, None] == segs[None, :]] = -2
+    return -np.sort(-g, axis=1)[:, :top]
+
+
+def test_hot_cell_is_compared_in_full(spark):
+    """One cell of 128 times ``bin_rows`` and more, of different vectors: every true partner is met."""
+    x = one_ball(np.random.default_rng(8), 5000)
+    v = spark.createDataFrame([(i, i, a.tobytes()) for i, a in enumerate(x)], "id long, seg long, v binary")
+    centre = np.zeros((1, 32), np.float32)
+    planes = np.repeat(x.mean(0)[None, :], 16, 0)
+    got = multi_index.nearest(v, multi_index.Quantiser([centre, centre], planes), dim=64, top=5, least=0.9, bin_rows=32).toPandas()
+    want = best_scores(x, np.arange(5000), 5)
+    score = got.sort_values(["a", "score"], ascending=[True, False]).score.to_numpy().reshape(5000, 5)
+    assert np.allclose(score, want, rtol=0, atol=1e-6)
+
+
+@pytest.mark.parametrize("batch", [100, 5000])
+def test_blocks_of_one_key_meet(monkeypatch, batch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(multi_index, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(multi_index, "ROWS", 50, raising=False)
+    monkeypatch.setattr(multi_index, "COLS", 70, raising=False)
+    rng = np.random.default_rng(9)
+    ball = clouds(rng, 40, 12).astype(np.float32)
+    ball /= np.linalg.norm(ball, axis=1, keepdims=True)
+    copies = [np.repeat(ball[k : k + 1], n, 0) for k, n in ((0, 300), (20, 90), (40, 4))]
+    x = np.vstack([ball, *copies])
+    segs = np.concatenate([np.arange(480), np.arange(1000, 1300), np.where(np.arange(90) < 87, 7000, 7001), np.full(4, 8000)])
+    o = rng.permutation(len(x))
+    x, segs = x[o], segs[o]
+    key = np.full(len(x), 5)
+    key, home, ids = np.concatenate([[3] * 10, key, [9] * 10]), np.ones(len(x) + 20, bool), np.concatenate([-np.arange(1, 11), np.arange(len(x)), -np.arange(11, 21)])
+    rows = [key, home, ids, np.concatenate([np.arange(-10, 0), segs, np.arange(-20, -10)]), np.vstack([ball[:10], x, ball[:10]])]
+    batches = [pa.RecordBatch.from_arrays([*(pa.array(z[lo : lo + batch]) for z in rows[:4]), vectors.pack(rows[4][lo : lo + batch])], ["key", "home", "id", "seg", "v"]) for lo in range(0, len(key), batch)]
+    found = {}
+    for b in multi_index._rerank(64, 5, 0.5)(iter(batches)):
+        for a, c, s in zip(*(z.to_pylist() for z in b.columns)):
+            if a >= 0:
+                assert c >= 0 and segs[a] != segs[c] and abs(s - float(x[a] @ x[c])) < 1e-5
+                found.setdefault(a, {})[c] = s
+    want = best_scores(x, segs, 5)
+    for i in range(len(x)):
+        got = sorted(found.get(i, {}).values(), reverse=True)[:5]
+        need = [s for s in want[i] if s >= 0.5 + 1e-5]
+        assert len(got) >= len(need) and np.allclose(got[: len(need)], need, atol=1e-5), i
+
+
 def test_windows_of_one_segment_are_no_partners(spark):
     a = [1.0] + [0.0] * 63
     df = frame(spark, [(1, [0, 1], [[a], [a]]), (2, [0], [[a]])])
