@@ -762,6 +762,12 @@ def f21(spark, d):
     return load(spark, d, "energy").where("win_idx < 50").select("line_id", fn.finite_or_zero(F.col("energy")).alias("energy"))
 
 
+@query("f21_finite_or_zero_all", "SELECT line_id, CASE WHEN energy IS NULL OR isnan(energy) OR isinf(energy) THEN 0.0::DOUBLE ELSE energy END AS energy FROM energy")
+def f21_all(spark, d):
+    """Every line; ``f21_finite_or_zero`` and its SQL are of the first windows of a file only."""
+    return load(spark, d, "energy").select("line_id", fn.finite_or_zero(F.col("energy")).alias("energy"))
+
+
 @query("f23_grid", "SELECT round((2 * r + 1) / 4.0::DOUBLE - 1, 8) AS \"row\", round((2 * c + 1) / 4.0::DOUBLE - 1, 8) AS col FROM range(0, 4) a(r), range(0, 4) b(c)")
 def f23(spark, d):
     """F22, F23."""

@@ -15,3 +15,11 @@ def test_query_equals_sql(spark, data, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, data, name):
     assert registry.QUERIES[name](spark, data).count() >= 0
+
+
+def test_finite_or_zero_of_every_line(spark, data):
+    """Also lines of later windows and without a window."""
+    lines = spark.read.parquet(f"{data}/energy.parquet")
+    got = registry.QUERIES["f21_finite_or_zero_all"](spark, data)
+    assert got.count() == lines.count() > lines.where("win_idx < 50").count()
+    assert got.where("energy is null or isnan(energy) or abs(energy) = double('inf')").count() == 0
