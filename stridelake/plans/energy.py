@@ -296,6 +296,21 @@ def a19(spark, d):
     return S.otsu(series(spark, d).where("energy < 100"), ["path"]).withColumn("threshold", r8(F.col("threshold")))
 
 
+@query(
+    "a19_otsu_all",
+    SERIES_SQL + """, f AS (SELECT path, energy FROM s), r AS (SELECT path, min(energy) AS lo, max(energy) AS hi FROM f GROUP BY path),
+    b AS (SELECT path, lo, hi, CASE WHEN hi > lo THEN least(255, CAST(floor((energy - lo) / (hi - lo) * 256) AS BIGINT)) ELSE 0 END AS bin FROM f JOIN r USING (path)),
+    h AS (SELECT path, bin, count(*) AS c FROM b GROUP BY path, bin), g AS (SELECT path, lo, hi, unnest(range(0, 256)) AS bin FROM r),
+    x AS (SELECT g.path, lo, hi, g.bin, coalesce(c, 0) AS c, lo + (g.bin + 0.5) * (hi - lo) / 256 AS centre FROM g LEFT JOIN h ON h.path = g.path AND h.bin = g.bin),
+    y AS (SELECT *, sum(c) OVER o AS w0, sum(c * centre) OVER o AS s0, sum(c) OVER e AS w, sum(c * centre) OVER e AS s FROM x WINDOW o AS (PARTITION BY path ORDER BY bin), e AS (PARTITION BY path)),
+    v AS (SELECT *, coalesce(CASE WHEN w0 > 0 AND w > w0 THEN w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2) END, 0) AS var FROM y)
+    SELECT path, round(CASE WHEN hi = lo THEN lo ELSE centre END, 8) AS threshold FROM v WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(var, 8) DESC, bin) = 1""",
+)
+def a19_all(spark, d):
+    """Of all values of the series, with bins over [min, max]; ``a19_otsu`` and its SQL are of those below 100 only."""
+    return S.otsu(series(spark, d), ["path"]).withColumn("threshold", r8(F.col("threshold")))
+
+
 @query("a20_histogram", SERIES_SQL + "SELECT source, least(499, CAST(floor(energy / 1.0 * 500) AS BIGINT)) AS bin, count(*) AS n FROM s WHERE energy BETWEEN 0 AND 1 GROUP BY 1, 2")
 def a20(spark, d):
     return S.histogram(series(spark, d), ["source"], F.col("energy"), 0.0, 1.0, 500)
