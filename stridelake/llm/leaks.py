@@ -173,6 +173,24 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
     return np.where(known, h.view(np.int64), 0)
 
 
+def _reach(covered: np.ndarray, least: int) -> int:
+    """No one or two stretches of an item span more of its words than this, by the words that n-gram hits cover.
+
+    A stretch starts and ends with covered words. Altered words with two words between them leave the most uncovered:
+    three for each but the last, which leaves one.
+    """
+    n = len(covered)
+    if covered.sum() < least:
+        return 0
+    gaps = np.append(0, np.cumsum(~covered))
+    begin, end = np.flatnonzero(covered), np.flatnonzero(covered) + 1
+    size, open_ = end[None, :] - begin[:, None], gaps[end][None, :] - gaps[begin][:, None]
+    size = np.where((size >= least) & ((open_ == 0) | ((ALTERED + 1) * (open_ + 2) <= 3 * size)), size, 0)
+    upto, since = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    upto[end], since[begin] = size.max(0), size.max(1)
+    return int((np.maximum.accumulate(upto) + np.maximum.accumulate(since[::-1])[::-1]).max())
+
+
 def _leaks_of(doc: np.ndarray, items: _Items, share: float, min_stretch: int) -> list[tuple[int, float, float]]:
     """(item, share of its words in stretches, share of altered words) for one document's word ids."""
     keys = grams(doc, SEED)
@@ -201,7 +219,7 @@ def _leaks_of(doc: np.ndarray, items: _Items, share: float, min_stretch: int) ->
         covered = np.zeros(len(a) + COVER, bool)
         for c in range(COVER):
             covered[pairs[:, 0] + c] = True
-        if covered.sum() < 0.8 * share * len(a):
+        if _reach(covered[: len(a)], min_stretch) < share * len(a):
             continue
         spans = np.zeros(len(doc) + 1, np.int64)
         pad = max(12, (EDGE * (len(a) // ALTERED)) + EDGE)  # a stretch's altered words may be close together

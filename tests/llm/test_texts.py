@@ -218,3 +218,14 @@ def test_stretches_keep_the_rule():
     assert sum(s[1] - s[0] for s in leaks._stretches(a, evenly, 8)) < 50
     assert sum(s[1] - s[0] for s in leaks._stretches(a, np.concatenate([a[60:], np.zeros(9, np.int64), a[:40]]), 8)) == 40
     assert leaks._stretches(a, np.zeros(50, np.int64), 8) == [] and leaks._stretches(a, a[:7], 8) == []
+
+
+def test_leak_with_altered_words_close_together():
+    """Half of an item, or a bit more, with every altered word it may have two words from the next."""
+    item = np.arange(1, 101)
+    block = leaks._Items([(7, [str(k) for k in item])], 5)
+    for held, at in ((52, (3, 6, 9, 12, 15, 18)), (50, (20, 23, 26, 29, 32, 35))):
+        half = item[:held].copy()
+        half[list(at)] = 0
+        doc = np.concatenate([np.zeros(60, np.int64), half, np.zeros(60, np.int64)])
+        assert [g[0] for g in leaks._leaks_of(doc, block, 0.5, 8)] == [7], held
