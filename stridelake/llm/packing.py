@@ -132,7 +132,8 @@ def pack(
     """``container_kind, container_id, doc_id, piece, token_start, n_tokens``: every item in a container of each kind.
 
     A container takes at most ``capacity * max_docs_per_token`` documents (16 at least) and an attention cost of
-    ``max_cost * capacity ^ 2`` (an item of full length always has room).
+    ``max_cost * capacity ^ 2`` (an item of full length always has room: a ``max_cost`` below 1 counts as 1, so that
+    tokens bind first and the cost only weighs in the choice among containers).
     """
     spark = counts.sparkSession
     kinds = [(k, int(c), max(16, int(c * max_docs_per_token)), max(1.0, max_cost) * c * c) for k, c in containers if k is not None and c is not None and c >= 1]
