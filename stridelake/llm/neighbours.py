@@ -14,10 +14,11 @@ def similar_windows(segments: DataFrame, *, top: int = 5, least: float = 0.9, di
     """``seg_a, win_a, seg_b, win_b, cosine`` with seg_a < seg_b, each pair once.
 
     The cosine is at least ``least`` and one of the two is among the other's ``top`` most similar windows of other
-    segments; equal similarities are ordered by hashed id. Windows without a usable vector take no part.
+    segments; equal similarities are ordered by the place of the windows in the written table. Windows without a usable
+    vector take no part.
     """
-    v = unit_vectors(segments, "window", dim).withColumn("id", F.xxhash64("seg_id", "win")).withColumnRenamed("seg_id", "seg")
-    v = materialise(v.select("id", "seg", "win", "v"), "windows")
+    v = unit_vectors(segments, "window", dim).withColumnRenamed("seg_id", "seg").sortWithinPartitions("seg", "win")
+    v = materialise(v.select(F.monotonically_increasing_id().alias("id"), "seg", "win", "v"), "windows")  # written once, so the ids stay
     q = multi_index.fit(v, v.count(), dim)
     best = multi_index.nearest(v, q, dim=dim, top=top, least=least, reach=reach)
     pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("cosine"))

@@ -1,6 +1,7 @@
 import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stridelake.llm import clusters, multi_index, neighbours, vectors
@@ -89,13 +90,14 @@ def best_scores(x, segs, top):
     return -np.sort(-g, axis=1)[:, :top]
 
 
-def test_hot_cell_is_compared_in_full(spark):
-    """One cell of 128 times ``bin_rows`` and more, of different vectors: every true partner is met."""
+def test_hot_cell_is_compared_in_full(spark, monkeypatch):
+    """One cell of 128 times ``bin_rows`` and more, of different vectors, in blocks and shares: every true partner is met."""
+    monkeypatch.setattr(multi_index, "BLOCK_ROWS", 700)
+    monkeypatch.setattr(multi_index, "VISIT_ROWS", 900)
     x = one_ball(np.random.default_rng(8), 5000)
     v = spark.createDataFrame([(i, i, a.tobytes()) for i, a in enumerate(x)], "id long, seg long, v binary")
     centre = np.zeros((1, 32), np.float32)
-    planes = np.repeat(x.mean(0)[None, :], 16, 0)
-    got = multi_index.nearest(v, multi_index.Quantiser([centre, centre], planes), dim=64, top=5, least=0.9, bin_rows=32).toPandas()
+    got = multi_index.nearest(v, multi_index.Quantiser([centre, centre]), dim=64, top=5, least=0.9, bin_rows=32).toPandas()
     want = best_scores(x, np.arange(5000), 5)
     score = got.sort_values(["a", "score"], ascending=[True, False]).score.to_numpy().reshape(5000, 5)
     assert np.allclose(score, want, rtol=0, atol=1e-6)
@@ -103,8 +105,6 @@ def test_hot_cell_is_compared_in_full(spark):
 
 @pytest.mark.parametrize("batch", [100, 5000])
 def test_blocks_of_one_key_meet(monkeypatch, batch):
-    import pyarrow as pa
-
     monkeypatch.setattr(multi_index, "BLOCK_ROWS", 64)
     monkeypatch.setattr(multi_index, "ROWS", 50, raising=False)
     monkeypatch.setattr(multi_index, "COLS", 70, raising=False)
@@ -133,6 +133,42 @@ def test_blocks_of_one_key_meet(monkeypatch, batch):
         assert len(got) >= len(need) and np.allclose(got[: len(need)], need, atol=1e-5), i
 
 
+def test_recall_in_a_dense_ball(spark):
+    """A third of all vectors lie in one ball, nearly equal: the reach follows, and every hundredth vector finds its partners."""
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((36_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:12_000] = one_ball(rng, 12_000)
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    table = pa.table({"id": np.arange(len(x)), "seg": np.arange(len(x)), "v": vectors.pack(x)})
+    v = spark.createDataFrame(table)
+    got = multi_index.nearest(v, multi_index.fit(v, len(x), 64), dim=64, top=5, least=0.9).where("a % 100 = 0").toPandas()
+    asked = np.arange(0, len(x), 100)
+    g = x[asked] @ x.T
+    g[np.arange(len(asked)), asked] = -2
+    best = np.argsort(-g, axis=1)[:, :5]
+    want = {(int(a), int(b)) for a, bs, s in zip(asked, best, np.take_along_axis(g, best, 1)) for b, c in zip(bs, s) if c >= 0.9}
+    assert len(want) > 500 and len(want & set(zip(got.a, got.b))) >= 0.9 * len(want)
+
+
+def test_copies_beyond_the_indexed_ones(spark):
+    """Many copies over many and over few segments: every list is as good as by brute force."""
+    rng = np.random.default_rng(12)
+    base = clouds(rng, 30, 6)
+    x = np.vstack([base, np.repeat(base[:1], 200, 0), np.repeat(base[6:7], 150, 0)]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[180:380], x[380:] = x[0], x[6]
+    segs = np.concatenate([np.arange(180), 1000 + np.arange(200) % 7, np.where(np.arange(150) < 148, 2000, 2001)])
+    v = spark.createDataFrame([(i, int(s), a.tobytes()) for i, (s, a) in enumerate(zip(segs, x))], "id long, seg long, v binary")
+    got = multi_index.nearest(v, multi_index.fit(v, len(x), 64), dim=64, top=5, least=0.5).toPandas()
+    assert (segs[got.a] != segs[got.b]).all() and not got.duplicated(["a", "b"]).any()
+    want = best_scores(x, segs, 5)
+    mine = {a: np.sort(z.score.to_numpy())[::-1] for a, z in got.groupby("a")}
+    for i in range(len(x)):
+        need = want[i][want[i] >= 0.5 + 1e-5]
+        assert len(mine[i]) >= len(need) and np.allclose(mine[i][: len(need)], need, atol=1e-5), i
+
+
 def test_windows_of_one_segment_are_no_partners(spark):
     a = [1.0] + [0.0] * 63
     df = frame(spark, [(1, [0, 1], [[a], [a]]), (2, [0], [[a]])])
