@@ -191,7 +191,52 @@ def test_clusters(spark):
         groups.setdefault(row["cluster"], set()).add(row["seg_id"])
     assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values()}
     for row in r:
-        assert row["size"] == len(groups[row["cluster"]]) and 1 <= row["typical_rank"] <= row["size"] and row["cosine"] >= 0.85
+        assert row["size"] == len(groups[row["cluster"]]) and row["cosine"] >= 0.85
+    for n in sizes:  # the most typical members have a rank
+        assert sorted(row["typical_rank"] for row in r if row["size"] == n and row["typical_rank"]) == list(range(1, min(n, 10) + 1))
+
+
+def plain_linkage(x, least):
+    """Average linkage, one best pair at a time."""
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > 1:
+        m = np.array([x[g].mean(0) for g in groups])
+        s = m @ m.T
+        np.fill_diagonal(s, -2)
+        i, j = np.unravel_index(int(s.argmax()), s.shape)
+        if s[i, j] < least:
+            break
+        groups[i] = groups[i] + groups[j]
+        del groups[j]
+    return {frozenset(g) for g in groups if len(g) > 1}
+
+
+@pytest.mark.parametrize("local,finish_edges", [(2048, 1000), (4, 1000), (4, 20)])
+def test_clusters_equal_plain_linkage(spark, local, finish_edges):
+    """Groups that touch each other, in components worked off in one task and in rounds over all tasks."""
+    rng = np.random.default_rng(15)
+    c = rng.standard_normal((12, 64))
+    x = np.vstack([np.repeat(c[i : i + 1], 9, 0) + rng.uniform(0.25, 0.5) * rng.standard_normal((9, 64)) for i in range(12)])
+    x = np.vstack([x, (c[:6] + c[6:]) / 2, x[:5], x[:1], x[:1]]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame(pa.table({"id": np.arange(len(x)), "v": vectors.pack(x)}))
+    members, groups = clusters.reciprocal_clusters(v, local=local, finish_edges=finish_edges, links=8)
+    got = {}
+    for r in members.collect():
+        got.setdefault(r["id"], set()).add(r["member"])
+    assert {frozenset(g) for g in got.values()} == plain_linkage(x.astype(np.float64), 0.8)
+    assert {r["id"]: r["n"] for r in groups.collect()} == {k: len(g) for k, g in got.items()}
+
+
+@pytest.mark.parametrize("finish_edges", [1000, 3])
+def test_components(spark, tmp_path, finish_edges):
+    edges = [(i, i + 1) for i in range(0, 30)] + [(100, 101), (100, 102), (200, 201), (40, 50), (50, 60), (40, 60)]
+    spark.createDataFrame(edges, "lo long, hi long").write.parquet(str(tmp_path / "e"))
+    got = {}
+    for r in clusters.components(spark.read.parquet(str(tmp_path / "e")), finish_edges=finish_edges).collect():
+        got.setdefault(r["comp"], set()).add((r["id"], r["size"]))
+    want = [set(range(31)), {100, 101, 102}, {200, 201}, {40, 50, 60}]
+    assert sorted(map(sorted, got.values())) == sorted(sorted((i, len(w)) for i in w) for w in want)
 
 
 def test_clusters_of_copies(spark):
