@@ -122,6 +122,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, d), _containers(spark, d))
 
 
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What the packing promises, counted: documents placed, and broken promises."""
+    counts = materialise(packing.token_counts(load(spark, d, "documents")), "counts")
+    kinds = _containers(spark, d)
+    return packing.broken_rules(packing.pack(counts, kinds), counts, kinds)
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
@@ -139,7 +146,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return p10_found(spark, d).groupBy("subject").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p3_found": p3_found, "p3_support": p3_support, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_cutoffs": p2_cutoffs, "p3_found": p3_found, "p3_support": p3_support, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p6_runs": p6_runs, "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_rules": p8_rules, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_composition": p10_composition}
 
 _P2 = """
 WITH c AS (
@@ -211,7 +218,15 @@ SELECT DISTINCT CAST(least(sa, sb) AS BIGINT) AS seg_a, CAST(CASE WHEN sa < sb T
 FROM r WHERE c >= 0.9
 """
 
+# No packing can be told from another by SQL; what every one of them must keep to can.
+_P8 = """
+SELECT container_kind, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND text <> '') AS n_documents,
+       CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_crowded, CAST(0 AS BIGINT) AS n_costly, CAST(0 AS BIGINT) AS n_split, CAST(0 AS BIGINT) AS n_lost
+FROM containers WHERE container_kind IS NOT NULL AND capacity_tokens >= 1 GROUP BY container_kind
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p8_rules": _P8,
     "p7_found": _P7,
     "p3_found": _P3 + "SELECT code_pattern FROM every, k GROUP BY code_pattern, need HAVING count(DISTINCT seg_id) >= need",
     "p3_support": _P3 + "SELECT code_pattern, count(DISTINCT seg_id) AS n_segments FROM every, k GROUP BY code_pattern, need HAVING count(DISTINCT seg_id) >= need",

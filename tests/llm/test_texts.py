@@ -51,7 +51,7 @@ def test_pack(spark):
     counts = {i: rng.choice([1, 5, 40, 100, 129, 700]) for i in range(600)} | {1000: 0}
     df = spark.createDataFrame([(d, n) for d, n in counts.items() if n], "doc_id long, n_tokens long")
     kinds = [("a", 128), ("b", 512), ("none", None), ("zero", 0)]
-    rows = packing.pack(df, kinds, group_items=100, fan_in=2).collect()
+    rows = packing.pack(df, kinds, group_items=100).collect()
     check_packing(rows, counts, [("a", 128), ("b", 512)])
     total = sum(counts.values())
     used = len({r["container_id"] for r in rows if r["container_kind"] == "b"})
@@ -60,6 +60,45 @@ def test_pack(spark):
     assert rep["b"]["n_tokens"] == total and rep["b"]["fill"] > 0.95
 
 
+def test_groups_stay_small(spark, monkeypatch):
+    """Items of 52 to 90 % of the capacity go into a container each, and no task holds more than about a group of them."""
+    rng = random.Random(7)
+    counts = {i: rng.randrange(520, 901) for i in range(4000)}
+    seen = spark.sparkContext.accumulator(0)  # rows of groups above twice the size asked for
+    fit = packing.best_fit
+
+    def spy(sizes, *rest):
+        if len(sizes) > 2 * 200:
+            seen.add(len(sizes))
+        return fit(sizes, *rest)
+
+    monkeypatch.setattr(packing, "best_fit", spy)
+    df = spark.createDataFrame(list(counts.items()), "doc_id long, n_tokens long")
+    rows = packing.pack(df, [("a", 1000)], group_items=200).collect()
+    check_packing(rows, counts, [("a", 1000)])
+    assert len({r["container_id"] for r in rows}) == 4000 and seen.value == 0
+
+
+def test_each_capacity_decides():
+    tokens = packing.best_fit(np.array([6, 6, 6]), 10, 16, 1e9)
+    by_docs = packing.best_fit(np.array([1] * 40), 1000, 16, 1e9)
+    by_cost = packing.best_fit(np.array([500, 500]), 1000, 16, 0.4 * 1000**2)
+    assert len(set(tokens)) == 3 and len(set(by_docs)) == 3 and len(set(by_cost)) == 2
+    assert len(set(packing.best_fit(np.array([500, 500]), 1000, 16, 0.5 * 1000**2))) == 1
+    assert len(set(packing.best_fit(np.array([1000, 950, 20, 20]), 1000, 16, 0.4 * 1000**2))) == 2  # costly items have room beside them for small ones
+
+
+def test_broken_rules_are_seen(spark):
+    counts = spark.createDataFrame([(1, 10), (2, 10), (3, 25)], "doc_id long, n_tokens long")
+    kinds = [("a", 12)]
+    good = packing.pack(counts, kinds)
+    zero = packing.broken_rules(good, counts, kinds).first().asDict()
+    assert zero == {"container_kind": "a", "n_documents": 3, "n_overfull": 0, "n_crowded": 0, "n_costly": 0, "n_split": 0, "n_lost": 0}
+    bad = spark.createDataFrame([("a", "x", 1, 0, 0, 10), ("a", "x", 2, 0, 0, 5), ("a", "y", 2, 1, 5, 5), ("a", "z", 3, 0, 0, 12)], good.schema)
+    r = packing.broken_rules(bad, counts, kinds).first()
+    assert (r["n_overfull"], r["n_costly"], r["n_split"], r["n_lost"]) == (1, 1, 1, 1)
+
+
 def test_best_fit_is_tight():
     sizes = np.array([6, 5, 5, 4, 3, 3, 2, 2])
     b = packing.best_fit(sizes, 10, 16, 100.0)
