@@ -6,8 +6,12 @@ Of these pairs only those go on whose n-gram hits could cover enough of the item
 long enough, all pairs of stretches in the item's order are compared. A pair is a leak when one or two stretches with at
 most one altered word in eight span at least half of the item's words; a stretch starts and ends with three same words.
 
-Scale. The items are a stated, small query set: they are sent to all tasks in blocks of ``block_items`` (a block's n-gram
-table is bounded by its words), every document is read once per block, where it lies; nothing is shuffled.
+Scale. Items are a table like any other: their words are hashed, and how many items hold an n-gram is counted over all
+of them. Documents are read once, where they lie. Two bitmaps of a bounded size (``filter_bits``), made by Spark from
+the n-grams of all items, tell a task which words may belong to an item; only of documents with a rare seed, and of
+these only the words around hits, rows are written. Seeds then join documents with items by hash; a seed has at most
+``rare_in`` items, so no key brings many items and many documents together. A bitmap only saves work: with so many items
+that it fills up, more rows are written and the joins decide.
 
 Defined results: null and empty texts match nothing; rows with a null id are dropped; repeated items and documents give
 a pair once; items with fewer words than ``min_words`` have no n-gram that could tell them apart and never leak; further
@@ -21,10 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.llm.text import words
+from stridelake.sources.tables import materialise, shuffle_partitions
 
 SEED, COVER = 4, 3  # words of a seed and of the n-grams by which the coverage is estimated
 ERROR = 3.0
@@ -134,43 +140,43 @@ def _stretches(a: np.ndarray, b: np.ndarray, least: int, enough: float = np.inf)
     return [max(x, key=lambda s: s[1] - s[0]) for x in (one, two) if x]
 
 
-class _Items:
-    """A block of test items: word ids, the hashes of their rare seeds and covering n-grams."""
-
-    def __init__(self, rows: list[tuple[int, list[str]]], rare_in: int):
-        self.ids = [i for i, _ in rows]
-        vocab: dict[str, int] = {}
-        self.words = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in ws], np.int64) for _, ws in rows]
-        self.vocab = vocab
-        owners: dict[int, set[int]] = defaultdict(set)
-        self.cover: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, w in enumerate(self.words):
-            for g in grams(w, SEED).tolist():
-                owners[g].add(k)
-            for p, g in enumerate(grams(w, COVER).tolist()):
-                self.cover[g].append((k, p))
-        self.rare = {g: sorted(o) for g, o in owners.items() if len(o) <= rare_in}
-        self.rare_keys = np.array(sorted(self.rare), np.int64)
-        common = Counter(k for o in owners.values() if len(o) > rare_in for k in o)
-        self.common = common
-
-
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
 def grams(ids: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of n consecutive word ids; those with an unknown word (0) are 0."""
+    """64-bit hashes of n consecutive words."""
     m = len(ids) - n + 1
     if m <= 0:
         return np.zeros(0, np.int64)
     h = np.zeros(m, np.uint64)
-    known = np.ones(m, bool)
     u = ids.astype(np.uint64)
     for k in range(n):
         h = (h ^ (u[k : k + m] * _MIX[k])) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(29)
-        known &= ids[k : k + m] > 0
-    return np.where(known, h.view(np.int64), 0)
+    return h.view(np.int64)
+
+
+class _Words(dict):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
+        return h
+
+    def of(self, text: str) -> np.ndarray:
+        return np.array([self[w] for w in words(text)], np.int64)
+
+
+class Item:
+    """A test item: its words, where its covering n-grams are, and its rare seeds."""
+
+    def __init__(self, w: np.ndarray, rare: set[int]):
+        self.words, self.rare = w, rare
+        self.cover: dict[int, list[int]] = defaultdict(list)
+        for p, g in enumerate(grams(w, COVER).tolist()):
+            self.cover[g].append(p)
 
 
 def _reach(covered: np.ndarray, least: int) -> int:
@@ -191,89 +197,156 @@ def _reach(covered: np.ndarray, least: int) -> int:
     return int((np.maximum.accumulate(upto) + np.maximum.accumulate(since[::-1])[::-1]).max())
 
 
-def _leaks_of(doc: np.ndarray, items: _Items, share: float, min_stretch: int) -> list[tuple[int, float, float]]:
-    """(item, share of its words in stretches, share of altered words) for one document's word ids."""
-    keys = grams(doc, SEED)
-    if not len(keys) or not len(items.rare_keys):
-        return []
-    at = np.searchsorted(items.rare_keys, keys).clip(max=len(items.rare_keys) - 1)
-    hit = keys[items.rare_keys[at] == keys]
-    asked = {k for g in set(hit.tolist()) for k in items.rare[g]}
-    if not asked:
-        return []
-    spots: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p, g in enumerate(grams(doc, COVER).tolist()):
-        if g:
-            for k, q in items.cover.get(g, ()):
-                if k in asked:
-                    spots[k].append((q, p))
-    out = []
-    for k, pairs in spots.items():
-        a = items.words[k]
-        # hits on scattered diagonals are chance: keep those with company
-        pairs = np.array(pairs)
-        diag = (pairs[:, 1] - pairs[:, 0]) // 16
-        n = Counter(diag.tolist())
-        keep = np.array([n[d] + n[d - 1] + n[d + 1] >= 4 for d in diag.tolist()])
-        pairs = pairs[keep]
-        covered = np.zeros(len(a) + COVER, bool)
-        for c in range(COVER):
-            covered[pairs[:, 0] + c] = True
-        if _reach(covered[: len(a)], min_stretch) < share * len(a):
-            continue
-        spans = np.zeros(len(doc) + 1, np.int64)
-        pad = max(12, (EDGE * (len(a) // ALTERED)) + EDGE)  # a stretch's altered words may be close together
-        np.add.at(spans, np.maximum(pairs[:, 1] - pad, 0), 1)
-        np.add.at(spans, np.minimum(pairs[:, 1] + COVER + pad, len(doc)), -1)
-        near = np.flatnonzero(np.cumsum(spans)[:-1] > 0)  # the words around hits, in order
-        found = _stretches(a, doc[near], min_stretch, share * len(a))
-        span = sum(s[1] - s[0] for s in found)
-        if span >= share * len(a) and any(_has_seed(a[s[0] : s[1]], items) for s in found):
-            hit_n, err = sum(s[2] for s in found), sum(s[3] for s in found)
-            out.append((items.ids[k], span / len(a), err / (hit_n + err)))
-    return out
+def leak(doc: np.ndarray, place: np.ndarray, item: Item, share: float, min_stretch: int) -> tuple[float, float] | None:
+    """(share of the item's words in stretches, share of altered words), from some words of a document and their places."""
+    a = item.words
+    g = grams(doc, COVER)
+    whole = place[COVER - 1 :] - place[: len(g)] == COVER - 1  # no gap within
+    pairs = [(q, p) for p in np.flatnonzero(whole).tolist() for q in item.cover.get(int(g[p]), ())]
+    if not pairs:
+        return None
+    # hits on scattered diagonals are chance: keep those with company
+    pairs = np.array(pairs)
+    diag = (place[pairs[:, 1]] - pairs[:, 0]) // 16
+    n = Counter(diag.tolist())
+    pairs = pairs[np.array([n[d] + n[d - 1] + n[d + 1] >= 4 for d in diag.tolist()])]
+    covered = np.zeros(len(a) + COVER, bool)
+    for c in range(COVER):
+        covered[pairs[:, 0] + c] = True
+    if _reach(covered[: len(a)], min_stretch) < share * len(a):
+        return None
+    pad = padding(len(a))
+    near = np.zeros(len(place), bool)
+    hits = np.unique(place[pairs[:, 1]])
+    lo = np.searchsorted(place, np.maximum(hits - pad, 0))
+    hi = np.searchsorted(place, hits + COVER + pad)
+    step = np.zeros(len(place) + 1, np.int64)
+    np.add.at(step, lo, 1)
+    np.add.at(step, hi, -1)
+    near = np.flatnonzero(np.cumsum(step)[:-1] > 0)  # the words around hits, in order
+    found = _stretches(a, doc[near], min_stretch, share * len(a))
+    span = sum(s[1] - s[0] for s in found)
+    if span >= share * len(a) and any(item.rare.intersection(grams(a[s[0] : s[1]], SEED).tolist()) for s in found):
+        hit, err = sum(s[2] for s in found), sum(s[3] for s in found)
+        return span / len(a), err / (hit + err)
+    return None
+
+
+def padding(n: int) -> int:
+    """Words around a hit that a stretch of an item of n words may reach without another: its altered words may be close together."""
+    return max(12, EDGE * (n // ALTERED) + EDGE)
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashed = _Words()
+    for b in batches:
+        w = [hashed.of(t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in w], pa.list_(pa.int64())), *(pa.array([grams(x, n).tolist() for x in w], pa.list_(pa.int64())) for n in (SEED, COVER))], ["item_id", "w", "seeds", "cover"])
+
+
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2^bits places with the upper bits of all values of the column ``g`` set."""
+    place = F.shiftrightunsigned("g", 64 - bits)
+    rows = hashes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - bits}) & 63 as int))")).alias("m")).toArrow()  # at most 2^(bits - 6) rows
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("m").to_numpy()
+    return out.view(np.uint64)
+
+
+def _in(bitmap: np.ndarray, g: np.ndarray) -> np.ndarray:
+    p = g.view(np.uint64) >> np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+    return (bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _scan(seed_map: np.ndarray, cover_map: np.ndarray, least_items: int, share: float, pad: int):
+    """Arrow function (doc_id, text) -> doc_id, seeds, covered, place, w of the documents that may hold an item.
+
+    ``covered`` is the number of words in n-grams of any item that lie around a seed.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("seeds", pa.list_(pa.int64())), ("covered", pa.int64()), ("place", pa.list_(pa.int32())), ("w", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _Words()
+        for b in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = hashed.of(t)
+                g = grams(w, SEED)
+                hit = np.flatnonzero(_in(seed_map, g)) if len(g) else ()
+                if not len(hit):
+                    continue
+                # words within reach of two covering n-grams in a row, as every stretch has: those of stretches are all among them
+                c = _in(cover_map, grams(w, COVER))
+                near = _spread(len(w), np.flatnonzero(c[1:] & c[:-1]), pad)
+                n = int((_spread(len(w), np.flatnonzero(c), 0) & near).sum())
+                if n < least_covered(least_items, share):
+                    continue
+                place = np.flatnonzero(near)
+                for z, v in zip(out, (d, np.unique(g[hit]), n, place.astype(np.int32), w[place])):
+                    z.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(z, f.type) for z, f in zip(out, schema)], schema=schema)
+
+    return run
 
 
-def _has_seed(a: np.ndarray, items: _Items) -> bool:
-    return any(g in items.rare for g in grams(a, SEED).tolist())
+def _spread(n: int, hits: np.ndarray, pad: int) -> np.ndarray:
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.maximum(hits - pad, 0), 1)
+    np.add.at(step, np.minimum(hits + COVER + pad, n), -1)
+    return np.cumsum(step)[:-1] > 0
 
 
-def _scan(items: _Items, share: float, min_stretch: int):
+def least_covered(n_words: int, share: float) -> int:
+    """Covered words without which no stretches span ``share`` of an item: an altered word leaves at most three uncovered, seven matches go with it."""
+    return int(np.ceil(share * n_words * (1 - 3 / ALTERED))) - EDGE
+
+
+def _align_pairs(share: float, min_stretch: int):
+    """Arrow function (doc_id, place, w, item_id, item, rare) -> doc_id, item_id, share, altered."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = items.vocab.get
+        known: dict[int, Item] = {}
         for b in batches:
-            docs, ids, shares, errors = [], [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = np.array([get(x, 0) for x in words(t)], np.int64)
-                for i, s, e in _leaks_of(w, items, share, min_stretch):
-                    docs.append(d), ids.append(i), shares.append(s), errors.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ids, pa.int64()), pa.array(shares, pa.float64()), pa.array(errors, pa.float64())], ["doc_id", "item_id", "share", "altered"])
+            out: list[list] = [[] for _ in range(4)]
+            place, w, item, rare = (b.column(i) for i in (1, 2, 4, 5))
+            for r, (d, i) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+                words_ = item[r].values.to_numpy()
+                key = (i, words_.tobytes())  # an id may stand for several texts
+                if key not in known:
+                    if len(known) > 4096:
+                        known.clear()
+                    known[key] = Item(words_, set(rare[r].values.to_pylist()))
+                if got := leak(w[r].values.to_numpy(), place[r].values.to_numpy().astype(np.int64), known[key], share, min_stretch):
+                    for z, v in zip(out, (d, i, *got)):
+                        z.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(z, t) for z, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], ["doc_id", "item_id", "share", "altered"])
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, share: float = 0.5, rare_in: int = 5, min_words: int = 8, min_stretch: int = 8, block_items: int = 20_000) -> DataFrame:
+RESULT = "doc_id long, item_id long, share double, altered double"
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, *, share: float = 0.5, rare_in: int = 5, min_words: int = 8, min_stretch: int = 8, filter_bits: int = 27) -> DataFrame:
     """``doc_id, item_id, share, altered``: documents that hold a test item, wholly or in good part."""
-    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows: list[tuple[int, list[str]]] = []
-    parts: list[DataFrame] = []
-
-    def take():
-        if rows:
-            block = _Items(list(rows), rare_in)
-            parts.append(docs.mapInArrow(_scan(block, share, min_stretch), "doc_id long, item_id long, share double, altered double"))
-            rows.clear()
-
-    for r in items.where("item_id is not null and text is not null").select("item_id", "text").distinct().toLocalIterator():
-        w = words(r["text"])
-        if len(w) >= min_words:
-            rows.append((r["item_id"], w))
-        if len(rows) >= block_items:
-            take()
-    take()
-    if not parts:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, share double, altered double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.min("altered").alias("altered"))
+    spark = documents.sparkSession
+    docs = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    it = texts.mapInArrow(_item_words, "item_id long, w array<long>, seeds array<long>, cover array<long>").where(F.size("w") >= min_words)
+    it = materialise(it.withColumn("key", F.xxhash64("item_id", "w")), "items")
+    size = it.agg(F.min(F.size("w")), F.max(F.size("w")), F.sum(F.size("w"))).first()
+    if size[0] is None:
+        return spark.createDataFrame([], RESULT)
+    bits = min(filter_bits, max(12, int(size[2] * 64).bit_length()))
+    held = it.select("key", F.explode(F.array_distinct("seeds")).alias("g"))
+    rare = held.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") <= rare_in).select("g")
+    of_item = materialise(held.join(rare, "g"), "seeds")
+    maps = _bitmap(of_item, bits), _bitmap(it.select(F.explode("cover").alias("g")), bits)
+    found = docs.mapInArrow(_scan(*maps, size[0], share, padding(size[1])), "doc_id long, seeds array<long>, covered long, place array<int>, w array<long>")
+    found = materialise(found, "found")
+    item = it.select("key", "item_id", F.col("w").alias("item")).join(of_item.groupBy("key").agg(F.collect_list("g").alias("rare")), "key")
+    pairs = found.select("doc_id", "covered", F.explode("seeds").alias("g")).join(of_item, "g").select("doc_id", "covered", "key").distinct()
+    need = F.ceil(F.lit(share * (1 - 3 / ALTERED)) * F.size("item")) - EDGE
+    asked = pairs.join(item, "key").where(F.col("covered") >= need).join(found.select("doc_id", "place", "w"), "doc_id").select("doc_id", "place", "w", "item_id", "item", "rare")
+    asked = asked.repartition(shuffle_partitions(spark), "doc_id", "item_id")  # few rows, much work: not to be put together
+    return asked.mapInArrow(_align_pairs(share, min_stretch), RESULT).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.min("altered").alias("altered"))

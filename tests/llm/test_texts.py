@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stridelake.llm import leaks, packing, text, topics
 
@@ -155,8 +156,8 @@ def test_leaks(spark):
     it = spark.createDataFrame([(k, "en", " ".join(v), 0) for k, v in items.items()] + [(0, "en", " ".join(items[0]), 0), (70, "en", None, 0), (71, "en", "too short", 0), (None, "en", " ".join(noise(50)), 0)], "item_id long, lang string, text string, doc_id int")
     got = {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(d, it).collect()}
     assert got == {(1, 0), (2, 1), (4, 3), (6, 4), (7, 5), (10, 0), (11, 1)}
-    blocks = {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(d, it.where("item_id < 6"), block_items=2).collect()}
-    assert blocks == got
+    for other in (leaks.leaked_items(d, it.where("item_id < 6").orderBy(F.desc("item_id"))), leaks.leaked_items(d.repartition(5), it.repartition(3), filter_bits=8)):  # a bitmap that is full
+        assert {(r["doc_id"], r["item_id"]) for r in other.collect()} == got
     assert leaks.leaked_items(d.limit(0), it).count() == 0 and leaks.leaked_items(d, it.limit(0)).count() == 0
 
 
@@ -233,6 +234,20 @@ def test_beam_finds_the_best_combination():
         assert tuple(best[i]) == max(scores, key=scores.get)
 
 
+def an_item(words):
+    return leaks.Item(words, set(leaks.grams(words, leaks.SEED).tolist()))
+
+
+def test_seeds_are_rare_over_all_items(spark):
+    """A passage that six items share is no seed, however the items are ordered and dealt; in five it is one."""
+    rng = random.Random(8)
+    shared = [rng.choice(VOCAB) for _ in range(60)]
+    d = docs(spark, [(1, " ".join(shared), "s")])
+    for n, found in ((5, 5), (6, 0)):
+        it = spark.createDataFrame([(i, " ".join(shared + [rng.choice(VOCAB) for _ in range(20)])) for i in range(n)], "item_id long, text string").repartition(3)
+        assert leaks.leaked_items(d, it).count() == found
+
+
 def test_leak_in_two_stretches_close_together():
     """Two halves with words put in between, with and without altered words: found whatever the distance."""
     rng = random.Random(6)
@@ -243,9 +258,8 @@ def test_leak_in_two_stretches_close_together():
             for half in (range(3, 47), range(53, 97)):
                 held[rng.sample(half, altered // 2)] = 0
             doc = np.concatenate([np.zeros(40, np.int64), held[:50], np.zeros(between, np.int64), held[50:], np.zeros(40, np.int64)])
-            block = leaks._Items([(7, [str(k) for k in item])], 5)
-            got = leaks._leaks_of(doc, block, 0.5, 8)
-            assert [g[0] for g in got] == [7] and got[0][2] <= 0.125, (between, altered)
+            got = leaks.leak(doc, np.arange(len(doc)), an_item(item), 0.5, 8)
+            assert got and got[1] <= 0.125, (between, altered)
 
 
 def test_stretches_keep_the_rule():
@@ -262,9 +276,8 @@ def test_stretches_keep_the_rule():
 def test_leak_with_altered_words_close_together():
     """Half of an item, or a bit more, with every altered word it may have two words from the next."""
     item = np.arange(1, 101)
-    block = leaks._Items([(7, [str(k) for k in item])], 5)
     for held, at in ((52, (3, 6, 9, 12, 15, 18)), (50, (20, 23, 26, 29, 32, 35))):
         half = item[:held].copy()
         half[list(at)] = 0
         doc = np.concatenate([np.zeros(60, np.int64), half, np.zeros(60, np.int64)])
-        assert [g[0] for g in leaks._leaks_of(doc, block, 0.5, 8)] == [7], held
+        assert leaks.leak(doc, np.arange(len(doc)), an_item(item), 0.5, 8), held
