@@ -345,8 +345,11 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, share: float = 0.5,
     found = docs.mapInArrow(_scan(*maps, size[0], share, padding(size[1])), "doc_id long, seeds array<long>, covered long, place array<int>, w array<long>")
     found = materialise(found, "found")
     item = it.select("key", "item_id", F.col("w").alias("item")).join(of_item.groupBy("key").agg(F.collect_list("g").alias("rare")), "key")
-    pairs = found.select("doc_id", "covered", F.explode("seeds").alias("g")).join(of_item, "g").select("doc_id", "covered", "key").distinct()
-    need = F.ceil(F.lit(share * (1 - 3 / ALTERED)) * F.size("item")) - EDGE
-    asked = pairs.join(item, "key").where(F.col("covered") >= need).join(found.select("doc_id", "place", "w"), "doc_id").select("doc_id", "place", "w", "item_id", "item", "rare")
+    pairs = found.select("doc_id", "covered", F.explode("seeds").alias("g")).join(of_item, "g").groupBy("doc_id", "key").agg(F.first("covered").alias("covered"), F.count("*").alias("shared"))
+    n = F.size("item")
+    need = F.ceil(F.lit(share * (1 - 3 / ALTERED)) * n) - EDGE
+    # matches of one or two stretches that span so much hold at least half as many seeds less 2 * (SEED - 1), of which some may not be rare
+    seeds = F.ceil(F.lit(share / 2) * n) - 2 * (SEED - 1) - (n - (SEED - 1) - F.size("rare"))
+    asked = pairs.join(item, "key").where((F.col("covered") >= need) & (F.col("shared") >= seeds)).join(found.select("doc_id", "place", "w"), "doc_id").select("doc_id", "place", "w", "item_id", "item", "rare")
     asked = asked.repartition(shuffle_partitions(spark), "doc_id", "item_id")  # few rows, much work: not to be put together
     return asked.mapInArrow(_align_pairs(share, min_stretch), RESULT).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.min("altered").alias("altered"))

@@ -238,6 +238,26 @@ def an_item(words):
     return leaks.Item(words, set(leaks.grams(words, leaks.SEED).tolist()))
 
 
+def test_half_an_item_with_as_few_seeds_as_can_be(spark):
+    """Words altered so that the least number of seeds is left, in one and in two stretches: still found."""
+    rng = random.Random(9)
+    items = {i: [f"i{i}w{k}" for k in range(n)] for i, n in ((1, 100), (2, 60), (3, 143))}
+    bodies = {}
+    for i, w in items.items():
+        n = len(w)
+        for cuts in ([(0, n // 2 + 2)], [(0, n // 4 + 2), (n - n // 4 - 2, n)]):
+            doc = [rng.choice(VOCAB) for _ in range(30)]
+            for lo, hi in cuts:
+                part = w[lo:hi]
+                for k in range((hi - lo) // 8):
+                    part[3 + 3 * k if 3 + 3 * k < hi - lo - 3 else 3] = "zz"
+                doc += part + [rng.choice(VOCAB) for _ in range(40)]
+            bodies[10 * i + len(cuts)] = doc
+    d = docs(spark, [(k, " ".join(v), "s") for k, v in bodies.items()])
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(d, it).collect()} == {(k, k // 10) for k in bodies}
+
+
 def test_seeds_are_rare_over_all_items(spark):
     """A passage that six items share is no seed, however the items are ordered and dealt; in five it is one."""
     rng = random.Random(8)
