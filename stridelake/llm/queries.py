@@ -73,7 +73,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     t = load(spark, d, "seg_codes")
     segs = sequences.one_per_key(t.select("seg_id", "codes_windows", "exported_at"), "seg_id", ["codes_windows"], "exported_at")
-    counts = sequences.term_counts(segs.select(F.flatten(F.filter("codes_windows", lambda w: w.isNotNull())).alias("codes")), "codes")
+    codes = segs.select("seg_id", F.flatten(F.filter("codes_windows", lambda w: w.isNotNull())).alias("codes"))
+    counts = sequences.term_counts(codes, "codes", "seg_id")
     n = t.where("seg_id is not null").select(F.count_distinct("seg_id").alias("n_all"))
     marked = sequences.mark_terms(counts.join(F.broadcast(n)), F.col("n_all"), rare=2, common=0.4)  # n is one row
     return marked.select(F.col("term").alias("code"), "occurrences", F.col("records").alias("n_segments"), "mark")
@@ -85,11 +86,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs with the time between the first and the last event's window."""
-    runs = sequences.collapse_array_runs(sequences.code_sequences(load(spark, d, "seg_codes")), "seq", tol=1, min_len=3)
-    at = lambda c, i: F.get(F.col(c), i.cast("int"))
-    end = F.col("start_pos") + F.col("run_len") - 1
-    windows = at("wins", end) - at("wins", F.col("start_pos"))
-    return runs.select("seg_id", "start_pos", "run_len", at("seq", F.col("start_pos")).cast("long").alias("first_code"), F.try_divide(windows * F.col("stride"), F.col("fps")).cast("double").alias("duration_sec"))
+    segs = sequences.code_sequences(load(spark, d, "seg_codes"))
+    events = segs.select("seg_id", F.posexplode(F.arrays_zip("seq", "wins")).alias("pos", "e"), "stride", "fps")
+    events = events.select("seg_id", "fps", "pos", F.col("e.seq").alias("code"), (F.col("e.wins") * F.col("stride")).alias("frame"))
+    runs = sequences.collapse_runs(events, ["seg_id", "fps"], ["pos"], "code", "frame", tol=1).where(F.col("run_len") >= 3)
+    return runs.select("seg_id", "start_pos", "run_len", F.col("value").cast("long").alias("first_code"), F.try_divide("duration", "fps").cast("double").alias("duration_sec"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -45,86 +45,81 @@ def code_sequences(segments: DataFrame) -> DataFrame:
 # --- repeated consecutive events ------------------------------------------------------------------------------------
 
 
-def collapse_array_runs(df: DataFrame, seq: str, tol: float = 0, min_len: int = 1) -> DataFrame:
-    """Each run of events that differ by at most ``tol`` from the one before, as ``start_pos, run_len``.
-
-    Boundary-only: the places whose event differs from its predecessor are kept, and the next start gives the length;
-    nothing is exploded but the runs that are long enough. Null events end a run and form runs of their own length 1.
-    """
-    c = F.col(seq)
-    near = lambda i: F.coalesce(F.abs(F.get(c, i) - F.get(c, i - 1)) <= tol, F.lit(False))
-    n = F.size(c)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~near(i))
-    df = df.where(n > 0).withColumn("_b", starts)
-    ends = F.concat(F.slice(F.col("_b"), 2, n), F.array(n))
-    runs = F.filter(F.zip_with("_b", ends, lambda s, e: F.struct(s.cast("long").alias("start_pos"), (e - s).cast("long").alias("run_len"))), lambda r: r["run_len"] >= min_len)
-    return df.withColumn("_r", F.explode(runs)).select("*", "_r.start_pos", "_r.run_len").drop("_b", "_r")
-
-
 def collapse_runs(df: DataFrame, key: list[str], order: list[str], value: str, time: str, *, tol: float = 0, block: str | None = None) -> DataFrame:
-    """Runs of a table with one event a row: ``key, start_time, end_time, value (first), run_len, duration``.
-
-    Two window passes: ``lag`` keeps the boundary rows, ``lead`` over these gives the next start, so that position
-    differences are the counts and the time of the event before the next start ends the run. ``block`` names a column
-    (rising with the order) by which long sequences are cut; runs that meet at a cut are joined again over the
-    sequence's boundary runs only.
+    """Runs of a table with one event a row: ``key, start_pos, start_time, end_time, value, run_len, duration``.
+
+    A run is a longest stretch of events each of which differs by at most ``tol`` from the one before; ``value`` is its
+    first event. Boundary-only: ``lag`` keeps the rows that differ from their predecessor, ``lead`` over these starts
+    gives the next one, so that differences of positions are the counts and the time of the event before the next start
+    ends the run; the last run ends with its sequence's last event. ``block`` names a column (rising with the order) by
+    which long sequences are cut; runs that meet at a cut are joined again over the sequence's boundary runs only.
+    Positions count from 0 within the sequence. A null event is a run of its own.
     """
     part = [*key, *([block] if block else [])]
     w = Window.partitionBy(*part).orderBy(*order)
-    whole = Window.partitionBy(*part)
     x = df.select(*part, *[c for c in order if c not in part], F.col(value).alias("_v"), F.col(time).alias("_t"))
-    x = x.withColumns({"_n": F.row_number().over(w), "_p": F.lag("_v").over(w), "_pt": F.lag("_t").over(w), "_all": F.count("*").over(whole), "_lt": F.last("_t").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_lv": F.last("_v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    b = x.where((F.col("_n") == 1) | ~F.coalesce(F.abs(F.col("_v") - F.col("_p")) <= tol, F.lit(False)))
-    o = Window.partitionBy(*part).orderBy("_n")
-    r = b.select(
-        *part,
-        F.col("_t").alias("start_time"),
-        F.coalesce(F.lead("_pt").over(o), F.col("_lt")).alias("end_time"),
-        F.col("_v").alias("value"),
-        F.coalesce(F.lead("_p").over(o), F.when(F.lead("_n").over(o).isNull(), F.col("_lv"))).alias("_end_v"),
-        (F.coalesce(F.lead("_n").over(o), F.col("_all") + 1) - F.col("_n")).cast("long").alias("run_len"),
-        (F.col("_n") == 1).alias("_first"),
-        F.lead("_n").over(o).isNull().alias("_last"),
-        "_n",
-    )
+    x = x.withColumns({"_n": F.row_number().over(w), "_p": F.lag("_v").over(w), "_pt": F.lag("_t").over(w), "_end": F.lead(F.lit(1)).over(w).isNull()})
+    start = (F.col("_n") == 1) | ~F.coalesce(F.abs(F.col("_v") - F.col("_p")) <= tol, F.lit(False))
+    b = x.withColumn("_start", start).where(F.col("_start") | F.col("_end"))
+    # one row for each start, and one past the end
+    b = b.withColumn("_r", F.explode(F.array_compact(F.array(
+        F.when(F.col("_start"), F.struct(F.col("_n").alias("n"), F.col("_v").alias("v"), F.col("_t").alias("t"), F.col("_p").alias("pv"), F.col("_pt").alias("pt"), F.lit(False).alias("past"))),
+        F.when(F.col("_end"), F.struct((F.col("_n") + 1).alias("n"), F.lit(None).cast(df.schema[value].dataType).alias("v"), F.lit(None).cast(df.schema[time].dataType).alias("t"), F.col("_v").alias("pv"), F.col("_t").alias("pt"), F.lit(True).alias("past"))),
+    )))).select(*part, "_r.*")
+    o = Window.partitionBy(*part).orderBy("n")
+    r = b.withColumns({"_len": F.lead("n").over(o) - F.col("n"), "end_time": F.lead("pt").over(o), "_end_v": F.lead("pv").over(o), "_last": F.lead("past").over(o)}).where(~F.col("past"))
+    r = r.select(*part, (F.col("n") - 1).cast("long").alias("start_pos"), F.col("t").alias("start_time"), "end_time", F.col("v").alias("value"), F.col("_len").cast("long").alias("run_len"), "_end_v", "_last", (F.col("n") == 1).alias("_first"))
+    cols = [*key, "start_pos", "start_time", "end_time", "value", "run_len"]
     if block:
+        # how many events lie in the blocks before
+        size = r.groupBy(*part).agg(F.sum("run_len").alias("_size"))
+        size = size.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy(*key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        r = r.join(size.drop("_size"), part).withColumn("start_pos", F.col("start_pos") + F.col("_before")).drop("_before")
         inner = r.where(~F.col("_first") & ~F.col("_last"))
-        k = Window.partitionBy(*key).orderBy(block, "_n")
+        k = Window.partitionBy(*key).orderBy("start_pos")
         e = r.where(F.col("_first") | F.col("_last"))
         joins = F.col("_first") & F.coalesce(F.abs(F.col("value") - F.lag("_end_v").over(k)) <= tol, F.lit(False)) & F.coalesce(F.lag("_last").over(k), F.lit(False))
         e = e.withColumn("_j", joins).withColumn("_c", F.sum((~F.col("_j")).cast("int")).over(k.rowsBetween(Window.unboundedPreceding, 0)))
-        e = e.groupBy(*key, "_c").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.min_by("value", F.struct(block, "_n")).alias("value"), F.sum("run_len").alias("run_len"))
-        cols = [*key, "start_time", "end_time", "value", "run_len"]
+        at = lambda c, f: f(c, "start_pos").alias(c)
+        e = e.groupBy(*key, "_c").agg(F.min("start_pos").alias("_s"), at("start_time", F.min_by), at("end_time", F.max_by), at("value", F.min_by), F.sum("run_len").alias("run_len")).withColumnRenamed("_s", "start_pos")
         r = inner.select(*cols).unionByName(e.select(*cols))
-    return r.select(*key, "start_time", "end_time", "value", "run_len", (F.col("end_time") - F.col("start_time")).alias("duration"))
+    return r.select(*cols, (F.col("end_time") - F.col("start_time")).alias("duration"))
 
 
 # --- occurrences and records of every term ---------------------------------------------------------------------------
 
 
 def _counters(flush: int = 1 << 20):
-    """Arrow function (terms ARRAY<LONG>) -> term, occ, recs: counters of the terms of this task's records.
+    """Arrow function (record, terms ARRAY<LONG>) sorted by record -> term, occ, recs: counters of the task's terms.
 
-    Tokens are ordered by term and record; a token whose record is not the last one seen for its term adds a record.
-    Counters are kept as sorted arrays and handed on when they exceed ``flush`` terms.
+    Each term has its occurrences, its records and the last record seen: a token adds a record only if it comes from
+    another one. The counters are sorted arrays; when they exceed ``flush`` terms they are handed on, but for the last
+    records of the terms of the record at hand.
     """
 
-    def merge(parts):
-        term, occ, rec = (np.concatenate(x) for x in zip(*parts))
-        u, at = np.unique(term, return_inverse=True)
-        return u, np.bincount(at, occ, len(u)).astype(np.int64), np.bincount(at, rec, len(u)).astype(np.int64)
+    def join(a, b):
+        """Counters of tokens, and of tokens of the same or later records: term, occ, recs, first, last."""
+        rows = [np.concatenate(z) for z in zip(a, b)]
+        o = np.argsort(rows[0], kind="stable")
+        term, occ, recs, first, last = (z[o] for z in rows)
+        start = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+        end = np.append(start[1:], len(term)) - 1
+        again = np.zeros(len(term), np.int64)
+        again[1:] = (term[1:] == term[:-1]) & (first[1:] == last[:-1])  # the record seen last goes on
+        return term[start], np.add.reduceat(occ, start), np.add.reduceat(recs - again, start), first[start], last[end]
 
     def out(c):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in c], ["term", "occ", "recs"])
+        some = np.flatnonzero((c[1] > 0) | (c[2] > 0))
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in c[:3]], ["term", "occ", "recs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
+        held = None
         for b in batches:
-            lists = b.column(0)
+            lists = b.column(1)
             lens = np.diff(lists.offsets.to_numpy())
             lo, hi = lists.offsets[0].as_py(), lists.offsets[-1].as_py()
             values = lists.values.slice(lo, hi - lo)
-            record = np.repeat(np.arange(len(lens)), lens)
+            record = np.repeat(b.column(0).to_numpy(), lens)
             if values.null_count:
                 there = values.is_valid().to_numpy(zero_copy_only=False)
                 values, record = values.drop_null(), record[there]
@@ -132,28 +127,36 @@ def _counters(flush: int = 1 << 20):
             if not len(term):
                 continue
             order = np.lexsort((record, term))
-            term, record = term[order], record[order]
-            start = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-            last_seen = np.append(True, (record[1:] != record[:-1]) | (term[1:] != term[:-1]))
-            held.append((term[start], np.diff(np.append(start, len(term))), np.add.reduceat(last_seen.astype(np.int64), start)))
-            if len(held) >= 16:
-                held = [merge(held)]
-                if len(held[0][0]) > flush:
-                    yield out(held[0])
-                    held = []
+            t, r = term[order], record[order]
+            start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            end = np.append(start[1:], len(t)) - 1
+            other = np.append(True, (r[1:] != r[:-1]) | (t[1:] != t[:-1]))
+            new = t[start], np.diff(np.append(start, len(t))), np.add.reduceat(other.astype(np.int64), start), r[start], r[end]
+            held = join(held, new) if held else new
+            if len(held[0]) > flush:
+                yield out(held)
+                on = np.flatnonzero(held[4] == record[-1])
+                held = (held[0][on], np.zeros(len(on), np.int64), np.zeros(len(on), np.int64), held[4][on], held[4][on])
         if held:
-            yield out(merge(held))
+            yield out(held)
 
     return run
 
 
-def term_counts(records: DataFrame, terms: str) -> DataFrame:
-    """``term, occurrences, records`` for every distinct value of the array column ``terms``; one row is one record.
+def term_counts(records: DataFrame, terms: str, record: str | None = None) -> DataFrame:
+    """``term, occurrences, records`` for every distinct value of the array column ``terms``.
 
-    A record lies in one task, so counters of tasks add up; only (term, occurrences, records) triples are shuffled, at
-    most one per term and task, whatever share of all tokens a term has. Null terms do not count.
+    Tokens are hash-partitioned by ``record`` (a column without nulls; without it each row is a record) and read in its
+    order, so a record may be cut over any number of rows. A record lies in one task, so counters of tasks add up; only
+    (term, occurrences, records) triples are shuffled further, whatever share of all tokens a term has. Null terms do
+    not count.
     """
-    part = records.select(F.coalesce(F.col(terms).cast("array<long>"), F.array().cast("array<long>")).alias("t")).mapInArrow(_counters(), "term long, occ long, recs long")
+    t = F.coalesce(F.col(terms).cast("array<long>"), F.array().cast("array<long>")).alias("t")
+    if record is None:
+        rows = records.select(F.monotonically_increasing_id().alias("r"), t)
+    else:
+        rows = records.where(F.col(record).isNotNull()).select(F.col(record).cast("long").alias("r"), t).repartition("r").sortWithinPartitions("r")
+    part = rows.mapInArrow(_counters(), "term long, occ long, recs long")
     return part.groupBy("term").agg(F.sum("occ").alias("occurrences"), F.sum("recs").alias("records"))
 
 

@@ -44,7 +44,9 @@ def test_runs_equal_loop(spark):
     data = {i: [rng.choice([1, 2, 3, 9, None]) for _ in range(rng.randrange(0, 40))] for i in range(60)} | {99: [5] * 5000}
     df = spark.createDataFrame([(i, s) for i, s in data.items()], "seg_id long, seq array<int>")
     got = {}
-    for r in Q.collapse_array_runs(df, "seq", tol=1, min_len=3).collect():
+    df = df.select("seg_id", F.posexplode("seq").alias("pos", "code"), (F.col("pos") * 2).alias("t"))
+    for r in Q.collapse_runs(df, ["seg_id"], ["pos"], "code", "t", tol=1).where("run_len >= 3").collect():
+        assert r["duration"] == 2 * (r["run_len"] - 1) == r["end_time"] - r["start_time"] and r["value"] == data[r["seg_id"]][r["start_pos"]]
         got.setdefault(r["seg_id"], set()).add((r["start_pos"], r["run_len"]))
     assert got == {i: set(v) for i, s in data.items() if (v := runs(s, 1, 3))}
 
@@ -80,7 +82,7 @@ def test_term_counts(spark):
 def test_term_counts_flush(spark, monkeypatch):
     import pyarrow as pa
 
-    b = [pa.RecordBatch.from_arrays([pa.array([[i, i + 1]], pa.list_(pa.int64()))], ["t"]) for i in range(100)]
+    b = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([[i, i + 1]], pa.list_(pa.int64()))], ["r", "t"]) for i in range(100)]
     out = Counter()
     for r in Q._counters(flush=10)(iter(b)):
         for t, o in zip(r.column(0).to_pylist(), r.column(1).to_pylist()):
@@ -88,6 +90,29 @@ def test_term_counts_flush(spark, monkeypatch):
     assert out[0] == 1 and out[50] == 2 and sum(out.values()) == 200
 
 
+@pytest.mark.parametrize("flush", [3, 1 << 20])
+def test_records_cut_over_rows(spark, flush):
+    """A record in several rows, over batches and hand-overs, is one record: the last one seen decides."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    data = [(r, [rng.randrange(12) for _ in range(rng.randrange(0, 9))]) for r in sorted(rng.randrange(40) for _ in range(300))]
+    occ, of = Counter(), {}
+    for r, ts in data:
+        occ.update(ts)
+        for t in ts:
+            of.setdefault(t, set()).add(r)
+    want = {t: (occ[t], len(of[t])) for t in occ}
+    got: dict = {}
+    batches = [pa.RecordBatch.from_arrays([pa.array([r for r, _ in data[lo : lo + 7]]), pa.array([t for _, t in data[lo : lo + 7]], pa.list_(pa.int64()))], ["r", "t"]) for lo in range(0, len(data), 7)]
+    for b in Q._counters(flush=flush)(iter(batches)):
+        for t, o, r in zip(*(c.to_pylist() for c in b.columns)):
+            got[t] = tuple(x + y for x, y in zip(got.get(t, (0, 0)), (o, r)))
+    assert got == want
+    df = spark.createDataFrame([*data, (None, [1])], "rec long, t array<int>").repartition(6)
+    assert {r["term"]: (r["occurrences"], r["records"]) for r in Q.term_counts(df, "t", "rec").collect()} == want
+
+
 def test_marks(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, 40), (4, 41)], "term long, records long")
     assert {r["term"]: r["mark"] for r in Q.mark_terms(df, F.lit(100), 2, 0.4).collect()} == {1: "rare", 2: None, 3: None, 4: "common"}
