@@ -8,8 +8,8 @@ for its source. One logistic model per subject, linked in a chain, sees these fe
 it, which models co-occurrence; each link is calibrated on held-out labels (Platt), and the most probable combination is
 found by beam search. Features for fitting come from weights learned on the other half of the labels.
 
-Fitting uses at most ``max_labelled`` labelled documents (whole texts, chosen by a hash of the id) and runs on the
-driver; the model it sends out is bounded by ``max_terms``. Every document is then classified where it lies.
+Fitting uses at most ``max_labelled`` labelled documents of at most ``max_chars`` characters together (whole texts, in
+the order of a hash of the id) and runs on the driver; the model it sends out is bounded by ``max_terms``. Every document is then classified where it lies.
 
 Defined results: null and empty texts get no subject; a label repeated or naming an unknown document changes nothing;
 ``none`` means that no subject holds; without any label there are no rows; further columns are ignored; whole texts are
@@ -19,15 +19,17 @@ read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.llm.text import _CJK, _IN_NUMBER, normalise
+from stridelake.sources.tables import materialise
 
 _UNIT = re.compile(rf"[{_CJK}]|[^\W\d_{_CJK}]+|[.!?](?=\s|$)|[。！？\n]")
 _END = dict.fromkeys(".!?。！？\n", -1)
@@ -200,16 +202,18 @@ class Model:
     vocab: dict[str, int]
     evidence: Evidence
     sources: list[str]
+    rest: bool = False  # the other sources share a feature
     order: list[int] = field(default_factory=list)
     links: list[np.ndarray] = field(default_factory=list)
     platt: list[np.ndarray] = field(default_factory=list)
 
     def source_matrix(self, sources: list[str | None]) -> np.ndarray:
         at = {s: i for i, s in enumerate(self.sources)}
-        m = np.zeros((len(sources), len(self.sources)))
+        n = len(self.sources)
+        m = np.zeros((len(sources), n + self.rest))
         for i, s in enumerate(sources):
-            if s in at:
-                m[i, at[s]] = 1
+            if s is not None and (j := at.get(s, n)) < n + self.rest:
+                m[i, j] = 1
         return m
 
     def decode(self, x: np.ndarray, beam: int = 8) -> np.ndarray:
@@ -235,12 +239,14 @@ class Model:
         return paths[np.arange(n), score.argmax(1)] if n else np.zeros((0, k))
 
 
-def fit(texts: list[str], sources: list[str | None], y: np.ndarray, subjects: list[str], *, max_terms: int = 50_000, ridge: float = 1.0, seed: int = 5) -> Model:
-    """``y``: labelled documents x subjects."""
+def fit(texts: list[str], sources: list[str | None], y: np.ndarray, subjects: list[str], *, max_terms: int = 50_000, min_source: int = 20, ridge: float = 1.0, seed: int = 5) -> Model:
+    """``y``: labelled documents x subjects. Sources with fewer than ``min_source`` of the documents share one feature."""
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
     half = rng.integers(0, 2, len(texts))
-    m = Model(subjects, vocab, Evidence(np.zeros(0, np.int64), np.zeros((0, len(subjects) + 1))), sorted({s for s in sources if s is not None})[:64])
+    named = Counter(s for s in sources if s is not None)
+    own, few = sorted(s for s, n in named.items() if n >= min_source), [s for s, n in named.items() if n < min_source]
+    m = Model(subjects, vocab, Evidence(np.zeros(0, np.int64), np.zeros((0, len(subjects) + 1))), own, bool(few))
     src = m.source_matrix(sources)
     x = None
     parts = [np.flatnonzero(half == f) for f in (0, 1)]
@@ -300,12 +306,16 @@ def _classify(m: Model):
     return run
 
 
-def labelled(documents: DataFrame, labels: DataFrame, subjects: list[str], max_labelled: int, seed: int = 3):
-    """Texts, sources and label matrix of at most ``max_labelled`` labelled documents, in the order of a hash."""
+def labelled(documents: DataFrame, labels: DataFrame, subjects: list[str], max_labelled: int, max_chars: int, seed: int = 3):
+    """Texts, sources and label matrix of labelled documents in the order of a hash: ``max_labelled`` documents or ``max_chars`` characters."""
     ids = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_labelled)
-    rows = documents.where("text is not null").select("doc_id", "text", "source").join(ids, "doc_id").toArrow()
-    rows = rows.sort_by("doc_id")
+    ids = ids.select("doc_id", "subjects", F.xxhash64("doc_id", F.lit(seed)).alias("h")).orderBy("h", "doc_id").limit(max_labelled)
+    rows = documents.where("text is not null").select("doc_id", "text", "source").join(ids, "doc_id")
+    rows = materialise(rows.select("*", F.length("text").alias("n")), "labelled")  # the texts stay in the shared folder until their sizes are known
+    upto = F.sum("n").over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # of ``max_labelled`` rows
+    last = rows.select("h", "doc_id", upto.alias("upto")).where((F.col("upto") <= max_chars)).agg(F.max(F.struct("h", "doc_id")).alias("m")).first()["m"]
+    rows = rows.where((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("doc_id") <= last["doc_id"]))) if last else rows.limit(0)
+    rows = rows.select("doc_id", "text", "source", "subjects").toArrow().sort_by("doc_id")
     at = {s: i for i, s in enumerate(subjects)}
     y = np.zeros((rows.num_rows, len(subjects)))
     for i, have in enumerate(rows.column("subjects").to_pylist()):
@@ -315,13 +325,13 @@ def labelled(documents: DataFrame, labels: DataFrame, subjects: list[str], max_l
     return rows.column("text").to_pylist(), rows.column("source").to_pylist(), y
 
 
-def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, max_labelled: int = 5000, max_subjects: int = 500) -> DataFrame:
+def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, *, max_labelled: int = 5000, max_chars: int = 64_000_000, max_subjects: int = 500) -> DataFrame:
     """``doc_id, subject``: one row for each subject of each document."""
     names = [r[0] for r in subjects.where("subject is not null").select("subject").distinct().orderBy("subject").limit(max_subjects + 1).collect()]
     if len(names) > max_subjects:
         raise ValueError(f"more than {max_subjects} subjects")
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    texts, sources, y = labelled(documents, labels, names, max_labelled)
+    texts, sources, y = labelled(documents, labels, names, max_labelled, max_chars)
     if not texts or not names:
         return documents.sparkSession.createDataFrame([], "doc_id long, subject string")
     m = fit(texts, sources, y, names)

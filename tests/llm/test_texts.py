@@ -216,6 +216,24 @@ def test_subjects_on_held_out_documents(spark):
     assert topics.document_subjects(d.limit(0), labels, subjects).count() == 0
 
 
+def test_every_source_has_a_feature():
+    """Eighty frequent sources keep a feature each, rare and new ones share one; the labelled sample is bounded by characters."""
+    rng = random.Random(14)
+    names = [f"s{i:02d}" for i in range(80)] * 25 + [f"rare{i}" for i in range(30)] + [None]
+    rows = corpus(rng, len(names))
+    y = np.array([[float(s in k) for s in WORDS] for *_, k in rows])
+    m = topics.fit([r[1] for r in rows], names, y, list(WORDS))
+    x = m.source_matrix([*names, "new"])
+    assert x.shape[1] == 81 and x[:2000, :80].sum() == 2000 and x[2000:2030, 80].all() and not x[2030].any() and x[2031, 80] == 1
+    assert (topics.predict(m, [r[1] for r in rows[:200]], names[:200]) == y[:200]).all(1).mean() > 0.9
+
+
+def test_labelled_texts_are_bounded(spark):
+    d = docs(spark, [(i, "x" * 100, "s") for i in range(50)])
+    labels = spark.createDataFrame([(i, "law") for i in range(50)], "doc_id long, subject string")
+    assert [len(topics.labelled(d, labels, ["law"], n, c)[0]) for n, c in ((50, 10_000), (20, 10_000), (50, 1_050), (50, 10))] == [50, 20, 10, 0]
+
+
 def test_beam_finds_the_best_combination():
     rng = np.random.default_rng(5)
     k, f = 4, 3
