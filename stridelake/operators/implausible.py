@@ -127,8 +127,12 @@ def _series_cases(key, win, line, e, p: dict) -> np.ndarray:
     return out
 
 
-def _series_stream(p: dict, keep: int = 4096):
-    """Arrow function over rows sorted by (key, block, win, line): memory is bounded by a batch and ``keep`` lines."""
+def _series_stream(p: dict, keep: int = 64, batch: int = 1 << 14):
+    """Arrow function over rows sorted by (key, block, win, line).
+
+    Lines are decided once ``keep`` further windows (more than any rule looks at) follow; as many decided windows are
+    held back as context. Memory is bounded by a batch and the lines of these windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = None  # lines held back: context and those not decided yet
@@ -143,11 +147,15 @@ def _series_stream(p: dict, keep: int = 4096):
             new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             cols = new if cols is None else [np.concatenate(x) for x in zip(cols, new)]
             n = len(cols[0])
-            if n < 4 * keep:
+            if n - fresh < batch:
+                continue
+            start = np.flatnonzero(np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))
+            if len(start) <= keep or start[-keep] <= fresh:
                 continue
-            yield emit(cols, fresh, n - keep)
-            cut = max(0, n - 2 * keep)
-            cols, fresh = [x[cut:] for x in cols], n - keep - cut
+            upto = int(start[-keep])
+            yield emit(cols, fresh, upto)
+            cut = int(start[max(0, len(start) - 2 * keep)])
+            cols, fresh = [x[cut:] for x in cols], upto - cut
         if cols is not None:
             yield emit(cols, fresh, len(cols[0]))
 
@@ -249,11 +257,12 @@ def _sizes(files: DataFrame) -> DataFrame:
     return f.select("file", "view_name", F.coalesce("h", "mh", "u.h").alias("height"), F.coalesce("w", "mw", "u.w").alias("width"))
 
 
-def implausible_points(tracks: DataFrame, files: DataFrame, *, share: float = 0.2, stuck_t: int = 5, frames: int = 3, block: int = 128) -> DataFrame:
+def implausible_points(tracks: DataFrame, files: DataFrame, *, share: float = 0.2, k_mad: float = 2.0, stuck_t: int = 5, frames: int = 3, block: int = 128) -> DataFrame:
     """``rec_id`` (the point) and ``reason`` (vis, jump, stuck) of every track point that cannot be true.
 
-    A point jumps when it lies more than ``share`` of the frame's height or width from the rolling median of the same
-    point's places within ``frames`` frames; it is stuck when one place is held unchanged over at least ``stuck_t``
+    Hampel filter: a point jumps when it lies more than ``share`` of the frame's height or width, and more than ``k_mad``
+    scaled median absolute deviations, from the rolling median of the same point's places within ``frames`` frames; it is
+    stuck when one place is held unchanged over at least ``stuck_t``
     starts in a row. A point's rows are cut into blocks of ``block`` starts with a halo. Null coordinates and null vis
     are no cases; a frame of unknown size takes that of the file's other view, of frames with the same known side, or
     the most usual one; repeated points are all judged.
@@ -269,13 +278,18 @@ def implausible_points(tracks: DataFrame, files: DataFrame, *, share: float = 0.
     pts = pts.select("p", "k", "t", "fr", "pt_row", "pt_col", "rec_id", "core").repartition("p")
     near = Window.partitionBy("p").orderBy("fr").rangeBetween(-frames, frames)
 
-    def away(c: str) -> Column:
-        a = F.sort_array(F.collect_list(c).over(near))
-        return F.abs(F.col(c) - F.get(a, F.floor(F.size(a) / 2).cast("int")))
-
-    moved = pts.withColumns({"dr": away("pt_row"), "dc": away("pt_col")}).where("core").where(F.greatest("dr", "dc") > 1.0)
+    middle = lambda a: F.get(F.sort_array(a), F.floor(F.size(a) / 2).cast("int"))
+    moved = pts.withColumns({"ar": F.collect_list("pt_row").over(near), "ac": F.collect_list("pt_col").over(near)}).where("core")
+    moved = moved.withColumns({"mr": middle(F.col("ar")), "mc": middle(F.col("ac"))}).withColumns({"dr": F.abs(F.col("pt_row") - F.col("mr")), "dc": F.abs(F.col("pt_col") - F.col("mc"))})
+    moved = moved.where(F.greatest("dr", "dc") > 1.0)
     sizes = _sizes(files).select(F.xxhash64("file", "view_name").alias("k"), "height", "width")
-    jump = moved.join(sizes, "k").where((F.col("dr") > share * F.col("height")) | (F.col("dc") > share * F.col("width"))).select("rec_id", F.lit("jump").alias("reason"))
+
+    def outlier(d: str, size: str, a: str, m: str) -> Column:
+        """Beyond the share of the frame, and beyond ``k_mad`` scaled deviations of the place's own movement."""
+        mad = middle(F.transform(F.col(a), lambda x: F.abs(x - F.col(m))))
+        return (F.col(d) > share * F.col(size)) & (F.col(d) > k_mad * 1.4826 * mad)
+
+    jump = moved.join(sizes, "k").where(outlier("dr", "height", "ar", "mr") | outlier("dc", "width", "ac", "mc")).select("rec_id", F.lit("jump").alias("reason"))
     # stuck: starts at which a place was held, numbered among the starts of the point
     by_t = Window.partitionBy("p").orderBy("t")
     held = pts.withColumn("tn", F.dense_rank().over(by_t))

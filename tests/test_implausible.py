@@ -139,6 +139,33 @@ def test_points(spark):
     assert small == {(i, k) for k, v in got.items() for i in v}
 
 
+def test_deviation_decides(spark):
+    """A point that always moves far is no case; the same distance from a point that stands still is."""
+    files = spark.createDataFrame([("f", "v", 100, 100)], "file string, view_name string, height int, width int")
+    calm = [(t, "f", "v", t, 0, 0, 50 + 0.1 * t, 50.0 + 0.1 * t, 1.0, None) for t in range(40)]
+    calm[20] = (20, "f", "v", 20, 0, 0, 80.0, 52.0, 1.0, None)
+    wild = [(100 + t, "f", "v", t, 0, 1, 50 + 30.0 * (t % 3) - 0.1 * t, 50.0 + 0.1 * t, 1.0, None) for t in range(40)]
+    got = {r["rec_id"] for r in I.implausible_points(points(spark, calm + wild), files).where("reason = 'jump'").collect()}
+    assert got == {20}
+    assert len({r["rec_id"] for r in I.implausible_points(points(spark, calm + wild), files, k_mad=0.0).where("reason = 'jump'").collect()}) > 10
+
+
+def test_window_written_very_often():
+    """Context is counted in windows: thousands of lines of one window beside a spike and within a stuck stretch hide nothing."""
+    import numpy as np
+    import pyarrow as pa
+
+    wins = np.concatenate([np.repeat(np.arange(300), np.where(np.isin(np.arange(300), (99, 203)), 6000, 1))])
+    e = 1 + (wins * 7 % 11) * 0.02
+    e[wins == 100] = 9.0
+    e[(wins >= 200) & (wins < 210)] = 1.5
+    p = {"ratio": 4.0, "k_mad": 2.0, "stuck_len": 8, "stuck_tol": 0.001, "gap": 32}
+    cols = [np.zeros(len(wins), np.int64), wins, np.arange(len(wins)), e, np.ones(len(wins), bool)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 500]) for c in cols], list("kwlec")) for lo in range(0, len(wins), 500)]
+    got = set(np.concatenate([b.column(0).to_numpy() for b in I._series_stream(p, batch=1000)(iter(batches))]))
+    assert got == set(np.flatnonzero((wins == 100) | ((wins >= 200) & (wins < 210))))
+
+
 def test_points_empty(spark):
     files = spark.createDataFrame([], "file string, view_name string, height int, width int")
     assert I.implausible_points(points(spark, []), files).count() == 0
