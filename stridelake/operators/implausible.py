@@ -286,7 +286,8 @@ def implausible_points(tracks: DataFrame, files: DataFrame, *, share: float = 0.
 
     def outlier(d: str, size: str, a: str, m: str) -> Column:
         """Beyond the share of the frame, and beyond ``k_mad`` scaled deviations of the place's own movement."""
-        mad = middle(F.transform(F.col(a), lambda x: F.abs(x - F.col(m))))
+        # the median is bound once, not worked out anew for every place
+        mad = F.get(F.transform(F.array(m), lambda mid: middle(F.transform(F.col(a), lambda x: F.abs(x - mid)))), F.lit(0))
         return (F.col(d) > share * F.col(size)) & (F.col(d) > k_mad * 1.4826 * mad)
 
     jump = moved.join(sizes, "k").where(outlier("dr", "height", "ar", "mr") | outlier("dc", "width", "ac", "mc")).select("rec_id", F.lit("jump").alias("reason"))
