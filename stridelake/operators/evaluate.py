@@ -6,8 +6,10 @@ of a segment document and never larger than that.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,16 +30,22 @@ def boundaries(segments: Column, duration: Column) -> Column:
 
 
 def match_boundaries(gt: list[float], pred: list[float], tol: float) -> int:
-    """Hits: every true boundary in order takes the nearest unused prediction (the first of equals), if within ``tol``."""
-    used = [False] * len(pred)
+    """Hits: every true boundary in order takes the nearest unused prediction (the first of equals), if within ``tol``.
+
+    The predictions still free are kept sorted, with their place to tell equals apart, so each boundary looks at its two
+    neighbours only.
+    """
+    free = sorted(zip(pred, range(len(pred))))
     hits = 0
     for g in gt:
-        best, off = -1, float("inf")
-        for j, p in enumerate(pred):
-            if not used[j] and abs(p - g) < off:
-                best, off = j, abs(p - g)
-        if best >= 0 and off <= tol:
-            used[best] = True
+        at = bisect_left(free, (g, -1))
+        # of equal values below the boundary the first one counts
+        near = [(free[at][0] - g, free[at][1], at)] if at < len(free) else []
+        if at:
+            low = bisect_left(free, (free[at - 1][0], -1))
+            near.append((g - free[low][0], free[low][1], low))
+        if near and (best := min(near))[0] <= tol:
+            del free[best[2]]
             hits += 1
     return hits
 
@@ -97,24 +105,21 @@ def segment_confidence(segments: DataFrame, series: DataFrame, stride: float, fp
 def _greedy_iou(thresholds: list[float]):
     """Arrow function (unit, gt, pred): per prediction in order of confidence whether it hits, for each threshold."""
 
-    def iou(a, b):
-        inter = max(0.0, min(a["end_sec"], b["end_sec"]) - max(a["start_sec"], b["start_sec"]))
-        return inter / max(1e-8, (a["end_sec"] - a["start_sec"]) + (b["end_sec"] - b["start_sec"]) - inter)
-
     def run(batches):
         for b in batches:
             out: list[tuple] = []
             for u, gt, pred in zip(*(c.to_pylist() for c in b.columns)):
-                for t in thresholds:
-                    used = [False] * len(gt or [])
-                    for p in pred or []:
-                        best, at = 0.0, -1
-                        for j, g in enumerate(gt or []):
-                            if not used[j] and (v := iou(p, g)) > best:
-                                best, at = v, j
-                        hit = at >= 0 and best >= t
+                start, end = (np.array([g[k] for g in gt or []], float) for k in ("start_sec", "end_sec"))
+                free = np.ones((len(thresholds), len(start)), bool)
+                for p in pred or []:
+                    inter = np.maximum(0.0, np.minimum(p["end_sec"], end) - np.maximum(p["start_sec"], start))
+                    iou = inter / np.maximum(1e-8, (p["end_sec"] - p["start_sec"]) + (end - start) - inter)
+                    for t, left in zip(thresholds, free):
+                        open_ = np.where(left, iou, 0.0)
+                        at = int(open_.argmax()) if len(open_) else 0
+                        hit = len(open_) > 0 and open_[at] > 0 and bool(open_[at] >= t)
                         if hit:
-                            used[at] = True
+                            left[at] = False
                         out.append((u, t, p["seg_no"], p["conf"], int(hit)))
             u, t, s, c, h = zip(*out) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(t, pa.float64()), pa.array(s, pa.int64()), pa.array(c, pa.float64()), pa.array(h, pa.int64())], ["unit", "iou", "seg_no", "conf", "tp"])
@@ -239,10 +244,11 @@ def ks_distance(df: DataFrame, key: str, x: str, label: str) -> DataFrame:
     return v.withColumn("d", d).groupBy(key).agg(F.max("d").alias("ks"))
 
 
-def quantile_gaps(df: DataFrame, key: str, x: str, label: str, qs: tuple = (0.25, 0.5, 0.75)) -> DataFrame:
+def quantile_gaps(df: DataFrame, key: str, x: str, label: str) -> DataFrame:
+    """``qgap_med``: positive less negative median; ``qgap_90_10``: 90 % quantile of the positives less 10 % quantile of the negatives."""
     a, b = F.when(F.col(label), F.col(x)), F.when(~F.col(label), F.col(x))
-    s = df.groupBy(key).agg(F.percentile(a, list(qs)).alias("a"), F.percentile(b, list(qs)).alias("b"))
-    return s.select(key, *[(F.col("a")[i] - F.col("b")[i]).alias(f"gap{int(q * 100)}") for i, q in enumerate(qs)])
+    s = df.groupBy(key).agg(F.percentile(a, [0.5, 0.9]).alias("a"), F.percentile(b, [0.5, 0.1]).alias("b"))
+    return s.select(key, (F.col("a")[0] - F.col("b")[0]).alias("qgap_med"), (F.col("a")[1] - F.col("b")[1]).alias("qgap_90_10"))
 
 
 def roc_points(df: DataFrame, key: str, x: str, label: str) -> DataFrame:

@@ -82,19 +82,18 @@ class Step:
         return self.start, self.last, self.length
 
 
-def _fold(rule: Rule | None):
-    """Arrow function over rows sorted by key: segments. Without a rule, column 3 holds each row's own ``on``."""
+def _fold(rule: Rule):
+    """Arrow function over rows sorted by key: segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, step = None, None
         for b in batches:
             out: list[tuple] = []
-            ons = b.column(3).to_pylist() if rule is None else None
-            for j, (k, i, x) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
+            for k, i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if k != key:
                     if step is not None and (s := step.flush()):
                         out.append((key, *s))
-                    key, step = k, Step(rule if ons is None else Rule(ons[j]))
+                    key, step = k, Step(rule)
                 if s := step.feed(i, x):
                     out.append((k, *s))
             yield _rows(out)
@@ -121,10 +120,28 @@ def segment(series: DataFrame, rule: Rule, value: str = "energy", min_len: int =
     return out.where(length >= max(min_len, 0))
 
 
-def segment_each(series: DataFrame, key: str, on: str, value: str = "energy") -> DataFrame:
-    """Segments of many (series, threshold) pairs at once: ``key`` names the pair, ``on`` its threshold."""
-    s = series.select(F.col(key).alias("path"), F.col("i").cast("long").alias("i"), F.col(value).cast("double").alias("x"), F.col(on).cast("double").alias("on"))
-    return s.repartition("path").sortWithinPartitions("path", "i").mapInArrow(_fold(None), "path string, i0 long, i1 long, windows long").withColumnRenamed("path", key)
+def segment_many(series: DataFrame, ons: list[float], value: str = "energy") -> DataFrame:
+    """``path, on, i0, i1, windows``: the segments of every series at each of some thresholds, in one pass over the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, steps = None, []
+
+        def rows(out):
+            cols = list(zip(*out)) if out else ((),) * 5
+            return pa.RecordBatch.from_arrays([pa.array(z, t) for z, t in zip(cols, (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], ["path", "on", "i0", "i1", "windows"])
+
+        for b in batches:
+            out: list[tuple] = []
+            for k, i, x in zip(*(c.to_pylist() for c in b.columns)):
+                if k != key:
+                    out += [(key, on, *s) for on, step in zip(ons, steps) if (s := step.flush())]
+                    key, steps = k, [Step(Rule(on)) for on in ons]
+                out += [(k, on, *s) for on, step in zip(ons, steps) if (s := step.feed(i, x))]
+            yield rows(out)
+        yield rows([(key, on, *s) for on, step in zip(ons, steps) if (s := step.flush())])
+
+    s = series.select("path", F.col("i").cast("long").alias("i"), F.col(value).cast("double").alias("x"))
+    return s.repartition("path").sortWithinPartitions("path", "i").mapInArrow(run, "path string, on double, i0 long, i1 long, windows long")
 
 
 def ema_segments(series: DataFrame, alpha: float, rule: Rule) -> DataFrame:

@@ -22,12 +22,15 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def clean_lines(energy: DataFrame, max_window: int = 49_000_000, max_energy: float = float("inf")) -> DataFrame:
+def clean_lines(energy: DataFrame, windows: tuple[int, int] | None = None, energies: tuple[float, float] | None = None) -> DataFrame:
     """Lines with a usable energy and window: path, win, energy, line_id.
 
-    ``max_energy`` leaves out readings that are physically impossible.
+    ``windows`` and ``energies`` are bounds (closed) outside of which lines are left out; by default there are none.
     """
-    e = energy.where(F.col("path").isNotNull() & finite(F.col("energy")) & (F.col("energy") >= 0) & (F.col("energy") <= max_energy) & F.col("win_idx").between(0, max_window))
+    e = energy.where(F.col("path").isNotNull() & finite(F.col("energy")) & F.col("win_idx").isNotNull())
+    for name, bounds in (("win_idx", windows), ("energy", energies)):
+        if bounds is not None:
+            e = e.where(F.col(name).between(*bounds))
     return e.select("path", F.col("win_idx").cast("long").alias("win"), "energy", "line_id")
 
 

@@ -59,10 +59,14 @@ def pool_max(tokens: Column) -> Column:
     return _by_dim(tokens, F.array_max)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value worked out once, however often f uses it, also within lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def pool_mean_std(tokens: Column) -> Column:
     def sd(x: Column) -> Column:
-        m = _mean(x)
-        return F.sqrt(_mean(F.transform(x, lambda v: (v - m) * (v - m))))
+        return _let(_mean(x), lambda m: F.sqrt(_mean(F.transform(x, lambda v: (v - m) * (v - m)))))
 
     return F.concat(pool_mean(tokens), _by_dim(tokens, sd))
 
@@ -71,18 +75,33 @@ def pool_first_last(tokens: Column) -> Column:
     return F.concat(F.element_at(tokens, 1), F.element_at(tokens, -1))
 
 
+def _weighted(tokens: Column, weights: Column) -> Column:
+    """Sum of the tokens times their weights, token by token."""
+    zero = F.transform(tokens[0], lambda _: F.lit(0.0))
+    return F.aggregate(F.zip_with(tokens, weights, lambda x, w: F.transform(x, lambda v: v * w)), zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+
+
 def pool_attn_norm(tokens: Column) -> Column:
     """Mean weighted by the vectors' lengths; the plain mean if all are about 0."""
-    n = F.transform(tokens, norm)
-    total = F.aggregate(n, F.lit(0.0), lambda a, b: a + b)
-    weighted = _by_dim(tokens, lambda x: F.aggregate(F.zip_with(x, n, lambda v, w: v * w / (total + 1e-8)), F.lit(0.0), lambda a, b: a + b))
-    return F.when(total < 1e-12, pool_mean(tokens)).otherwise(weighted)
+
+    def pool(n: Column) -> Column:
+        return _let(_sum(n), lambda total: F.when(total < 1e-12, pool_mean(tokens)).otherwise(_weighted(tokens, F.transform(n, lambda w: w / (total + 1e-8)))))
+
+    return _let(F.transform(tokens, norm), pool)
 
 
 def pool_unit_norm(tokens: Column) -> Column:
-    """Unit vectors weighted by their share of the length, brought to unit length."""
-    p = pool_attn_norm(F.transform(tokens, lambda v: F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(1e-12)))))
-    return F.transform(p, lambda x: x / F.greatest(norm(p), F.lit(1e-12)))
+    """Unit vectors weighted by their vectors' share of the length, brought to unit length."""
+
+    def pool(n: Column) -> Column:
+        w = _let(_sum(n), lambda total: F.transform(n, lambda x: F.lit(1.0) / total))  # length / total times 1 / length
+        return _let(_weighted(tokens, w), lambda p: _let(norm(p), lambda z: F.transform(p, lambda x: x / (z + 1e-9))))
+
+    return _let(F.transform(tokens, lambda t: norm(t) + 1e-9), pool)
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
 
 
 POOLS = {"mean": pool_mean, "max": pool_max, "mean_std": pool_mean_std, "first_last": pool_first_last, "attn_norm": pool_attn_norm}
@@ -267,7 +286,11 @@ def calinski_harabasz(vectors: DataFrame) -> DataFrame:
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
-    return vectors.withColumn("x", F.transform("x", lambda v: v / F.greatest(norm(F.col("x")), F.lit(1e-12))))
+    return vectors.withColumn("x", _unit(F.col("x")))
+
+
+def _unit(x: Column) -> Column:
+    return _let(F.greatest(norm(x), F.lit(1e-12)), lambda n: F.transform(x, lambda v: v / n))
 
 
 def mean_cosine(vectors: DataFrame) -> DataFrame:
@@ -281,7 +304,7 @@ def intra_inter_cosine(vectors: DataFrame, singleton: float | None = 0.0) -> Dat
     """Mean within-cluster and centroid cosine distances and their ratio; clusters of one count as ``singleton`` or not at all."""
     m = mean_cosine(vectors)
     intra = m.agg(F.coalesce(F.avg(F.when(F.col("n") > 1, 1 - F.col("mean_cosine"))), F.lit(singleton)).alias("intra"))
-    c = group_sums(unit_vectors(vectors), F.col("label")).select("label", F.transform("s", lambda v: v / F.greatest(norm(F.col("s")), F.lit(1e-12))).alias("x"))
+    c = group_sums(unit_vectors(vectors), F.col("label")).select("label", _unit(F.col("s")).alias("x"))
     t = group_sums(c, F.lit(0)).select("n", F.aggregate("s", F.lit(0.0), lambda a, b: a + b * b).alias("s2"))
     inter = t.select(F.try_divide(F.col("n") * (F.col("n") - 1) - (F.col("s2") - F.col("n")), F.col("n") * (F.col("n") - 1)).alias("inter"))
     return intra.crossJoin(inter).withColumn("ratio", F.col("intra") / (F.col("inter") + 1e-8))  # one row each

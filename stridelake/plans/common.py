@@ -1,6 +1,7 @@
 """Inputs shared by the queries, and the same inputs as SQL.
 
-``series`` is the last line of every window of every energy file; ``ref`` pairs a file with the stem's velocity file.
+``every`` is the last line of every window of every energy file, ``series`` the same without readings above
+``MAX_ENERGY`` and impossible windows; ``ref`` pairs a file with the stem's velocity file.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from stridelake.operators import series as S
 from stridelake.sources.tables import load
 
 STRIDE, FPS, T = 4.0, 10.0, 15
-MAX_ENERGY = 10_000.0  # nothing that moves reaches it; see the operator for implausible readings for finer rules
+MAX_ENERGY = 10_000.0  # left out of the series of statistics: sums over spikes of 1e12 have no digits in common with the readings
 DT = STRIDE / FPS
 
 LINES_SQL = r"""
@@ -24,6 +25,10 @@ lastw AS (SELECT path, win, max_by(energy, line_id) AS energy, min(stem) AS stem
 s AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY win) - 1 AS i FROM lastw)
 """
 SERIES_SQL = "WITH " + LINES_SQL
+# The same without any bound: what scans, runs and segments read.
+ALL_LINES_SQL = LINES_SQL.replace(" AND energy BETWEEN 0 AND 10000\n            AND win_idx BETWEEN 0 AND 49000000)", " AND win_idx IS NOT NULL)")
+ALL_SQL = "WITH " + ALL_LINES_SQL
+assert ALL_LINES_SQL != LINES_SQL
 
 DOCS_SQL = r"""
 docs AS (SELECT doc_path, regexp_replace(doc_path, '(_|/)(pred_)?segments(_noisy)?\.json$', '') AS unit, regexp_replace(video, '\.mp4$', '') AS stem, doc_kind,
@@ -35,8 +40,17 @@ pred AS (SELECT * FROM docs WHERE doc_kind = 'pred' QUALIFY row_number() OVER (P
 """
 
 
+def every_line(spark: SparkSession, d: str) -> DataFrame:
+    return S.clean_lines(load(spark, d, "energy"))
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    return S.clean_lines(load(spark, d, "energy"), max_energy=MAX_ENERGY)
+    """The lines statistics are taken of: without readings and counters that cannot be right."""
+    return S.clean_lines(load(spark, d, "energy"), windows=(0, 49_000_000), energies=(0.0, MAX_ENERGY))
+
+
+def every(spark: SparkSession, d: str) -> DataFrame:
+    return S.keep_per_window(every_line(spark, d))
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from stridelake.functions import scalars as fn
 from stridelake.operators import evaluate as E
 from stridelake.operators import segmenter as G
 from stridelake.operators import series as S
-from stridelake.plans.common import DT, FPS, LINES_SQL, SERIES_SQL, STRIDE, lines, r8, series
+from stridelake.plans.common import ALL_LINES_SQL, ALL_SQL, DT, FPS, LINES_SQL, SERIES_SQL, STRIDE, every, every_line, r8, series
 from stridelake.sources.tables import load
 
 QUERIES: dict = {}
@@ -28,21 +28,21 @@ def query(name: str, sql: str | None = None):
 # --- scans ---------------------------------------------------------------------------------------------------------
 
 
-@query("s01_lines_in_order", SERIES_SQL + "SELECT path, win, energy, row_number() OVER (PARTITION BY path ORDER BY win, line_id) AS n FROM lines")
+@query("s01_lines_in_order", ALL_SQL + "SELECT path, win, energy, row_number() OVER (PARTITION BY path ORDER BY win, line_id) AS n FROM lines")
 def s01(spark, d):
     from pyspark.sql import Window
 
-    return lines(spark, d).select("path", "win", "energy", F.row_number().over(Window.partitionBy("path").orderBy("win", "line_id")).cast("long").alias("n"))
+    return every_line(spark, d).select("path", "win", "energy", F.row_number().over(Window.partitionBy("path").orderBy("win", "line_id")).cast("long").alias("n"))
 
 
-@query("s02_last_per_window", SERIES_SQL + "SELECT path, win, energy FROM lastw")
+@query("s02_last_per_window", ALL_SQL + "SELECT path, win, energy FROM lastw")
 def s02(spark, d):
-    return series(spark, d).select("path", "win", "energy")
+    return every(spark, d).select("path", "win", "energy")
 
 
-@query("s02_first_per_window", SERIES_SQL + "SELECT path, win, min_by(energy, line_id) AS energy FROM lines GROUP BY path, win")
+@query("s02_first_per_window", ALL_SQL + "SELECT path, win, min_by(energy, line_id) AS energy FROM lines GROUP BY path, win")
 def s02_first(spark, d):
-    return S.keep_per_window(lines(spark, d), "first").select("path", "win", "energy")
+    return S.keep_per_window(every_line(spark, d), "first").select("path", "win", "energy")
 
 
 @query("s03_drop_missing", "SELECT line_id, path, win_idx AS win, energy FROM energy WHERE win_idx IS NOT NULL AND energy IS NOT NULL AND NOT isnan(energy)")
@@ -123,17 +123,17 @@ def w06(spark, d):
     return S.stride_mean(series(spark, d), 4).withColumn("energy", r8(F.col("energy")))
 
 
-@query("w07_every_nth", SERIES_SQL + "SELECT path, win, energy FROM s WHERE i % 3 = 0")
+@query("w07_every_nth", ALL_SQL + "SELECT path, win, energy FROM s WHERE i % 3 = 0")
 def w07(spark, d):
-    return S.every_nth(series(spark, d), 30.0, 10.0).select("path", "win", "energy")
+    return S.every_nth(every(spark, d), 30.0, 10.0).select("path", "win", "energy")
 
 
 @query(
     "w07_time_ticks",
-    SERIES_SQL + "SELECT path, win, energy FROM (SELECT *, floor(i * 4.0 / 10.0 + 1e-6) AS t FROM s) QUALIFY coalesce(t > lag(t) OVER (PARTITION BY path ORDER BY win), true)",
+    ALL_SQL + "SELECT path, win, energy FROM (SELECT *, floor(i * 4.0 / 10.0 + 1e-6) AS t FROM s) QUALIFY coalesce(t > lag(t) OVER (PARTITION BY path ORDER BY win), true)",
 )
 def w07_ticks(spark, d):
-    return S.resample_ticks(series(spark, d), 10.0, 4.0).select("path", "win", "energy")
+    return S.resample_ticks(every(spark, d), 10.0, 4.0).select("path", "win", "energy")
 
 
 @query("w08_differences", SERIES_SQL + "SELECT path, win, round(energy - lag(energy) OVER (PARTITION BY path ORDER BY win), 8) + 0.0 AS diff FROM s")
@@ -151,24 +151,24 @@ def w09(spark, d):
 
 @query(
     "w11_runs",
-    SERIES_SQL + "SELECT path, min(win) AS start_win, max(win) AS end_win, count(*) AS n FROM (SELECT *, win - row_number() OVER (PARTITION BY path ORDER BY win) AS g FROM s) GROUP BY path, g",
+    ALL_SQL + "SELECT path, min(win) AS start_win, max(win) AS end_win, count(*) AS n FROM (SELECT *, win - row_number() OVER (PARTITION BY path ORDER BY win) AS g FROM s) GROUP BY path, g",
 )
 def w11(spark, d):
-    return S.runs(series(spark, d))
+    return S.runs(every(spark, d))
 
 
 @query(
     "w12_longest_run",
-    SERIES_SQL + """, r AS (SELECT path, min(win) AS start_win, max(win) AS end_win, count(*) AS n FROM (SELECT *, win - row_number() OVER (PARTITION BY path ORDER BY win) AS g FROM s) GROUP BY path, g)
+    ALL_SQL + """, r AS (SELECT path, min(win) AS start_win, max(win) AS end_win, count(*) AS n FROM (SELECT *, win - row_number() OVER (PARTITION BY path ORDER BY win) AS g FROM s) GROUP BY path, g)
     SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, start_win) = 1""",
 )
 def w12(spark, d):
-    return S.longest_run(series(spark, d))
+    return S.longest_run(every(spark, d))
 
 
 @query("w12_seeded_run")
 def w12_seeded(spark, d):
-    return S.pick_run(series(spark, d), 50)
+    return S.pick_run(every(spark, d), 50)
 
 
 @query("w14_crop_starts", "SELECT doc_path, unnest(range(0, CAST(floor((video_duration_sec - 30) / 10) AS BIGINT) + 1)) * 10.0::DOUBLE AS start_sec FROM seg_docs WHERE video_duration_sec >= 30")
@@ -232,17 +232,17 @@ def j01(spark, d):
 
 @query(
     "j02_align_all",
-    SERIES_SQL + """, m AS (SELECT stem, count(DISTINCT source) AS k FROM s GROUP BY stem), c AS (SELECT stem, win FROM s JOIN m USING (stem) GROUP BY stem, win, k HAVING count(DISTINCT source) = k),
+    ALL_SQL + """, m AS (SELECT stem, count(DISTINCT source) AS k FROM s GROUP BY stem), c AS (SELECT stem, win FROM s JOIN m USING (stem) GROUP BY stem, win, k HAVING count(DISTINCT source) = k),
     h AS (SELECT DISTINCT stem FROM c) SELECT s.stem, s.source, s.win, s.energy FROM s WHERE s.stem IS NOT NULL AND (EXISTS (SELECT 1 FROM c WHERE c.stem = s.stem AND c.win = s.win) OR s.stem NOT IN (SELECT stem FROM h))""",
 )
 def j02(spark, d):
-    return S.align_all(series(spark, d).where("stem is not null"), "stem", "source").select("stem", "source", "win", "energy")
+    return S.align_all(every(spark, d).where("stem is not null"), "stem", "source").select("stem", "source", "win", "energy")
 
 
-@query("j03_common_stems", SERIES_SQL + "SELECT DISTINCT stem FROM s WHERE stem IN (SELECT regexp_replace(video, '\\.mp4$', '') FROM seg_docs WHERE doc_kind = 'gt')")
+@query("j03_common_stems", ALL_SQL + "SELECT DISTINCT stem FROM s WHERE stem IN (SELECT regexp_replace(video, '\\.mp4$', '') FROM seg_docs WHERE doc_kind = 'gt')")
 def j03(spark, d):
     gt = load(spark, d, "seg_docs").where("doc_kind = 'gt'").select(F.regexp_replace("video", r"\.mp4$", "").alias("stem"))
-    return series(spark, d).select("stem").join(gt, "stem", "left_semi").distinct()
+    return every(spark, d).select("stem").join(gt, "stem", "left_semi").distinct()
 
 
 # --- statistics ---------------------------------------------------------------------------------------------------------
@@ -283,21 +283,6 @@ def a10(spark, d):
 
 @query(
     "a19_otsu",
-    SERIES_SQL + """, f AS (SELECT path, energy FROM s WHERE energy < 100), r AS (SELECT path, min(energy) AS lo, max(energy) AS hi FROM f GROUP BY path),
-    b AS (SELECT path, lo, hi, CASE WHEN hi > lo THEN least(255, CAST(floor((energy - lo) / (hi - lo) * 256) AS BIGINT)) ELSE 0 END AS bin FROM f JOIN r USING (path)),
-    h AS (SELECT path, bin, count(*) AS c FROM b GROUP BY path, bin), g AS (SELECT path, lo, hi, unnest(range(0, 256)) AS bin FROM r),
-    x AS (SELECT g.path, lo, hi, g.bin, coalesce(c, 0) AS c, lo + (g.bin + 0.5) * (hi - lo) / 256 AS centre FROM g LEFT JOIN h ON h.path = g.path AND h.bin = g.bin),
-    y AS (SELECT *, sum(c) OVER o AS w0, sum(c * centre) OVER o AS s0, sum(c) OVER e AS w, sum(c * centre) OVER e AS s FROM x WINDOW o AS (PARTITION BY path ORDER BY bin), e AS (PARTITION BY path)),
-    v AS (SELECT *, coalesce(CASE WHEN w0 > 0 AND w > w0 THEN w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2) END, 0) AS var FROM y)
-    SELECT path, round(CASE WHEN hi = lo THEN lo ELSE centre END, 8) AS threshold FROM v QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(var, 8) DESC, bin) = 1""",
-)
-def a19(spark, d):
-    """Of the values below 100: one impossible reading would stretch the 256 bins over everything else."""
-    return S.otsu(series(spark, d).where("energy < 100"), ["path"]).withColumn("threshold", r8(F.col("threshold")))
-
-
-@query(
-    "a19_otsu_all",
     SERIES_SQL + """, f AS (SELECT path, energy FROM s), r AS (SELECT path, min(energy) AS lo, max(energy) AS hi FROM f GROUP BY path),
     b AS (SELECT path, lo, hi, CASE WHEN hi > lo THEN least(255, CAST(floor((energy - lo) / (hi - lo) * 256) AS BIGINT)) ELSE 0 END AS bin FROM f JOIN r USING (path)),
     h AS (SELECT path, bin, count(*) AS c FROM b GROUP BY path, bin), g AS (SELECT path, lo, hi, unnest(range(0, 256)) AS bin FROM r),
@@ -306,8 +291,8 @@ def a19(spark, d):
     v AS (SELECT *, coalesce(CASE WHEN w0 > 0 AND w > w0 THEN w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2) END, 0) AS var FROM y)
     SELECT path, round(CASE WHEN hi = lo THEN lo ELSE centre END, 8) AS threshold FROM v WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY round(var, 8) DESC, bin) = 1""",
 )
-def a19_all(spark, d):
-    """Of all values of the series, with bins over [min, max]; ``a19_otsu`` and its SQL are of those below 100 only."""
+def a19(spark, d):
+    """Of all values of the series, with bins over [min, max]."""
     return S.otsu(series(spark, d), ["path"]).withColumn("threshold", r8(F.col("threshold")))
 
 
@@ -431,11 +416,14 @@ def e07_ks(spark, d):
 
 @query(
     "e07_quantile_gaps",
-    _LAB + "SELECT stem, " + ", ".join(f"round(quantile_cont(x, {q}) FILTER (y) - quantile_cont(x, {q}) FILTER (NOT y), 8) + 0.0 AS gap{int(q * 100)}" for q in (0.25, 0.5, 0.75)) + " FROM lab GROUP BY stem",
+    _LAB
+    + """SELECT stem, round(quantile_cont(x, 0.5) FILTER (y) - quantile_cont(x, 0.5) FILTER (NOT y), 8) + 0.0 AS qgap_med,
+    round(quantile_cont(x, 0.9) FILTER (y) - quantile_cont(x, 0.1) FILTER (NOT y), 8) + 0.0 AS qgap_90_10 FROM lab GROUP BY stem""",
 )
 def e07_gaps(spark, d):
+    """Between the medians, and from the 10 % quantile of the negatives to the 90 % quantile of the positives."""
     g = E.quantile_gaps(labelled(spark, d), "stem", "x", "y")
-    return g.select("stem", *[r8(F.col(c)).alias(c) for c in ("gap25", "gap50", "gap75")])
+    return g.select("stem", *[r8(F.col(c)).alias(c) for c in ("qgap_med", "qgap_90_10")])
 
 
 @query(
@@ -469,22 +457,22 @@ def e09(spark, d):
 # --- segments ---------------------------------------------------------------------------------------------------------------
 
 
-@query("segments_batch", "WITH RECURSIVE " + LINES_SQL + "," + recursion(ALPHA, RULE) + "SELECT path, i0, i1, round(i0 * 0.4::DOUBLE, 8) AS start_sec, round((i1 + 1) * 0.4::DOUBLE, 8) AS end_sec FROM seg WHERE i1 - i0 + 1 >= 3")
+@query("segments_batch", "WITH RECURSIVE " + ALL_LINES_SQL + "," + recursion(ALPHA, RULE) + "SELECT path, i0, i1, round(i0 * 0.4::DOUBLE, 8) AS start_sec, round((i1 + 1) * 0.4::DOUBLE, 8) AS end_sec FROM seg WHERE i1 - i0 + 1 >= 3")
 def segments_batch(spark, d):
     """Smoothed, segmented and turned into seconds in one pass over sorted rows."""
-    g = G.ema_segments(S.positions(series(spark, d)), ALPHA, RULE).where(F.col("i1") - F.col("i0") + 1 >= 3)
+    g = G.ema_segments(S.positions(every(spark, d)), ALPHA, RULE).where(F.col("i1") - F.col("i0") + 1 >= 3)
     return G.to_seconds(g, DT).select("path", "i0", "i1", r8(F.col("start_sec")).alias("start_sec"), r8(F.col("end_sec")).alias("end_sec"))
 
 
-@query("t02_segments_raw", "WITH RECURSIVE " + LINES_SQL + "," + recursion(None, RULE) + "SELECT path, i0, i1 FROM seg")
+@query("t02_segments_raw", "WITH RECURSIVE " + ALL_LINES_SQL + "," + recursion(None, RULE) + "SELECT path, i0, i1 FROM seg")
 def t02(spark, d):
-    return G.segment(S.positions(series(spark, d)), RULE).select("path", "i0", "i1")
+    return G.segment(S.positions(every(spark, d)), RULE).select("path", "i0", "i1")
 
 
-@query("segments_stream", "WITH RECURSIVE " + LINES_SQL + "," + recursion(None, STREAM) + "SELECT path, i0, i1, windows FROM seg WHERE windows >= 3")
+@query("segments_stream", "WITH RECURSIVE " + ALL_LINES_SQL + "," + recursion(None, STREAM) + "SELECT path, i0, i1, windows FROM seg WHERE windows >= 3")
 def t03(spark, d):
     """T03 replayed over a whole table; the streaming job is in stridelake.streaming."""
-    return G.segment(S.positions(series(spark, d)), STREAM, min_len=3)
+    return G.segment(S.positions(every(spark, d)), STREAM, min_len=3)
 
 
 @query(

@@ -10,7 +10,7 @@ from stridelake.operators import segmenter as G
 from stridelake.operators import series as S
 from stridelake.plans.common import DOCS_SQL, DT, FPS, LINES_SQL, SERIES_SQL, STRIDE, T, documents, ground_truth, predictions, r8, series
 from stridelake.plans.energy import recursion
-from stridelake.sources.tables import load
+from stridelake.sources.tables import load, materialise
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -175,6 +175,7 @@ def j09(spark, d):
 def v02(spark, d):
     """Mean average precision at IoU 0.5 and 0.75."""
     dets, g = detections(spark, d)
+    dets = materialise(dets, "detections")  # read four times
     npos = g.agg(F.sum(F.size("segments")).alias("npos"))
     return E.average_precision(dets, npos).select("iou", r8(F.col("ap")).alias("ap"))
 
@@ -200,12 +201,12 @@ def _search_inputs(spark, d):
 def v04(spark, d):
     """All candidates of all videos at once: fold each (series, threshold), match, average, pick the best."""
     g, x = _search_inputs(spark, d)
-    x = x.join(g.select("path"), "path", "left_semi")
+    x = materialise(x.join(g.select("path"), "path", "left_semi"), "series")  # read for the candidates and for the segments
     pooled = x.select(F.lit("all").alias("path"), F.col("i").alias("win"), "energy")
     thr = E.candidates(pooled).select(F.round("thr", 6).alias("on")).distinct()
-    # the candidates are at most 16 values (5 quantiles, 4 midpoints, 2 extremes)
-    runs = x.crossJoin(F.broadcast(thr)).withColumn("run", F.concat_ws("|", "path", "on"))
-    seg = G.to_seconds(G.segment_each(runs, "run", "on"), DT * 2)
+    ons = sorted(r[0] for r in thr.collect())  # 11 values at most: 5 quantiles, 4 midpoints, 2 extremes
+    thr = spark.createDataFrame([(v,) for v in ons], "on double")
+    seg = G.to_seconds(G.segment_many(x, ons), DT * 2).withColumn("run", F.concat_ws("|", "path", "on"))
     seg = seg.where(F.col("i1") - F.col("i0") + 1 >= 3).groupBy("run").agg(F.collect_list(F.struct("start_sec", "end_sec")).alias("ps"))
     keys = g.select("unit", "path", "segments", F.coalesce("video_duration_sec", F.col("n") * DT).alias("dur")).crossJoin(F.broadcast(thr)).withColumn("run", F.concat_ws("|", "path", "on"))
     none = F.array().cast("array<double>")

@@ -507,10 +507,10 @@ def a08(spark, d):
     return k.agg(F.count("*").alias("n"), r8(F.coalesce(F.avg("k"), F.lit(0.0))).alias("mean"), r8(F.coalesce(q[0], F.lit(0.0))).alias("p50"), r8(F.coalesce(q[1], F.lit(0.0))).alias("p90"))
 
 
-@query("a09_resolution", "SELECT view_name, min(h) AS min_h, max(h) AS max_h, round(avg(h), 8) AS mean_h FROM (SELECT file, view_name, CAST(ceil(max(pt_row) + 1) AS BIGINT) AS h FROM tracks WHERE pt_row BETWEEN 0 AND 2000 GROUP BY 1, 2) GROUP BY view_name")
+@query("a09_resolution", "SELECT view_name, min(h) AS min_h, max(h) AS max_h, round(avg(h), 8) AS mean_h FROM (SELECT file, view_name, CAST(ceil(max(pt_row) + 1) AS BIGINT) AS h FROM tracks WHERE pt_row IS NOT NULL AND NOT isnan(pt_row) GROUP BY 1, 2) GROUP BY view_name")
 def a09(spark, d):
     """A09, Q13."""
-    r = Q.inferred_resolution(load(spark, d, "tracks").where("pt_row between 0 and 2000"))
+    r = Q.inferred_resolution(load(spark, d, "tracks").where("pt_row is not null and not isnan(pt_row)"))
     return r.groupBy("view_name").agg(F.min("height").alias("min_h"), F.max("height").alias("max_h"), r8(F.avg("height")).alias("mean_h"))
 
 
@@ -634,10 +634,10 @@ def pred14(spark, d):
     return pending(load(spark, d, "energy").where("stem is not null").select("stem").distinct(), done, ["stem"])
 
 
-@query("pred15_report_paths", "SELECT DISTINCT regexp_extract(text, '([a-z]+[0-9]_[a-z]+_[0-9]{7})', 1) AS stem FROM documents WHERE regexp_matches(text, '[a-z]+[0-9]_[a-z]+_[0-9]{7}')")
+@query("pred15_report_paths", "SELECT DISTINCT unnest(regexp_extract_all(text, '([a-z]+[0-9]_[a-z]+_[0-9]{7})', 1)) AS stem FROM documents")
 def pred15(spark, d):
     p = "([a-z]+[0-9]_[a-z]+_[0-9]{7})"
-    return load(spark, d, "documents").where(F.col("text").rlike(p)).select(F.regexp_extract("text", p, 1).alias("stem")).distinct()
+    return load(spark, d, "documents").where(F.col("text").rlike(p)).select(F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(1))).alias("stem")).distinct()
 
 
 @query("pred16_top_k", _BOW + ", p AS (SELECT seg, code, n / sum(n) OVER (PARTITION BY seg) AS prob FROM b), r AS (SELECT *, row_number() OVER w AS r, coalesce(sum(prob) OVER (PARTITION BY seg ORDER BY prob DESC, code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p WINDOW w AS (PARTITION BY seg ORDER BY prob DESC, code)) SELECT seg, code FROM r WHERE r <= 5 AND before <= 0.25")
@@ -757,14 +757,8 @@ def f19(spark, d):
     return t.select("i", F.col("p.row").alias("r"), F.col("p.col").alias("c"), fn.flat_index(F.col("p.row"), F.col("p.col"), 16).alias("flat"), fn.relative_index((F.col("p.row") - 8).cast("double"), (F.col("p.col") - 8).cast("double"), 15).alias("rel"))
 
 
-@query("f21_finite_or_zero", "SELECT line_id, CASE WHEN energy IS NULL OR isnan(energy) OR isinf(energy) THEN 0.0::DOUBLE ELSE energy END AS energy FROM energy WHERE win_idx < 50")
+@query("f21_finite_or_zero", "SELECT line_id, CASE WHEN energy IS NULL OR isnan(energy) OR isinf(energy) THEN 0.0::DOUBLE ELSE energy END AS energy FROM energy")
 def f21(spark, d):
-    return load(spark, d, "energy").where("win_idx < 50").select("line_id", fn.finite_or_zero(F.col("energy")).alias("energy"))
-
-
-@query("f21_finite_or_zero_all", "SELECT line_id, CASE WHEN energy IS NULL OR isnan(energy) OR isinf(energy) THEN 0.0::DOUBLE ELSE energy END AS energy FROM energy")
-def f21_all(spark, d):
-    """Every line; ``f21_finite_or_zero`` and its SQL are of the first windows of a file only."""
     return load(spark, d, "energy").select("line_id", fn.finite_or_zero(F.col("energy")).alias("energy"))
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -18,14 +16,15 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that every executor can reach.
 
-    It lies in ``spark.checkpoint.dir``; only where the session has none (tests on one machine) a temporary folder is
-    chosen and set.
+    It lies in ``spark.checkpoint.dir``. Only a session on one machine may be without: it gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jdir.get() if jdir.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stridelake_")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/stridelake-{uuid.uuid4().hex}"
@@ -41,12 +40,3 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` holds at most ``max_rows`` rows, found by reading at most one row more."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-
-
-def env(name: str, default: str) -> str:
-    return os.environ.get(name, default)
