@@ -127,6 +127,33 @@ def rescale(x: Column, old, new) -> Column:
     return x * new / old
 
 
+def round_to_pixels(u: Column, size) -> Column:
+    """A coordinate in [-1, 1] at the nearest whole pixel, halves to the even one."""
+    return F.bround(u * size / 2) * 2 / size
+
+
+def crop_offset(old: int, new: int) -> int:
+    """First pixel of a centred crop."""
+    return round((old - new) / 2)
+
+
+def center_crop(x: Column, old: int, new: int) -> Column:
+    """The normalised coordinate of a pixel within a centred crop, null outside of it."""
+    at = x - crop_offset(old, new)
+    return F.when((at >= 0) & (at < new), normalise_coord(at, F.lit(float(new))))
+
+
+def resize_coord(x: Column, old: int, new: int) -> Column:
+    """The whole pixel of a resized image."""
+    return F.bround(unnormalise_coord(normalise_coord(x, F.lit(float(old))), F.lit(float(new))))
+
+
+def resize_crop(u: Column, first: float, length: float, size: float) -> Column:
+    """A coordinate in [-1, 1] after the part ``first .. first + length`` of ``size`` pixels is cut out and stretched."""
+    shift = (first + length / 2 - size / 2) / size * 2
+    return (u - shift) * (size / length)
+
+
 def resize_dims(h: Column, w: Column, target: int, upsize: bool = True) -> Column:
     """Height and width with the shorter side at ``target``, the other in proportion, halves to even."""
     short = F.least(h, w)

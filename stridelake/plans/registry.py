@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stridelake.plans import energy, evaluation, implausible, samples, vectors
+from stridelake.plans import energy, evaluation, forms, implausible, samples, storage, vectors
 from stridelake.plans.common import nudged
 
-_MODULES = [implausible, energy, evaluation, vectors, samples]
+_MODULES = [implausible, energy, evaluation, vectors, samples, storage, forms]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: nudged(v) for m in _MODULES for k, v in m.ORACLE_SQL.items()}
 

@@ -35,8 +35,8 @@ def energy_files(spark: SparkSession, root: str, glob: str = "*stream_energy_*.j
     ).where("win_idx is not null and energy is not null")
 
 
-def code_files(spark: SparkSession, root: str) -> DataFrame:
-    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").schema(CODE_LINE).json(root)
+def code_files(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).schema(CODE_LINE).json(root)
     return t.select(F.col("_metadata.file_path").alias("path"), "window", "codes").where("window is not null")
 
 
