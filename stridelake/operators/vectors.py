@@ -218,12 +218,29 @@ def _distance(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)))
 
 
-def pair_distances(vectors: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """``i, j, dist`` for all i < j: the distance matrix is the result, so its size is quadratic by definition."""
+SLACK = 2e-8  # distances are ranked after rounding; what may be equal to the last one kept is kept too
+
+
+def pair_distances(vectors: DataFrame, metric: str = "euclidean", *, each: int | None = None, top: int | None = None) -> DataFrame:
+    """``i, j, dist`` for i < j: all pairs, whose number is quadratic by definition.
+
+    ``each`` keeps of every two blocks only the pairs that are among the ``each`` nearest of one of their ends there,
+    ``top`` only the ``top`` nearest pairs; the nearest of all are among them, and the rest is never written.
+    """
 
     def f(same, i1, x1, l1, i2, x2, l2):
         d = _distance(x1, x2, metric) if len(i1) and len(i2) else np.zeros((len(i1), len(i2)))
-        keep = i1[:, None] < i2[None, :] if same else np.ones(d.shape, bool)
+        keep = np.ones(d.shape, bool)
+        if d.size and each is not None:
+            own = np.where(i1[:, None] == i2[None, :], np.inf, d)
+            keep = np.zeros(d.shape, bool)
+            for axis in (0, 1):
+                k = min(each, d.shape[axis]) - 1
+                keep |= d <= np.take(np.partition(own, k, axis=axis), [k], axis=axis) + SLACK
+        if same:
+            keep &= i1[:, None] < i2[None, :]
+        if top is not None and keep.sum() > top:
+            keep &= d <= np.partition(d[keep], top - 1)[top - 1] + SLACK
         a, b = np.nonzero(keep)
         lo, hi = np.minimum(i1[a], i2[b]), np.maximum(i1[a], i2[b])
         return pa.table({"i": lo.astype(np.int64), "j": hi.astype(np.int64), "dist": d[a, b]})
@@ -264,7 +281,7 @@ def silhouette(vectors: DataFrame, metric: str = "euclidean") -> DataFrame:
 
 def davies_bouldin(vectors: DataFrame) -> DataFrame:
     c = centroids(vectors)
-    d = vectors.join(F.broadcast(c.select("label", "c")) if c.count() < 10_000 else c.select("label", "c"), "label")
+    d = vectors.join(c.select("label", "c"), "label")
     spread = d.groupBy("label").agg(F.avg(F.sqrt(F.aggregate(F.zip_with("x", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))).alias("s"))
     c = c.join(spread, "label")
     o = c.select(F.col("label").alias("l2"), F.col("c").alias("c2"), F.col("s").alias("s2"))

@@ -110,7 +110,7 @@ def c20(spark, d):
 
 @query("o04_top_pairs", _V + "z AS (SELECT 1) SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.x, b.x), 8) AS sim FROM v a JOIN v b ON a.id < b.id ORDER BY sim DESC, i DESC, j DESC LIMIT 10")
 def o04(spark, d):
-    p = V.pair_distances(vectors(spark, d), "cosine").select("i", "j", r8(1 - F.col("dist")).alias("sim"))
+    p = V.pair_distances(vectors(spark, d), "cosine", top=10).select("i", "j", r8(1 - F.col("dist")).alias("sim"))
     return V.top_pairs(p, 10)
 
 
@@ -119,7 +119,7 @@ def o04(spark, d):
     _V + "z AS (SELECT 1), p AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS dist FROM v a JOIN v b ON a.id <> b.id) SELECT i, j, round(dist, 5) AS dist FROM p QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(dist, 9), j) <= 3",
 )
 def c26(spark, d):
-    return V.knn_of(V.pair_distances(vectors(spark, d)).withColumn("dist", F.round("dist", 9)), 3).select("i", "j", F.round("dist", 5).alias("dist"))
+    return V.knn_of(V.pair_distances(vectors(spark, d), each=3).withColumn("dist", F.round("dist", 9)), 3).select("i", "j", F.round("dist", 5).alias("dist"))
 
 
 @query("c21_mean_cosine", _V + "z AS (SELECT 1) SELECT a.label, round(avg(list_cosine_similarity(a.x, b.x)), 8) + 0.0 AS mean_cosine FROM v a JOIN v b ON a.label = b.label AND a.id < b.id GROUP BY a.label")

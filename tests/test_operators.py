@@ -118,3 +118,29 @@ def test_plans_push_filters_and_columns(spark, data):
     plan = series(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(energy,0.0)" in plan and "HashAggregate(keys=[path" in plan and "SortAggregate" not in plan
     assert "ReadSchema: struct<line_id:bigint,path:string,win_idx:bigint,energy:double>" in plan
+
+
+def test_nearest_pairs_of_blocks_lose_nothing(spark):
+    """Keeping the nearest of each two blocks, over many blocks and with copies, gives what all pairs give."""
+    from stridelake.operators import vectors as V
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 4))
+    x[50:] = x[:10]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id long, x array<double>, label long")
+    blocks = V.block_pairs
+
+    def small(a, f, schema, **kw):
+        return blocks(a, f, schema, block_rows=13, **kw)
+
+    V.block_pairs = small
+    try:
+        every = V.pair_distances(df).withColumn("dist", F.round("dist", 9))
+        some = V.pair_distances(df, each=3).withColumn("dist", F.round("dist", 9))
+        assert some.count() < every.count() == 60 * 59 // 2
+        rows = lambda p: {(r["i"], r["j"]) for r in V.knn_of(p, 3).collect()}
+        assert rows(some) == rows(every)
+        sim = lambda p: [(r["i"], r["j"]) for r in V.top_pairs(p.select("i", "j", F.round(1 - F.col("dist"), 8).alias("sim")), 12).collect()]
+        assert sim(V.pair_distances(df, "cosine", top=12)) == sim(V.pair_distances(df, "cosine"))
+    finally:
+        V.block_pairs = blocks
