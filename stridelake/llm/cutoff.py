@@ -124,8 +124,11 @@ def _passes(rows: DataFrame, sources: dict[str, _Source]) -> int:
             .agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"))
             .collect()  # at most (probes + 1) rows a source
         )
+        cells: dict[str, dict] = {name: {} for name in open_}
+        for r in got:
+            cells[r["source"]][r["cell"]] = (r["n"], r["s"], r["lo"], r["hi"])
         for name, x in open_.items():
-            x.learn(probes[name], {r["cell"]: (r["n"], r["s"], r["lo"], r["hi"]) for r in got if r["source"] == name})
+            x.learn(probes[name], cells[name])
     return made
 
 
