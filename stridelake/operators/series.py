@@ -28,7 +28,7 @@ def clean_lines(energy: DataFrame, windows: tuple[int, int] | None = None, energ
     ``windows`` and ``energies`` are bounds (closed) outside of which lines are left out; by default there are none.
     """
     e = energy.where(F.col("path").isNotNull() & finite(F.col("energy")) & F.col("win_idx").isNotNull())
-    for name, bounds in (("win_idx", windows), ("energy", energies)):
+    for name, bounds in (("energy", energies), ("win_idx", windows)):
         if bounds is not None:
             e = e.where(F.col(name).between(*bounds))
     return e.select("path", F.col("win_idx").cast("long").alias("win"), "energy", "line_id")
