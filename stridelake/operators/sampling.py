@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,17 @@ def weighted(df: DataFrame, key: str, weight: str, n: int, seed: int = 42) -> Da
 
 
 def with_replacement(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """About n draws with replacement: each row as often as a Poisson number of mean n / rows says."""
-    return df.sample(withReplacement=True, fraction=n / max(1, df.count()), seed=seed)
+    """About n draws with replacement: each row as often as a Poisson number of mean n / rows says, drawn by its key."""
+    mean = n / max(1, df.count())
+    term = acc = math.exp(-mean)
+    upto = []
+    for k in range(1, int(mean + 10 * math.sqrt(mean) + 12)):
+        upto.append(acc)
+        term *= mean / k
+        acc += term
+    times = F.size(F.filter(F.array(*map(F.lit, upto)), lambda c: c <= F.col("_u")))
+    d = df.withColumn("_u", uniform(seed, key)).withColumn("_n", times).where("_n > 0")
+    return d.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_u", "_n", "_k")
 
 
 def shard(df: DataFrame, n: int, index: int, *keys: str) -> DataFrame:

@@ -66,4 +66,11 @@ SELECT DISTINCT tbl, rec_id FROM (
   UNION ALL SELECT 'energy', line_id FROM series UNION ALL SELECT 'energy', line_id FROM counter
   UNION ALL SELECT 'tracks', point_id FROM tracks WHERE NOT isnan(vis) AND (vis < 0 OR vis > 1) UNION ALL SELECT 'tracks', point_id FROM jump UNION ALL SELECT 'tracks', point_id FROM stuck) WHERE rec_id IS NOT NULL
 """
-ORACLE_SQL: dict[str, str] = {"p1_found": _P1}
+_REASONS = """SELECT tbl, reason, count(DISTINCT rec_id) AS n FROM (
+  SELECT 'energy' AS tbl, 'bounds' AS reason, line_id AS rec_id FROM energy WHERE energy IS NOT NULL AND NOT isnan(energy) AND (energy < 0 OR (isinf(energy) AND energy > 0))
+  UNION ALL SELECT 'energy', 'window', line_id FROM energy WHERE win_idx < 0 OR win_idx > 49000000
+  UNION ALL SELECT 'energy', 'series', line_id FROM series UNION ALL SELECT 'energy', 'counter', line_id FROM counter
+  UNION ALL SELECT 'tracks', 'vis', point_id FROM tracks WHERE NOT isnan(vis) AND (vis < 0 OR vis > 1)
+  UNION ALL SELECT 'tracks', 'jump', point_id FROM jump UNION ALL SELECT 'tracks', 'stuck', point_id FROM stuck) GROUP BY tbl, reason
+"""
+ORACLE_SQL: dict[str, str] = {"p1_found": _P1, "p1_reasons": _P1[: _P1.index("SELECT DISTINCT tbl, rec_id")] + _REASONS}

@@ -717,6 +717,33 @@ def o14(spark, d):
     return O.shard(load(spark, d, "seg_codes").select("seg_id").distinct(), 4, 1, "seg_id")
 
 
+@query(
+    "o06_sample_rules",
+    _TR
+    + """, g AS (SELECT DISTINCT seg_id, source FROM seg_codes), l AS (SELECT CAST(label AS VARCHAR) AS grp, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL GROUP BY 1)
+    SELECT 'per_group' AS rule, source AS grp, least(5, count(*)) AS n FROM g WHERE source IS NOT NULL GROUP BY source
+    UNION ALL SELECT 'subset', 'all', least(50, count(DISTINCT seg_id)) FROM g WHERE seg_id IS NOT NULL
+    UNION ALL SELECT 'shards', 'all', count(DISTINCT seg_id) FROM g WHERE seg_id IS NOT NULL
+    UNION ALL SELECT 'weighted', 'all', least(50, count(*)) FROM (SELECT DISTINCT file, view_name, n FROM sp)
+    UNION ALL SELECT 'pairs', grp, 100 FROM l WHERE n > 1 UNION ALL SELECT 'strange', 'all', 0""",
+)
+def o06_rules(spark, d):
+    """What the seeded samples must keep to: sizes, parts that make up the whole, no row that is not in the input."""
+    segs = load(spark, d, "seg_codes").select("seg_id").where("seg_id is not null").distinct()
+    one = lambda rule, df, grp=F.lit("all"): df.groupBy(grp.alias("grp")).agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "grp", "n")
+    shards = O.shard(segs, 4, 0, "seg_id")
+    for i in (1, 2, 3):
+        shards = shards.unionByName(O.shard(segs, 4, i, "seg_id"))
+    pairs = O.random_pairs(vectors(spark, d), "label", "id", 100)
+    sub = O.subset(segs, "seg_id", 50)
+    out = one("per_group", o06(spark, d), F.col("source")).unionByName(one("subset", sub)).unionByName(one("shards", shards.distinct())).unionByName(one("weighted", o10(spark, d)))
+    out = out.unionByName(one("pairs", pairs, F.col("label").cast("string")))
+    known = vectors(spark, d).select("id", F.col("label").alias("l"))
+    strange = pairs.join(known, F.col("a") == F.col("id"), "left").where("l is null or l <> label or a = b").select("a")
+    strange = strange.unionByName(sub.select(F.col("seg_id").alias("a")).join(segs, F.col("a") == F.col("seg_id"), "left_anti"))
+    return out.unionByName(strange.agg(F.count("*").alias("n")).select(F.lit("strange").alias("rule"), F.lit("all").alias("grp"), "n"))
+
+
 @query(
     "f05_label_spec",
     "SELECT spec, CASE WHEN k IN ('quantile', 'value') AND v IS NOT NULL THEN k ELSE 'auto' END AS kind, CASE WHEN k IN ('quantile', 'value') THEN v END AS value FROM (SELECT spec, split_part(spec, ':', 1) AS k, try_cast(split_part(spec, ':', 2) AS DOUBLE) AS v FROM (SELECT unnest(['auto', 'quantile:0.9', 'value:1.5', 'value:x', 'other']) AS spec))",
