@@ -154,32 +154,49 @@ def interpolate(series: DataFrame, m: int) -> DataFrame:
     return t.select("path", F.col("j").cast("long").alias("j"), (F.col("a") + (F.col("b") - F.col("a")) * (F.col("x") - F.col("lo"))).alias("value"))
 
 
-def spline(series: DataFrame, m: int, max_points: int = 100_000) -> DataFrame:
+HALO = 1200  # (2 - sqrt(3)) ** HALO is below the smallest double over the largest
+
+
+def spline(series: DataFrame, m: int, block: int = 16_384) -> DataFrame:
     """``path, j, value``: not-a-knot cubic spline through each series at ``m`` even places.
 
-    A spline couples all points of its series, which is why series longer than ``max_points`` are refused, not cut.
+    A spline couples all points of its series, but with every place a point's influence on the curvature falls to
+    2 - sqrt(3) of itself: beyond ``HALO`` places no double is left of it. So a long series is solved in blocks with a
+    halo that makes the result independent of the cut, and no task holds more than a block.
     """
 
     def one(key, pdf):
         import pandas as pd
 
-        y = pdf.sort_values("win")["energy"].to_numpy()
-        if len(y) > max_points:
-            raise ValueError(f"{key[0]}: {len(y)} points, at most {max_points} for a spline")
-        return pd.DataFrame({"path": key[0], "j": np.arange(m, dtype=np.int64), "value": _not_a_knot(y, np.linspace(0, len(y) - 1, m))})
+        path, at = key
+        pdf = pdf.sort_values("i")
+        first, last, end = int(pdf["i"].iloc[0]), int(pdf["i"].iloc[-1]), int(pdf["n"].iloc[0]) - 1
+        x = np.linspace(0, end, m)
+        j = np.flatnonzero(np.clip(np.floor(x), 0, max(end - 1, 0)) // block == at)
+        value = _not_a_knot(pdf["energy"].to_numpy(), x[j] - first, (first > 0, last < end)) if len(j) else np.zeros(0)
+        return pd.DataFrame({"path": path, "j": j, "value": value})
 
-    return series.select("path", "win", "energy").groupBy("path").applyInPandas(one, "path string, j long, value double")
+    p = positions(series.select("path", "win", "energy")).withColumn("n", F.count("*").over(Window.partitionBy("path")))
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("i") - HALO) / block)), F.least(F.floor((F.col("n") - 1) / block), F.floor((F.col("i") + HALO) / block)))
+    return p.select("path", "i", "n", "energy", F.explode(near).alias("at")).groupBy("path", "at").applyInPandas(one, "path string, j long, value double")
 
 
-def _not_a_knot(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Values at x of the cubic spline through (0, y0), (1, y1), ...; fewer than four points: their polynomial."""
+def _not_a_knot(y: np.ndarray, x: np.ndarray, cut: tuple[bool, bool] = (False, False)) -> np.ndarray:
+    """Values at x of the cubic spline through (0, y0), (1, y1), ...; fewer than four points: their polynomial.
+
+    ``cut``: whether the series goes on before the first and after the last point; x is to be ``HALO`` away from there.
+    """
     n = len(y)
     if n < 4:
         return np.polyval(np.polyfit(np.arange(n), y, n - 1), x)
-    # second derivatives m: m[i-1] + 4 m[i] + m[i+1] = 6 (y[i-1] - 2 y[i] + y[i+1]); ends: third derivative continuous
+    # second derivatives m: m[i-1] + 4 m[i] + m[i+1] = 6 (y[i-1] - 2 y[i] + y[i+1]); ends: third derivative continuous, where cut 0
     r = 6 * (y[:-2] - 2 * y[1:-1] + y[2:])
     lower, main, upper = np.ones(n - 2), np.full(n - 2, 4.0), np.ones(n - 2)
-    main[0], upper[0], main[-1], lower[-1] = 6.0, 0.0, 6.0, 0.0  # m0 = 2 m1 - m2 and its mirror image put in
+    # m0 = 2 m1 - m2 and its mirror image put in
+    if not cut[0]:
+        main[0], upper[0] = 6.0, 0.0
+    if not cut[1]:
+        main[-1], lower[-1] = 6.0, 0.0
     c, d = np.zeros(n - 2), np.zeros(n - 2)
     c[0], d[0] = upper[0] / main[0], r[0] / main[0]
     for i in range(1, n - 2):
@@ -189,7 +206,8 @@ def _not_a_knot(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     m[n - 2] = d[-1]
     for i in range(n - 4, -1, -1):
         m[i + 1] = d[i] - c[i] * m[i + 2]
-    m[0], m[-1] = 2 * m[1] - m[2], 2 * m[-2] - m[-3]
+    m[0] = 0.0 if cut[0] else 2 * m[1] - m[2]
+    m[-1] = 0.0 if cut[1] else 2 * m[-2] - m[-3]
     k = np.clip(np.floor(x).astype(int), 0, n - 2)
     t = x - k
     return (1 - t) * y[k] + t * y[k + 1] + ((1 - t) ** 3 - (1 - t)) * m[k] / 6 + (t**3 - t) * m[k + 1] / 6

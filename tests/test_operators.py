@@ -36,6 +36,43 @@ def test_spline_reproduces_cubics():
     assert np.allclose(S._not_a_knot(np.array([1.0, 3.0]), np.array([0.5])), [2.0])
 
 
+def test_spline_of_a_long_series(spark):
+    """More than 100,000 points, in blocks, as if solved at once."""
+    n, x = 120_001, np.linspace(0, 120_000, 16)
+    df = spark.range(n).selectExpr("'a' as path", "3 * id as win", "double(xxhash64(id) % 1000) + if(id % 977 = 0, 9e12, 0) as energy")
+    y = np.array([r["energy"] for r in df.orderBy("win").collect()])
+    got = {r["j"]: r["value"] for r in S.spline(df, 16).collect()}
+    assert sorted(got) == list(range(16)) and np.allclose([got[j] for j in range(16)], S._not_a_knot(y, x), rtol=1e-12, atol=0)
+
+
+def test_spline_does_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(4)
+    ys = {str(n): np.exp(5 * rng.standard_normal(n)) for n in (1, 2, 3, 4, 5, 1500, 1501, 1502, 2701, 7000)}
+    df = spark.createDataFrame([(k, 2 * i, float(v)) for k, y in ys.items() for i, v in enumerate(y)], "path string, win long, energy double")
+    for m in (1, 2, 16, 5000):
+        got = {(r["path"], r["j"]): r["value"] for r in S.spline(df, m, block=1500).collect()}
+        assert len(got) == len(ys) * m
+        for k, y in ys.items():
+            assert np.allclose([got[k, j] for j in range(m)], S._not_a_knot(y, np.linspace(0, len(y) - 1, m)), rtol=1e-12, atol=1e-9)
+
+
+def test_curvature_of_a_spline_solves_all_equations_at_once():
+    """Against a dense solution, in the middle of a series that goes on at both sides."""
+    y = np.random.default_rng(5).standard_normal(2 * S.HALO + 300)
+    n = len(y)
+    a = np.zeros((n, n))
+    a[0, :3] = a[-1, -3:] = 1, -2, 1
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = 1, 4, 1
+    m = np.linalg.solve(a, [0, *(6 * (y[:-2] - 2 * y[1:-1] + y[2:])), 0])
+    x = np.linspace(S.HALO, n - S.HALO, 77)
+    k = x.astype(int)
+    t = x - k
+    want = (1 - t) * y[k] + t * y[k + 1] + ((1 - t) ** 3 - (1 - t)) * m[k] / 6 + (t**3 - t) * m[k + 1] / 6
+    for cut in ((False, False), (True, False), (False, True), (True, True)):
+        assert np.allclose(S._not_a_knot(y, x, cut), want, rtol=1e-12, atol=1e-12)
+
+
 def test_dtw():
     def plain(a, b):
         d = np.full((len(a) + 1, len(b) + 1), np.inf)
